@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, exact_dedup, mixing, token_files
+from gleaner.llm import archive, bpe, exact_dedup, language_id, mixing, token_files, url_filter
 from gleaner.llm.shared import ship
 
 
@@ -20,6 +20,18 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.held_out_predictions(_table(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     quality = mixing.label_weights(_table(spark, sf_dir, "labels"))
     return mixing.mix(_table(spark, sf_dir, "documents"), quality).select("doc_id", "size", "source_size", "target", "taken")
@@ -34,6 +46,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op8_mixing, op9_bpe, op10_token_files)
+    f.__name__: f for f in (op1_exact_dedup, op5_warc, op6_language_id, op7_url_filter, op8_mixing, op9_bpe, op10_token_files)
 }
 ORACLES: dict[str, str] = {}

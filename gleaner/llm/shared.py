@@ -14,7 +14,6 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: The white space that all contracts name: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -207,7 +206,9 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def arrow_schema(schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
 
-    return to_arrow_schema(T._parse_datatype_string(schema))
+
+def arrow_schema(form: str) -> pa.Schema:
+    """The Arrow form of "name type, name type, ..."."""
+    return pa.schema([(name, _ARROW[kind]) for name, kind in (x.split() for x in form.split(","))])
