@@ -131,7 +131,7 @@ def fingerprints(docs: DataFrame, moduli: tuple[int, ...] = MODULI, huge: int =
     return rows.filter(~long).mapInArrow(_small(moduli), _FOUND).unionByName(_huge(rows.filter(long), moduli))
 
 
-def _candidates(docs: DataFrame, members: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, members: DataFrame) -> DataFrame:
     """The rows of docs that may be members (key, ...): those whose key's bit is set in a map of at most 2^MAP_BITS bits, 8 MB."""
     at = F.pmod(F.col("key"), F.lit(1 << MAP_BITS))
     slot, bit = F.expr("bitmap_bucket_number(at)"), F.expr("bitmap_bit_position(at)")
@@ -146,7 +146,7 @@ def _differing(docs: DataFrame, members: DataFrame) -> DataFrame:
 
     Chunks meet by group, place and salt: one copy of the first text for SALTED members.
     """
-    texts = _candidates(docs, members).withColumnRenamed("key", "_key").withColumnRenamed("doc_id", "_id").dropDuplicates(["_id", "_key"])
+    texts = candidates(docs, members).withColumnRenamed("key", "_key").withColumnRenamed("doc_id", "_id").dropDuplicates(["_id", "_key"])
     rows = members.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
     bare = F.regexp_replace(F.coalesce("text", F.lit("")), _DROP, "")
     rows = rows.select("uid", "gid", "first", "size", bare.alias("bare")).withColumn("salts", F.ceil(F.col("size") / SALTED).cast("int"))
