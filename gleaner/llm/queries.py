@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import archive, bpe, exact_dedup, language_id, metric_tree, mixing, near_dedup, token_files, url_filter
+from gleaner.llm import archive, bpe, exact_dedup, katz, language_id, metric_tree, mixing, near_dedup, token_files, url_filter
 from gleaner.llm.shared import ship
 
 
@@ -28,6 +28,10 @@ def op3_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_tree.neighbours(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.held_out_scores(_table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -54,6 +58,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_metric_tree, op5_warc, op6_language_id, op7_url_filter, op8_mixing, op9_bpe, op10_token_files)
+    f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_metric_tree, op4_katz, op5_warc, op6_language_id, op7_url_filter, op8_mixing, op9_bpe, op10_token_files)
 }
 ORACLES: dict[str, str] = {}
