@@ -193,6 +193,20 @@ def classify(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     return docs.select(*carry, F.col("text").alias("_text")).mapInArrow(run, form)
 
 
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of docs in a language that the model knows: texts without letters and ambiguous ones go."""
+    learned = docs.select("text", "lang", fold("doc_id", 4).alias("fold")).filter("fold <> 2")
+    sent = docs.sparkSession.sparkContext.broadcast(fit(learned))
+
+    @F.arrow_udf("boolean")
+    def clear(text: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([text], names=["text"])
+        out = [~sent.value.predict(column(b, "text").to_pylist())[2] for b in pieces([batch], "text")]
+        return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
+
+    return docs.filter(clear("text"))
+
+
 def held_out_predictions(docs: DataFrame) -> DataFrame:
     """Learn from rows whose fold is not 2; predict all."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").withColumn("held_out", fold("doc_id", 4) == 2)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import materialise, scratch
+from gleaner.llm.shared import materialise, row_key, scratch
 
 #: Weights of the sources in their order, repeated; epochs at most; documents of one key range, about.
 WEIGHTS, EPOCHS, RANGE = (5, 2, 1), 3, 512
@@ -62,7 +62,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float,
     """
     spark = docs.sparkSession
     folder = scratch(spark)
-    rows = docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64(F.coalesce(F.col("text"), F.lit("\x00null"))).alias("key"))
+    rows = docs.select("doc_id", "source", word_count().alias("size"), row_key().alias("key"))
     sized = materialise(rows, folder)
     if quality is not None:
         each = quality.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.avg("weight").alias("weight"))
@@ -100,6 +100,21 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float,
     return out.select("doc_id", "key", "source", "size", "source_size", "target", "epochs", "chosen", (F.col("size") * (F.col("epochs") + F.col("chosen").cast("long"))).alias("taken"))
 
 
+def mixture(docs: DataFrame, quality: DataFrame | None = None, **how) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it.
+
+    Rows are found by doc_id, source and text; of rows that are the same in these, one stands for all.
+    """
+    names = docs.columns
+    decided = mix(docs, quality, **how).groupBy("doc_id", "source", "key").agg(F.count("*").alias("_n"), F.sum(F.col("epochs") + F.col("chosen").cast("long")).alias("_times")).filter("_times > 0")
+    decided = decided.select(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("key").alias("_key"), "_n", "_times")
+    found = docs.withColumn("_k", row_key()).join(decided, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_k") == F.col("_key")))
+    by = Window.partitionBy("_id", "_s", "_key").orderBy(F.lit(1))
+    more = found.filter("_n > 1").withColumn("_r", F.row_number().over(by)).filter("_r = 1").drop("_r")
+    every = found.filter("_n = 1").unionByName(more)
+    return every.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(names)
+
+
 def label_weights(labels: DataFrame) -> DataFrame:
     """Quality weights from labels: 1.5 for good documents, 0.5 for others; unlabelled ones weigh 1."""
     return labels.select("doc_id", (F.lit(0.5) + F.coalesce(F.col("quality").cast("double"), F.lit(0.5))).alias("weight"))

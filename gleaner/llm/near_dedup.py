@@ -302,11 +302,3 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, counted: bool = Fal
 
 def decisions(docs: DataFrame) -> DataFrame:
     return classes(docs).select("doc_id", "class_id", "class_size", "kept")
-
-
-def unique_rows(decided: DataFrame) -> DataFrame:
-    """The kept rows as doc_id, key and n (rows with these two), for shared.retain()."""
-    n = decided.groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept"))
-    return n.filter("kept").select("doc_id", "key", "n")
-
-
