@@ -26,17 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import arrow_schema, column, pieces, spread
+from gleaner.llm.shared import arrow_schema, column, pieces, spread, utf8, word_hashes, words
 
 #: Bytes of a leaf of the tree, tokens of the first window on each side, and characters from which a unit takes the tree.
 LEAF, WINDOW, LONG = 4096, 16, 8192
-#: Units and characters that the table of encoded units holds; beyond, it starts anew.
-UNITS, UNIT_CHARS = 300_000, 8 << 20
+#: Units that an encoder remembers, pieces that it remembers, and bytes of a unit that is known by its hash.
+UNITS, PIECES, SHORT = 2_000_000, 200_000, 64
 
-#: White space before a blank, where a run of it can't be cut at that blank; control characters that count differently.
-_ODD = re.compile(r"\s |[\x1c-\x1f]")
-_CONTROL = re.compile(r"[\x1c-\x1f]")
-_RUNS = re.compile(r"\s*\S+|\s+")
+#: Letters of Latin-1, and texts of printable ASCII and these letters behind white space. For such texts
+#: the patterns below cut as the vocabularies' own patterns do; all other texts go through the library's splitting.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_PLAIN = re.compile(rf"[ \t\n\x0b\x0c\r]*[\x21-\x7e{_LETTERS}]*")
+_WITH_BLANKS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
+_BY_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+")
 
 
 def vocabulary(name: str) -> str:
@@ -99,7 +101,11 @@ class Tree:
 
 
 class Encoder:
-    """Ids of many texts. by_word: the vocabulary drops white space, so words are units; else a unit keeps the white space before it."""
+    """Ids of many texts. by_word: the vocabulary drops white space, so words are units; else a unit is a word with the white space before it.
+
+    Units are cut and told apart by array operations over the bytes of many texts at once (a unit of up to SHORT bytes is
+    known by a 64-bit hash and its length); each distinct one is split and encoded once, and its ids are kept.
+    """
 
     def __init__(self, path: str, by_word: bool) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -108,72 +114,126 @@ class Encoder:
         self.tok, self.path, self.by_word, self.tree = Tokenizer.from_file(path), path, by_word, None
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.model = self.tok.model
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.has_special = re.compile("|".join(re.escape(t).encode().decode() for t in self.special).encode()) if self.special else None
+        letters = {b: c for c, b in byte_letters().items()}
+        self.as_bytes = {i: "".join(letters[b] for b in chr(i).encode()) for i in range(256)}
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict = {}
-        self.held = 0
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.used = 0
-
-    def _add(self, units: list, ids: list) -> None:
-        n = len(self.index)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(sizes.sum())
-        while len(self.start) < n + len(ids):
-            self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
-        if len(self.flat) < self.used + total:
-            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(self.used, total) + total, np.uint32)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        self.size[n : n + len(ids)] = sizes
-        self.start[n : n + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        self.used += total
-        self.index.update(zip(units, range(n, n + len(ids)), strict=True))
-        self.held += sum(map(len, units))
+        self.key, self.width = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.pieces: dict[str, list[int]] = {}
+
+    def _piece(self, text: str) -> list[int]:
+        """Ids of what the vocabulary's splitting leaves whole, by its merges alone."""
+        out = self.pieces.get(text)
+        if out is None:
+            if len(self.pieces) >= PIECES:
+                self.pieces = {}
+            out = self.pieces[text] = [t.id for t in self.model.tokenize(text.translate(self.as_bytes))]
+        return out
 
-    def _long(self, unit: str) -> list[int]:
-        if self.by_word or _CONTROL.search(unit) or any(s in unit for s in self.special):
-            return self.tok.encode(unit, add_special_tokens=False).ids
+    def _unit(self, raw: bytes) -> list[int]:
+        text = raw.decode()
+        if len(raw) > LONG:
+            return self._long(text)
+        if self.special and "<" in text and any(s in text for s in self.special) or not _PLAIN.fullmatch(text):
+            return self.tok.encode(text, add_special_tokens=False).ids
+        parts = _BY_WORD.findall(text.lower()) if self.by_word else _WITH_BLANKS.findall(text)
+        if len(parts) == 1:
+            return self._piece(parts[0])
+        return [i for p in parts for i in self._piece(p)]
+
+    def _long(self, text: str) -> list[int]:
+        if self.by_word or any(s in text for s in self.special):
+            return self.tok.encode(text, add_special_tokens=False).ids
         self.tree = self.tree or Tree(self.path)
         out: list[int] = []
         with ThreadPoolExecutor() as pool:
-            for piece, _ in self.tok.pre_tokenizer.pre_tokenize_str(unit):
+            for piece, _ in self.tok.pre_tokenizer.pre_tokenize_str(text):
                 out += self.tree.encode(piece, pool) if len(piece) > LEAF else self.tree.leaf(piece)
         return out
 
-    def units(self, text: bytes) -> list:
+    def units(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the units of all texts, and the text of each."""
         if self.by_word:
-            return text.split()
-        s = text.decode()
-        if any(x in s for x in self.special):
-            return [s]
-        if _ODD.search(s):
-            return [s] if _CONTROL.search(s) else _RUNS.findall(s)
-        first, *rest = s.split(" ")
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, one text after the other, and where each text's begin and end."""
-        if len(self.index) > UNITS or self.held > UNIT_CHARS:
+            return words(data, at)
+        if not len(data):
+            return (np.zeros(0, np.int64),) * 3
+        blank = (data == 32) | ((data >= 9) & (data <= 13))
+        begin = np.zeros(len(data), bool)
+        begin[1:] = blank[1:] & ~blank[:-1]
+        odd = _odd_places(data)
+        if self.has_special:
+            odd = np.concatenate([odd, np.array([m.start() for m in self.has_special.finditer(data.tobytes())], np.int64)])
+        for row in np.unique(np.searchsorted(at, odd, "right") - 1):
+            begin[at[row] : at[row + 1]] = False
+        begin[at[:-1][np.diff(at) > 0]] = True
+        starts = np.flatnonzero(begin)
+        return starts, np.append(starts[1:], len(data)), np.searchsorted(at, starts, "right") - 1
+
+    def _keep(self, key: np.ndarray, width: np.ndarray, ids: list[list[int]]) -> None:
+        """key rises and holds nothing known."""
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(size.sum())
+        if len(self.flat) < self.used + total:
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * total, np.uint32)])
+        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+        place = np.searchsorted(self.key, key)
+        start = self.used + np.cumsum(size) - size
+        self.used += total
+        self.key, self.width = np.insert(self.key, place, key), np.insert(self.width, place, width)
+        self.start, self.size = np.insert(self.start, place, start), np.insert(self.size, place, size)
+
+    def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (their bytes, and where each begins and ends), one after the other, and where each text's begin and end."""
+        starts, ends, row = self.units(data, at)
+        texts = len(at) - 1
+        if len(self.key) > UNITS:
             self.clear()
-        units: list = []
-        ends = np.zeros(len(texts) + 1, np.int64)
-        for i, t in enumerate(texts):
-            units += self.units(t)
-            ends[i + 1] = len(units)
-        new = list(set(units).difference(self.index))
-        short, long = [u for u in new if len(u) <= LONG], [u for u in new if len(u) > LONG]
-        for i in range(0, len(short), 50_000):
-            part = short[i : i + 50_000]
-            self._add(part, [e.ids for e in self.tok.encode_batch_fast([u.decode() for u in part] if self.by_word else part, add_special_tokens=False)])
-        for u in long:
-            self._add([u], [self._long(u.decode() if self.by_word else u)])
-        rows = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
-        sizes = self.size[rows]
-        before = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
-        return self.flat[spread(self.start[rows], sizes)], before[ends]
+        raw = data.tobytes()
+        width = ends - starts
+        short = width <= SHORT
+        key, first, unit = np.unique(word_hashes(data, starts[short], ends[short]), return_index=True, return_inverse=True)
+        first = np.flatnonzero(short)[first]
+        place = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
+        new = np.flatnonzero(self.key[place] != key) if len(self.key) else np.arange(len(key))
+        if len(new):
+            self._keep(key[new], width[first[new]], [self._unit(raw[a:b]) for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+        place = np.searchsorted(self.key, key)
+        own = np.flatnonzero(short)
+        start, size = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        start[own], size[own] = self.start[place][unit.reshape(-1)], self.size[place][unit.reshape(-1)]
+        flat = self.flat[: self.used]
+        # long units, and any whose length is not that of the unit with its hash
+        alone = np.concatenate([np.flatnonzero(~short), own[self.width[place][unit.reshape(-1)] != width[own]]])
+        extra, used = [], len(flat)
+        for i in alone.tolist():
+            ids = self._unit(raw[starts[i] : ends[i]])
+            extra.append(np.array(ids, np.uint32))
+            start[i], size[i] = used, len(ids)
+            used += len(ids)
+        if extra:
+            flat = np.concatenate([flat, *extra])
+        per_text = np.bincount(row, size, minlength=texts).astype(np.int64) if len(row) else np.zeros(texts, np.int64)
+        return flat[spread(start, size)], np.concatenate([np.zeros(1, np.int64), np.cumsum(per_text)])
+
+
+def _odd_places(data: np.ndarray) -> np.ndarray:
+    """Bytes at which white space beyond ASCII begins, or controls that some count as white space."""
+    found = [np.flatnonzero((data >= 0x1C) & (data <= 0x1F))]
+    lead = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+    if len(lead):
+        after = np.concatenate([data, np.zeros(2, np.uint8)])
+        a, b, c = after[lead], after[lead + 1], after[lead + 2]
+        two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+        general = (a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+        other = ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE2) & (b == 0x81) & (c == 0x9F)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
+        found.append(lead[two | general | other])
+    return np.concatenate(found)
 
 
 class Decoder:
@@ -214,17 +274,13 @@ def decoder(path: str) -> Decoder:
     return Decoder(path)
 
 
-def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
-    return [x.encode("utf-8", "replace") if x else b"" for x in column(batch, name).to_pylist()]
-
-
 def encode(docs: DataFrame, path: str, by_word: bool = False) -> DataFrame:
     """doc_id and ids (array of int) of each row."""
     schema = arrow_schema("doc_id long, ids array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            ids, at = encoder(path, by_word).encode(texts_of(batch))
+            ids, at = encoder(path, by_word).encode(*utf8(column(batch, "text")))
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)), type=schema.field(1).type)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -247,16 +303,20 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
 _DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """Of each row, digests of the ids and of the text decoded from them: the rows of encode() and decode() leave no task."""
-    schema = arrow_schema(_DIGEST)
+def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """Of each row, the number of ids, and digests of the ids and of the text decoded from them; with_ids: the ids too."""
+    form = _DIGEST + ", ids array<int>" * with_ids
+    schema = arrow_schema(form)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            ids, at = encoder(path, False).encode(texts_of(batch))
+            ids, at = encoder(path, False).encode(*utf8(column(batch, "text")))
             raw = ids.astype("<u4").tobytes()
             hashed = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
             decoded = [hashlib.sha256(t).hexdigest() for t in decoder(path).decode(ids, at)]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(np.diff(at)), pa.array(hashed), pa.array(decoded)], schema=schema)
+            cols = [column(batch, "doc_id"), pa.array(np.diff(at)), pa.array(hashed, pa.string()), pa.array(decoded, pa.string())]
+            if with_ids:
+                cols.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)), type=schema.field("ids").type))
+            yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _DIGEST)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, form)
