@@ -141,7 +141,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """A 64-bit hash of each byte range: a polynomial over all bytes from prefix sums, shifted to the range's start."""
     up, down = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    terms = data.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= up[: len(data)]
+    np.cumsum(terms, out=sums[1:])
+    del terms
     return mixed((sums[ends] - sums[starts]) * down[starts], 1) ^ mixed((ends - starts).astype(np.uint64), 2)
 
 
@@ -187,23 +191,18 @@ def row_key(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("\x00null")))
 
 
-def retain(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs named by kept (doc_id, key, n: rows of docs with these two), each once.
+def retain(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of docs that decided (doc_id, key, kept: a row for each of docs) keeps.
 
     doc_id may be null or repeated, so rows are found by doc_id and key; of rows that are the same in both, one stays.
     """
     names = docs.columns
-    k = kept.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("n").alias("_n"))
-    rows = docs.withColumn("_k", row_key())
-    found = rows.join(k, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "inner")
-    once = found.filter("_n = 1").select(names)
+    kept = decided.groupBy("doc_id", "key").agg(F.count("*").alias("_n"), F.bool_or("kept").alias("kept")).filter("kept")
+    kept = kept.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_n")
+    found = docs.withColumn("_k", row_key()).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")))
     by = Window.partitionBy("_id", "_key").orderBy(F.lit(1))
     more = found.filter("_n > 1").withColumn("_r", F.row_number().over(by)).filter("_r = 1").select(names)
-    return once.unionByName(more)
-
-
-def empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+    return found.filter("_n = 1").select(names).unionByName(more)
 
 
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
