@@ -37,7 +37,7 @@ from gleaner.llm.language_id import fold
 from gleaner.llm.shared import arrow_schema, column, materialise, mixed, pack, partitions, pieces, scratch, unpack, utf8, word_hashes, words
 
 #: Bytes of text of a chunk, counts that are discounted, entries of a bucket, about.
-CHUNK, K, WORD_BUCKET, PAIR_BUCKET = 8 << 20, 5, 4_000_000, 2_000_000
+CHUNK, K, WORD_BUCKET, PAIR_BUCKET = 3 << 20, 5, 2_000_000, 1_000_000
 #: Ids: 0 for a word that training never saw, 1 for the start; the end is a word like others, named by this hash.
 UNKNOWN, START = 0, 1
 END_HASH = 0xE0D0E0D0E0D0E0D1
