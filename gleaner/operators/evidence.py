@@ -68,6 +68,11 @@ def redundancy(states: DataFrame, index: Index) -> DataFrame:
     return states.select("qid", "sid").join(with_bags, ["qid", "sid"], "left").select("qid", "sid", F.round(F.coalesce(mean, F.lit(0.0)), 9).alias("redundancy"))
 
 
+def _four(value: Column) -> Column:
+    """Four places, by way of nine: sums of equal parts in another order must not fall to two sides of a half."""
+    return F.round(F.round(value, 9), 4)
+
+
 def set_score(states: DataFrame, reqs: DataFrame, index: Index, scores: DataFrame, plan: DataFrame | None = None) -> DataFrame:
     """qid, sid, feasible, worst, mean, precision. scores: qid, block_ix, score. plan: also neighbours and budget count (final ranking)."""
     covered = coverage(states, reqs, index).groupBy("qid", "sid").agg(
@@ -79,7 +84,7 @@ def set_score(states: DataFrame, reqs: DataFrame, index: Index, scores: DataFram
         F.avg(F.coalesce("score", F.lit(0.0))).alias("base"), F.sum("tokens").alias("tokens"), F.count("*").alias("size"),
     )
     rows = covered.join(shape, ["qid", "sid"]).join(redundancy(states, index), ["qid", "sid"])
-    precision = F.round(0.45 * F.col("diversity") + 0.30 * F.col("authority") + 0.25 * F.least(F.col("base") * 60, F.lit(1.0)) - 0.40 * F.col("redundancy"), 4)
+    precision = _four(0.45 * F.col("diversity") + 0.30 * F.col("authority") + 0.25 * F.least(F.col("base") * 60, F.lit(1.0)) - 0.40 * F.col("redundancy"))
     rows = rows.withColumn("precision", precision)
     if plan is not None:
         near = neighbours(index.blocks).select("block_ix", "previous", "next")
@@ -87,8 +92,8 @@ def set_score(states: DataFrame, reqs: DataFrame, index: Index, scores: DataFram
         touching = joined.groupBy("qid", "sid").agg(F.count_if(F.coalesce(F.array_contains("blocks", F.col("previous")), F.lit(False)) | F.coalesce(F.array_contains("blocks", F.col("next")), F.lit(False))).alias("touching"))
         over = F.greatest(F.lit(0.0), (F.col("tokens") - F.col("budget")) / F.greatest(F.col("budget"), F.lit(1)))
         rows = rows.join(touching, ["qid", "sid"]).join(plan.select("qid", "budget"), "qid")
-        rows = rows.withColumn("precision", F.round(F.col("precision") + 0.12 * F.col("touching") / F.col("size") - 0.35 * F.least(over, F.lit(1.0)), 4))
-    return rows.select("qid", "sid", (F.col("worst") > 0).cast("int").alias("feasible"), F.round("worst", 4).alias("worst"), F.round("mean", 4).alias("mean"), "precision")
+        rows = rows.withColumn("precision", _four(F.col("precision") + 0.12 * F.col("touching") / F.col("size") - 0.35 * F.least(over, F.lit(1.0))))
+    return rows.select("qid", "sid", (F.col("worst") > 0).cast("int").alias("feasible"), _four(F.col("worst")).alias("worst"), _four(F.col("mean")).alias("mean"), "precision")
 
 
 def bridges(scores: DataFrame, states: DataFrame, n: int = BRIDGES) -> DataFrame:
