@@ -31,7 +31,7 @@ from gleaner.llm.shared import arrow_schema, column, pieces, spread, utf8, word_
 #: Bytes of a leaf of the tree, tokens of the first window on each side, and characters from which a unit takes the tree.
 LEAF, WINDOW, LONG = 4096, 16, 8192
 #: Units that an encoder remembers, pieces that it remembers, and bytes of a unit that is known by its hash.
-UNITS, PIECES, SHORT = 2_000_000, 200_000, 64
+UNITS, PIECES, SHORT = 600_000, 100_000, 64
 
 #: Letters of Latin-1, and texts of printable ASCII and these letters behind white space. For such texts
 #: the patterns below cut as the vocabularies' own patterns do; all other texts go through the library's splitting.

@@ -7,10 +7,11 @@ coordinate with the probability of their weighted Jaccard similarity. Work grows
 their product: regions of the plane are drawn as wholes, by a Poisson count from a hash.
 
 Documents with equal words are one. Others meet in buckets, by hashes of ROWS coordinates in each of BANDS bands. A
-bucket's pairs are never all formed at first: each member is held against the bucket's hub, the member that shares most
-buckets with others. Links join members into classes; then only members of different classes are held against each other,
-by new hubs, and when few such pairs are left, all of them, so that no link between classes is lost. A sketch of one byte
-for each coordinate drops hopeless pairs; the others' whole shingle sets decide.
+bucket's pairs are not formed: each member is held against the bucket's hub, the member that shares most buckets with
+others, and links join members into classes. Then whatever is outside the largest class of a bucket is held against all
+members of such buckets that are of another class, found by their rarest shingles: an exact filter, so no link between
+classes is lost, and one that keeps sets apart whose likeness is in common passages. A sketch of one byte for each
+coordinate drops hopeless pairs; the others' whole shingle sets decide.
 
 Defined results: null and wordless texts are alike to nothing, each is its own class; a text of fewer than five words is
 one shingle; a class is named by its least doc_id, null if all are null; that row stays, the first of equal ones.
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.components import components
@@ -34,9 +35,7 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 6
 #: Pairs whose sketches agree in a smaller share are dropped: 0.8 lies 5 standard deviations above.
 SKETCHED = 0.63
-#: Pairs left, for each row in a bucket, at which all are formed; rounds of hubs before that at most.
-LEFT, ROUNDS = 2, 8
-#: Pairs of one hub that share a copy of its shingles.
+#: Pairs with one second member that share a copy of its shingles.
 SALTED = 64
 
 _RANK_BITS = 44
@@ -225,8 +224,52 @@ def _sketch_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([column(batch, "a").filter(keep), column(batch, "b").filter(keep)], schema=schema)
 
 
+def _classes_of(links: DataFrame, folder: str) -> DataFrame:
+    """Labels (uid, label) of rows with a link."""
+    return components(links, folder).select(F.col("node").alias("uid"), "label")
+
+
+def _elements(counted: bool):
+    """Each element of a set as a row; the copies of a counted shingle are elements of their own."""
+    schema = arrow_schema("uid long, item long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uid, items, times in zip(*(column(batch, c).to_pylist() for c in ("uid", "items", "times")), strict=True):
+                own = unpack(items)
+                if counted:
+                    n = unpack(times).astype(np.int64)
+                    own = mixed(np.repeat(own, n) + mixed((np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64), 700), 701)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), uid)), pa.array(own.view(np.int64))], schema=schema)
+
+    return run
+
+
+def _by_prefix(rows: DataFrame, sets: DataFrame, similarity: float, counted: bool, folder: str) -> DataFrame:
+    """rows (uid, label, n, outside): all pairs (a, b) of different labels, one of them outside, that can be alike.
+
+    Two sets of similarity s, of sizes n and m, share an element among the first n - ceil(s n) + 1 and the first
+    m - ceil(s m) + 1 of them in any order that is the same for all; rare elements come first, so few sets meet.
+    """
+    elements = materialise(sets.join(rows.select("uid"), "uid", "left_semi").mapInArrow(_elements(counted), "uid long, item long"), folder)
+    often = elements.groupBy("item").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = elements.join(often, "item", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    order = Window.partitionBy("uid").orderBy("df", "item")
+    prefix = ranked.withColumn("place", F.row_number().over(order)).join(rows, "uid").filter(F.col("place") <= F.col("n") - F.ceil(F.lit(similarity - 1e-9) * F.col("n")) + 1)
+    # an element that no other set has can't be met
+    prefix = materialise(prefix.filter("df > 1").select("uid", "label", "n", "outside", "item", "place"), folder)
+    theirs = prefix.select("item", F.col("uid").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"), F.col("outside").alias("hub_outside"), F.col("place").alias("hub_place"))
+    close = F.least("n", "hub_n") >= F.lit(similarity) * F.greatest("n", "hub_n") - F.lit(1e-9)
+    once = ~F.col("hub_outside") | (F.col("uid") < F.col("hub"))
+    # behind the first element that both have, the shorter rest bounds what they can share
+    need = F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("hub_n")) - F.lit(1e-6)
+    enough = 1 + F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("hub_place")) >= need
+    met = prefix.filter("outside").join(theirs, "item").filter((F.col("label") != F.col("hub_label")) & once & close & enough)
+    return materialise(met.select(F.col("uid").alias("a"), F.col("hub").alias("b")).distinct(), folder)
+
+
 def _linked(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, similarity: float, counted: bool, folder: str) -> DataFrame:
-    """Of pairs (a, b: the hub), those whose whole sets are alike. A hub's set goes to one task for each SALTED of its pairs."""
+    """Of pairs (a, b), those whose whole sets are alike. The set of b goes to one task for each SALTED of its pairs."""
     sketched = pairs.join(sketches.select(F.col("uid").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("uid").alias("b"), F.col("sketch").alias("y")), "b")
     kept = materialise(sketched.mapInArrow(_sketch_alike, "a long, b long"), folder)
     salts = kept.groupBy("b").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("salts"))
@@ -257,47 +300,27 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, counted: bool = Fal
     sets = materialise(found.select("uid", "text").mapInArrow(_sets(counted), "uid long, items binary, times binary"), folder)
     sketches = reps.select("uid", "sketch")
 
-    rows_in = members.count()
-    tested = spark.createDataFrame([], "a long, b long")
-    links = spark.createDataFrame([], "a long, b long")
-    labels = members.select("uid").distinct().withColumn("label", F.col("uid"))
     close = F.least("n", "hub_n") >= F.lit(similarity) * F.greatest("n", "hub_n") - F.lit(1e-9)
-    for turn in range(ROUNDS + 1):
-        now = members.join(labels, "uid")
-        seen = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
-        now = materialise(now.join(seen, "bucket"), folder)
-        per_label = now.groupBy("bucket", "label").agg(F.count("*").alias("own"))
-        main = materialise(per_label.groupBy("bucket").agg(F.max(F.struct("own", "label")).alias("main"), F.sum("own").alias("all")), folder)
-        left = main.agg(F.sum((F.col("all") - F.col("main.own")) * F.col("all"))).first()[0] or 0
-        if not left:
-            break
-        last = turn > 0 and (left <= LEFT * rows_in or turn == ROUNDS)
-        if last:
-            rest = now.join(main, "bucket").filter(F.col("label") != F.col("main.label"))
-            hubs = rest.select("bucket", F.col("uid").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"))
-        else:
-            order = F.struct("central", F.xxhash64("uid")) if turn == 0 else F.struct(F.xxhash64("uid", F.lit(turn)))
-            hubs = now.groupBy("bucket").agg(F.max_by(F.struct("uid", "n", "label"), order).alias("h")).select("bucket", F.col("h.uid").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.label").alias("hub_label"))
-        pairs = now.join(hubs, "bucket").filter((F.col("label") != F.col("hub_label")) & close)
-        if last:
-            # a pair of two members outside the main class comes twice
-            pairs = pairs.select(F.least("uid", "hub").alias("a"), F.greatest("uid", "hub").alias("b"))
-        else:
-            pairs = pairs.select(F.col("uid").alias("a"), F.col("hub").alias("b"))
-        pairs = pairs.distinct()
-        both = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        pairs = materialise(pairs.join(both, ["a", "b"], "left_anti") if turn else pairs, folder)
-        linked = _linked(pairs, sketches, sets, similarity, counted, folder)
-        links, tested = links.unionByName(linked), tested.unionByName(pairs)
-        joined = components(links, folder)
-        labels = materialise(members.select("uid").distinct().join(joined, F.col("uid") == F.col("node"), "left").select("uid", F.coalesce("label", "uid").alias("label")), folder)
-        if last:
-            break
+    # each member against its bucket's hub
+    hubs = members.groupBy("bucket").agg(F.max_by(F.struct(F.col("uid").alias("hub"), F.col("n").alias("hub_n")), F.struct("central", F.xxhash64("uid"))).alias("h"), F.count("*").alias("size")).select("bucket", "size", "h.*")
+    met = materialise(members.join(hubs, "bucket"), folder)
+    pairs = met.filter((F.col("uid") != F.col("hub")) & close).select(F.col("uid").alias("a"), F.col("hub").alias("b")).distinct()
+    linked = _linked(pairs, sketches, sets, similarity, counted, folder)
+    labels = _classes_of(linked, folder)
+    # what is outside the largest class of a bucket of three and more, against all of such buckets
+    now = met.filter("size > 2").select("bucket", "uid", "n").join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+    counts = now.groupBy("bucket", "label").agg(F.count("*").alias("own")).groupBy("bucket").agg(F.max(F.struct("own", "label")).alias("main"), F.sum("own").alias("all"))
+    open_ = now.join(counts.filter("main.own < all").select("bucket", F.col("main.label").alias("main")), "bucket")
+    left = materialise(open_.groupBy("uid", "label", "n").agg(F.bool_or(F.col("label") != F.col("main")).alias("outside")), folder)
+    pairs = _by_prefix(left, sets, similarity, counted, folder)
+    linked = linked.unionByName(_linked(pairs, sketches, sets, similarity, counted, folder))
+    labels = _classes_of(linked, folder)
     named = signed.join(alike, ["c1", "c2"], "left").withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("uid")))
     out = named.select("uid", "doc_id", "key", "rep").join(labels.withColumnRenamed("uid", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     out = materialise(out.select("uid", "doc_id", "key", "label"), folder)
     per_class = out.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "uid")).alias("first"))
-    return out.join(per_class, "label").select("uid", "doc_id", "key", "class_id", "class_size", (F.col("uid") == F.col("first.uid")).alias("kept"))
+    # written first, so that a class with many rows can be split in the join
+    return out.join(materialise(per_class, folder), "label").select("uid", "doc_id", "key", "class_id", "class_size", (F.col("uid") == F.col("first.uid")).alias("kept"))
 
 
 def decisions(docs: DataFrame) -> DataFrame:

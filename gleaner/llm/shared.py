@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -20,11 +22,14 @@ from pyspark.sql.window import Window
 BLANKS = b" \t\n\x0b\x0c\r"
 
 _SHIPPED = "_gleaner_shipped"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python, once per context: they need no shared code folder."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH) == "10000":  # Spark's default: rows of a batch that JVM and Python both hold
+        spark.conf.set(_BATCH, "2000")
     if getattr(sc, _SHIPPED, False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -84,14 +89,22 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], name: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of about `most` bytes of the named column, one row at least."""
+def pieces(batches: Iterator[pa.RecordBatch], name: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `most` bytes of the named column, one row at least; then memory that is free goes back."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(column(batch, name)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         group = np.cumsum(size) // most if len(size) else size
         starts = np.flatnonzero(np.diff(group, prepend=-1)) if len(size) else []
         for a, b in zip(starts, [*starts[1:], len(size)], strict=True):
             yield batch.slice(int(a), int(b - a))
+    release()
+
+
+def release() -> None:
+    """Give free memory of this process back to the system, as a worker that waits for its next task keeps it else."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not everywhere is there a malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
