@@ -13,6 +13,7 @@ lang teach nothing; equal losses go to the language first in code point order.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -26,6 +27,8 @@ from gleaner.llm.shared import arrow_schema, column, mixed, pieces, spread, word
 
 #: Buckets of n-grams, smoothing, steepness of the loss, and the share of the loss that a clear winner must save.
 BUCKETS, ADD, STEEP, CLEAR = 1 << 15, 0.5, 4.0, 0.02
+#: Share of letters that learned languages must have, and share of all learned letters that one has to reach.
+KNOWN, RARE = 0.5, 1e-6
 UNKNOWN = "und"
 
 
@@ -48,6 +51,8 @@ class Words:
     count: np.ndarray
     word: np.ndarray
     row: np.ndarray
+    letters: np.ndarray  # code points of all letters, and the text of each
+    letter_row: np.ndarray
 
 
 def words_of(texts: list[str | None]) -> Words:
@@ -78,12 +83,13 @@ def words_of(texts: list[str | None]) -> Words:
     own = np.concatenate([owner[inner], owner[two], owner[three]])
     order = np.argsort(own, kind="stable")
     count = np.bincount(own, minlength=len(size))
-    return Words(np.concatenate(gram)[order].astype(np.int64), np.cumsum(count) - count, count, word.reshape(-1), np.searchsorted(ends, starts, "right"))
+    at = np.flatnonzero(letter[1:-1])
+    return Words(np.concatenate(gram)[order].astype(np.int64), np.cumsum(count) - count, count, word.reshape(-1), np.searchsorted(ends, starts, "right"), points[at], np.searchsorted(ends, at, "right"))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = arrow_schema("lang string, bucket int, n long")
-    total: dict[str, np.ndarray] = {}
+    total: dict[str, tuple[np.ndarray, Counter]] = {}
     for batch in pieces(batches, "text"):
         langs = column(batch, "lang").to_pylist()
         names = sorted(set(langs))
@@ -94,11 +100,15 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner = np.repeat(np.arange(len(w.count)), w.count)
         for i, name in enumerate(names):
             uses = np.bincount(w.word[at[w.row] == i], minlength=len(w.count))
-            total.setdefault(name, np.zeros(BUCKETS))
-            total[name] += np.bincount(w.grams, uses[owner], minlength=BUCKETS)
-    for name, n in total.items():
-        used = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(used)), pa.array(used, pa.int32()), pa.array(n[used].astype(np.int64))], schema=schema)
+            grams, letters = total.setdefault(name, (np.zeros(BUCKETS, np.int64), Counter()))
+            grams += np.bincount(w.grams, uses[owner], minlength=BUCKETS).astype(np.int64)
+            point, n = np.unique(w.letters[at[w.letter_row] == i], return_counts=True)
+            letters.update(dict(zip(point.tolist(), n.tolist(), strict=True)))
+    for name, (grams, letters) in total.items():  # letters are numbered behind the n-gram buckets
+        used = np.flatnonzero(grams)
+        place = np.concatenate([used, BUCKETS + np.array([*letters], np.int64)])
+        n = np.concatenate([grams[used], np.array([*letters.values()], np.int64)])
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(n)), pa.array(place, pa.int32()), pa.array(n)], schema=schema)
 
 
 def codewords(n: int) -> np.ndarray:
@@ -125,6 +135,7 @@ class Model:
     code: np.ndarray
     weight: np.ndarray
     apart: np.ndarray
+    letters: np.ndarray
 
     def losses(self, margins: np.ndarray) -> np.ndarray:
         """Row by language: logistic losses of the margins (in units of half the distance of a bit's sides)."""
@@ -132,8 +143,12 @@ class Model:
         share = self.apart / self.apart.sum()
         return np.stack([(np.logaddexp(0, -z * c) * share).sum(1) for c in self.code], 1)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score and whether it is ambiguous, of each text."""
+    def known_letters(self, w: Words, n: int) -> np.ndarray:
+        """Of each text, the share of letters that the learned languages have; 0 without letters."""
+        return np.bincount(w.letter_row, np.isin(w.letters, self.letters), minlength=n) / np.maximum(1, np.bincount(w.letter_row, minlength=n))
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score, whether it is ambiguous, and whether its letters are those of learned languages, of each text."""
         w = words_of(texts)
         n = len(texts)
         grams = np.bincount(w.row, w.count[w.word], minlength=n) if len(w.word) else np.zeros(n)
@@ -143,25 +158,30 @@ class Model:
             margins[:, b] = np.bincount(w.row, own[w.word], minlength=n)
         margins /= np.maximum(grams, 1)[:, None]
         if not self.langs:
-            return [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
+            return [UNKNOWN] * n, np.zeros(n), np.ones(n, bool), np.zeros(n, bool)
         loss = self.losses(margins)
         best = loss.argmin(1)
         odds = np.exp((loss.min(1)[:, None] - loss) * 8)
         score = np.where(grams > 0, 1 / odds.sum(1), 0.0)
         other = np.sort(loss, 1)[:, 1] if len(self.langs) > 1 else loss[:, 0] * 2
         ambiguous = (grams == 0) | (other - loss.min(1) < CLEAR * other)
-        return [self.langs[k] if g else UNKNOWN for k, g in zip(best, grams, strict=True)], score, ambiguous
+        return [self.langs[k] if g else UNKNOWN for k, g in zip(best, grams, strict=True)], score, ambiguous, self.known_letters(w, n) >= KNOWN
 
 
 def fit(docs: DataFrame) -> Model:
-    """The classifiers of all rows (text, lang) with a lang; what comes to the driver is a count for each language and bucket."""
+    """The classifiers of all rows (text, lang) with a lang; what comes to the driver is a count for each language and bucket or letter."""
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
     found = rows.mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(found.column("lang").to_pylist()))
     counts = np.zeros((len(names), BUCKETS))
     place = {x: i for i, x in enumerate(names)}
     rows_at = np.fromiter((place[x] for x in found.column("lang").to_pylist()), np.int64, found.num_rows)
-    counts[rows_at, found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    bucket, n = found.column("bucket").to_numpy(), found.column("n").to_numpy()
+    gram = bucket < BUCKETS
+    counts[rows_at[gram], bucket[gram]] = n[gram]
+    points, at = np.unique(bucket[~gram] - BUCKETS, return_inverse=True)
+    often = np.bincount(at.reshape(-1), n[~gram], minlength=len(points)) if len(points) else np.zeros(0)
+    letters = points[often > RARE * often.sum()].astype(np.uint32)
     share = (counts + ADD) / (counts + ADD).sum(1, keepdims=True) if names else counts
     code = codewords(len(names))
     weights, apart = [], []
@@ -172,7 +192,7 @@ def fit(docs: DataFrame) -> Model:
         middle = (ones @ weight + zeros @ weight) / 2
         weights.append(weight - middle)
         apart.append(max(1e-9, (ones - zeros) @ weight))
-    return Model(names, code, np.array(weights).astype(np.float32), np.array(apart))
+    return Model(names, code, np.array(weights).astype(np.float32), np.array(apart), letters)
 
 
 def classify(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
@@ -186,7 +206,7 @@ def classify(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "_text"):
-            langs, score, ambiguous = sent.value.predict(column(batch, "_text").to_pylist())
+            langs, score, ambiguous, _ = sent.value.predict(column(batch, "_text").to_pylist())
             own = [column(batch, c).cast(schema.field(c).type) for c in carry]
             yield pa.RecordBatch.from_arrays([*own, pa.array(langs), pa.array(score), pa.array(ambiguous)], schema=schema)
 
@@ -194,14 +214,17 @@ def classify(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of docs in a language that the model knows: texts without letters and ambiguous ones go."""
+    """The rows of docs in the script of learned languages: texts without letters go, and those with mostly other letters.
+
+    A text in two languages is ambiguous, but stays.
+    """
     learned = docs.select("text", "lang", fold("doc_id", 4).alias("fold")).filter("fold <> 2")
     sent = docs.sparkSession.sparkContext.broadcast(fit(learned))
 
     @F.arrow_udf("boolean")
     def clear(text: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([text], names=["text"])
-        out = [~sent.value.predict(column(b, "text").to_pylist())[2] for b in pieces([batch], "text")]
+        out = [sent.value.predict(column(b, "text").to_pylist())[3] for b in pieces([batch], "text")]
         return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
 
     return docs.filter(clear("text"))
