@@ -30,8 +30,10 @@ from gleaner.llm.shared import arrow_schema, column, pieces, spread, utf8, word_
 
 #: Bytes of a leaf of the tree, tokens of the first window on each side, and characters from which a unit takes the tree.
 LEAF, WINDOW, LONG = 4096, 16, 8192
-#: Units that an encoder remembers, pieces that it remembers, and bytes of a unit that is known by its hash.
-UNITS, PIECES, SHORT = 600_000, 100_000, 64
+#: Units that an encoder remembers, pieces that it remembers, bytes of a unit that is known by its hash, new units merged at once.
+UNITS, PIECES, SHORT, MERGED = 1_500_000, 150_000, 64, 1 << 17
+#: Bytes of text that are encoded together.
+TOGETHER = 2 << 20
 
 #: Letters of Latin-1, and texts of printable ASCII and these letters behind white space. For such texts
 #: the patterns below cut as the vocabularies' own patterns do; all other texts go through the library's splitting.
@@ -122,8 +124,10 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.key, self.width = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # hashes in order with the units' numbers, most in one pair of arrays, new ones in another that is merged now and then
+        self.old, self.new = [(np.zeros(0, np.uint64), np.zeros(0, np.int32)) for _ in range(2)]
+        self.count = 0
+        self.width, self.start, self.size = (np.zeros(1 << 12, np.int64) for _ in range(3))
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.pieces: dict[str, list[int]] = {}
 
@@ -175,41 +179,61 @@ class Encoder:
         starts = np.flatnonzero(begin)
         return starts, np.append(starts[1:], len(data)), np.searchsorted(at, starts, "right") - 1
 
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """The units' numbers, -1 for those that aren't known."""
+        out = np.full(len(key), -1, np.int64)
+        for known, number in (self.old, self.new):
+            if len(known):
+                place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                hit = known[place] == key
+                out[hit] = number[place[hit]]
+        return out
+
     def _keep(self, key: np.ndarray, width: np.ndarray, ids: list[list[int]]) -> None:
         """key rises and holds nothing known."""
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(size.sum())
+        total, n = int(size.sum()), self.count + len(ids)
         if len(self.flat) < self.used + total:
-            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * total, np.uint32)])
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used // 2 + 2 * total, np.uint32)])
+        if len(self.start) < n:
+            more = np.zeros(n // 2 + len(ids), np.int64)
+            self.width, self.start, self.size = (np.concatenate([x[: self.count], more]) for x in (self.width, self.start, self.size))
         self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        place = np.searchsorted(self.key, key)
-        start = self.used + np.cumsum(size) - size
-        self.used += total
-        self.key, self.width = np.insert(self.key, place, key), np.insert(self.width, place, width)
-        self.start, self.size = np.insert(self.start, place, start), np.insert(self.size, place, size)
+        self.width[self.count : n], self.size[self.count : n] = width, size
+        self.start[self.count : n] = self.used + np.cumsum(size) - size
+        self.new = self._merged(self.new, (key, np.arange(self.count, n, dtype=np.int32)))
+        self.used, self.count = self.used + total, n
+        if len(self.new[0]) > MERGED:
+            self.old, self.new = self._merged(self.old, self.new), (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+
+    @staticmethod
+    def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        place = np.searchsorted(a[0], b[0])
+        return np.insert(a[0], place, b[0]), np.insert(a[1], place, b[1])
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (their bytes, and where each begins and ends), one after the other, and where each text's begin and end."""
         starts, ends, row = self.units(data, at)
         texts = len(at) - 1
-        if len(self.key) > UNITS:
+        if self.count > UNITS:
             self.clear()
         raw = data.tobytes()
         width = ends - starts
         short = width <= SHORT
         key, first, unit = np.unique(word_hashes(data, starts[short], ends[short]), return_index=True, return_inverse=True)
         first = np.flatnonzero(short)[first]
-        place = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
-        new = np.flatnonzero(self.key[place] != key) if len(self.key) else np.arange(len(key))
+        number = self._find(key)
+        new = np.flatnonzero(number < 0)
         if len(new):
+            before = self.count
             self._keep(key[new], width[first[new]], [self._unit(raw[a:b]) for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-        place = np.searchsorted(self.key, key)
-        own = np.flatnonzero(short)
+            number[new] = np.arange(before, self.count)
+        own, each = np.flatnonzero(short), number[unit.reshape(-1)]
         start, size = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-        start[own], size[own] = self.start[place][unit.reshape(-1)], self.size[place][unit.reshape(-1)]
+        start[own], size[own] = self.start[each], self.size[each]
         flat = self.flat[: self.used]
         # long units, and any whose length is not that of the unit with its hash
-        alone = np.concatenate([np.flatnonzero(~short), own[self.width[place][unit.reshape(-1)] != width[own]]])
+        alone = np.concatenate([np.flatnonzero(~short), own[self.width[each] != width[own]]])
         extra, used = [], len(flat)
         for i in alone.tolist():
             ids = self._unit(raw[starts[i] : ends[i]])
@@ -279,7 +303,7 @@ def encode(docs: DataFrame, path: str, by_word: bool = False) -> DataFrame:
     schema = arrow_schema("doc_id long, ids array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", TOGETHER):
             ids, at = encoder(path, by_word).encode(*utf8(column(batch, "text")))
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)), type=schema.field(1).type)], schema=schema)
 
@@ -304,19 +328,25 @@ _DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
-    """Of each row, the number of ids, and digests of the ids and of the text decoded from them; with_ids: the ids too."""
-    form = _DIGEST + ", ids array<int>" * with_ids
+    """Of each row, the number of ids, and digests of the ids and of the text decoded from them.
+
+    with_ids: the ids too, as little-endian unsigned integers of two bytes, or of four for vocabularies beyond 65,536 ids:
+    as lists of integers they would take many times the memory on their way to a file.
+    """
+    form = _DIGEST + ", ids binary" * with_ids
     schema = arrow_schema(form)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", TOGETHER):
             ids, at = encoder(path, False).encode(*utf8(column(batch, "text")))
             raw = ids.astype("<u4").tobytes()
             hashed = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
             decoded = [hashlib.sha256(t).hexdigest() for t in decoder(path).decode(ids, at)]
             cols = [column(batch, "doc_id"), pa.array(np.diff(at)), pa.array(hashed, pa.string()), pa.array(decoded, pa.string())]
             if with_ids:
-                cols.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)), type=schema.field("ids").type))
+                wide = 2 if len(decoder(path).size) <= 1 << 16 else 4
+                thin = ids.astype(f"<u{wide}").tobytes()
+                cols.append(pa.array([thin[wide * a : wide * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()))
             yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, form)

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.bpe import encoder
+from gleaner.llm.bpe import TOGETHER, encoder
 from gleaner.llm.shared import arrow_schema, column, materialise, pack, partitions, pieces, scratch, unpack, utf8
 
 MAGIC = b"TOKHUFF1"
@@ -154,7 +154,7 @@ def _tokens(docs: DataFrame, path: str, end: int) -> DataFrame:
     schema = arrow_schema("doc_id long, n long, ids binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", TOGETHER):
             ids, at = encoder(path, True).encode(*utf8(column(batch, "text")))
             each = [np.append(ids[a:b], np.uint32(end)) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(np.diff(at) + 1), pa.array([_thin(x) for x in each], pa.binary())], schema=schema)

@@ -19,4 +19,4 @@ def test_stages(spark):
             assert near_dedup.decisions(docs).filter("class_size > 1").count() == 0
     assert sizes[0] >= sizes[1] > sizes[2] >= sizes[3] and docs.select("doc_id").distinct().count() <= sizes[3]
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
-    assert last.count() == docs.count() and last.filter("size(ids) <> n_tokens").count() == 0
+    assert last.count() == docs.count() and last.filter("octet_length(ids) <> 2 * n_tokens").count() == 0
