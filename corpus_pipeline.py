@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over documents, each calling one operator of gleaner.llm.
 
 Each stage takes what its predecessor kept, and its decisions take effect: rejected and duplicate documents go, and a
-document that the mix takes several times comes as several rows. The last returns the ids of each row's text.
+document that the mix takes several times comes as several rows. The last returns the ids of each row's text,
+two bytes each, with digests of them and of the text decoded from them.
 """
 
 from __future__ import annotations
