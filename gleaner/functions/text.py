@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -89,11 +90,7 @@ def padded(text: Column) -> Column:
 
 def has_phrase(text: Column, phrases: list[str]) -> Column:
     """Whether one of the phrases occurs as whole words."""
-    plain = padded(text)
-    out = F.lit(False)
-    for p in phrases:
-        out = out | plain.contains(f" {p} ")
-    return out
+    return padded(text).rlike(f" ({'|'.join(phrases)}) ")
 
 
 def _number(text: Column, pattern: str) -> Column:
@@ -202,18 +199,12 @@ def claims(paragraph: Column) -> Column:
     s = strip(paragraph)
     up, low = F.upper(s), F.regexp_replace(F.lower(s), r"^[*_ ]+", "")
     out = (F.length(s) > 80) & ~s.rlike(r"\[\d+\]") & ~s.endswith("?") & ~s.rlike(r"^[-*•#]")
-    for start in ("FUENTES", "PREGUNTA", "**FUENTES", *MARKERS):
-        out = out & ~up.startswith(start)
-    for start in FRAMING:
-        out = out & ~low.startswith(start)
-    return out
+    marked = "|".join(map(re.escape, ("FUENTES", "PREGUNTA", "**FUENTES", *MARKERS)))
+    return out & ~up.rlike(f"^({marked})") & ~low.rlike(f"^({'|'.join(map(re.escape, FRAMING))})")
 
 
 def contains_any(text: Column, phrases: list[str]) -> Column:
-    out = F.lit(False)
-    for p in phrases:
-        out = out | text.contains(p)
-    return out
+    return text.rlike("|".join(map(re.escape, phrases)))
 
 
 def traces(answer: Column) -> dict[str, Column]:

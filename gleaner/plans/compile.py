@@ -41,8 +41,7 @@ def plans(questions: DataFrame, index: Index) -> DataFrame:
     """questions (qid, question): kind, budget, week and unit (if the index has blocks of them), admin, filtered, quota."""
     q = F.col("question")
     rows = questions.select("qid", "question", query_type(q).alias("kind"), X.has_phrase(q, ADMIN).alias("admin"), X.week_number(q).alias("w"), X.unit_number(q).alias("u"))
-    have_week = index.docs.join(index.blocks.select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("week").alias("w")).filter("w IS NOT NULL").distinct().withColumn("week", F.col("w"))
-    have_unit = index.docs.join(index.blocks.select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("unit").alias("u")).filter("u IS NOT NULL").distinct().withColumn("unit", F.col("u"))
+    have_week, have_unit = (index.blocks.filter(F.col(c).isNotNull()).select(F.col(c).alias(c[0])).distinct().withColumn(c, F.col(c[0])) for c in ("week", "unit"))
     out = rows.join(have_week, "w", "left").join(have_unit, "u", "left")
     filtered = F.col("week").isNotNull() | F.col("unit").isNotNull()
     return out.select("qid", "question", "kind", budget(F.col("kind")).alias("budget"), "week", "unit", "admin", filtered.alias("filtered"), quota(F.col("kind"), filtered).alias("quota"))

@@ -69,6 +69,13 @@ _BASE = "blocks docs weeks units"
 _ALL = "blocks docs weeks units bm_weights tf_weights ctx_post body_post cover_idf near"
 
 
+def _light(spark, d):
+    """For queries that read one ranking: nothing is written."""
+    index = I.build(spark, d)
+    plan = C.plans(questions(spark, d), index)
+    return index, plan, C.requirements(plan, index)
+
+
 def _compiled(spark, d):
     index = S.stage_index(I.build(spark, d))
     plan = staged(C.plans(questions(spark, d), index))
@@ -88,7 +95,7 @@ def mode_budgets(spark, d):
 
 @query(with_tables(_BASE, _Q, _PLANS, _REQS, query="SELECT qid, rid, kind, mandatory, array_to_string(terms, ' ') AS terms, array_to_string(entities, ' ') AS entities, len(markers) AS markers FROM reqs"))
 def requirement_terms(spark, d):
-    _, _, reqs = _compiled(spark, d)
+    _, _, reqs = _light(spark, d)
     return reqs.select("qid", "rid", "kind", "mandatory", F.array_join("terms", " ").alias("terms"), F.array_join("entities", " ").alias("entities"), F.size("markers").cast("long").alias("markers"))
 
 
@@ -96,7 +103,7 @@ def _ranked(name: str, table: str, needs: str, *parts: str):
     sql = with_tables(needs, _Q, _PLANS, _REQS, _TERMS, *parts, query=f"SELECT qid, rid, block_ix, round(CAST(score AS DOUBLE), 6) AS score, rank FROM {table}")
 
     def run(spark, d):
-        index, plan, reqs = _compiled(spark, d)
+        index, plan, reqs = _light(spark, d)
         return R.signals(reqs, plan, index)[name].select("qid", "rid", "block_ix", F.round(F.col("score").cast("double"), 6).alias("score"), "rank")
 
     return sql, run
@@ -112,7 +119,7 @@ for _query, _args in {
 
 @query(with_tables(_BASE, _Q, _PLANS, _STRUCT, query="SELECT qid, block_ix, rank FROM st"))
 def structure_match(spark, d):
-    index, plan, _ = _compiled(spark, d)
+    index, plan, _ = _light(spark, d)
     return R.structure(plan, index).select("qid", "block_ix", "rank")
 
 
@@ -149,13 +156,13 @@ _TEN = "ten AS MATERIALIZED (SELECT qid, sum(score) / least(10, (SELECT n FROM n
 
 @query(with_tables(_BASE + " body_post", _Q, _PLANS, _REQS, _R1, _DENS, query="SELECT qid, round(density, 6) AS density FROM dens"))
 def density(spark, d):
-    index, _, reqs = _compiled(spark, d)
+    index, _, reqs = _light(spark, d)
     return C.density(reqs, index).select("qid", F.round("density", 6).alias("density"))
 
 
 @query(with_tables(_BASE + " bm_weights n_blocks", _Q, _PLANS, _REQS, _TERMS, _BM, _TEN, query="SELECT qid, round(mean, 6) AS mean FROM ten"))
 def bm25_top10_mean(spark, d):
-    index, _, reqs = _compiled(spark, d)
+    index, _, reqs = _light(spark, d)
     return C.top_ten_mean(reqs, index).select("qid", F.round("mean", 6).alias("mean"))
 
 
