@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import arrow_schema, column, pieces, spread, utf8, word_hashes, words
+from gleaner.llm.shared import arrow_schema, column, pieces, spread, utf8, word_hashes, words, working_for
 
 #: Bytes of a leaf of the tree, tokens of the first window on each side, and characters from which a unit takes the tree.
 LEAF, WINDOW, LONG = 4096, 16, 8192
@@ -288,12 +288,12 @@ class Decoder:
         return out
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str, by_word: bool) -> Encoder:
     return Encoder(path, by_word)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def decoder(path: str) -> Decoder:
     return Decoder(path)
 
@@ -303,6 +303,7 @@ def encode(docs: DataFrame, path: str, by_word: bool = False) -> DataFrame:
     schema = arrow_schema("doc_id long, ids array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_for("bpe", encoder.cache_clear, decoder.cache_clear)
         for batch in pieces(batches, "text", TOGETHER):
             ids, at = encoder(path, by_word).encode(*utf8(column(batch, "text")))
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)), type=schema.field(1).type)], schema=schema)
@@ -337,6 +338,7 @@ def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     schema = arrow_schema(form)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_for("bpe", encoder.cache_clear, decoder.cache_clear)
         for batch in pieces(batches, "text", TOGETHER):
             ids, at = encoder(path, False).encode(*utf8(column(batch, "text")))
             raw = ids.astype("<u4").tobytes()

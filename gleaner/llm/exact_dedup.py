@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import BLANKS, arrow_schema, column, materialise, partitions, pieces, row_key, scratch
+from gleaner.llm.shared import BLANKS, arrow_schema, column, materialise, partitions, pieces, row_key, scratch, working_for
 
 #: Primes below 2^31 and a base for each.
 MODULI = (2147483647, 2147483629, 2147483587, 2147483579)
@@ -75,6 +75,7 @@ def _small(moduli: tuple[int, ...]):
     schema = arrow_schema(_FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_for("exact_dedup")
         for batch in pieces(batches, "text"):
             ids, keys = column(batch, "doc_id"), column(batch, "key")
             cols: list[list] = [[] for _ in range(7)]

@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import arrow_schema, column, mixed, pieces, spread, word_hashes
+from gleaner.llm.shared import arrow_schema, column, mixed, pieces, spread, word_hashes, working_for
 
 #: Buckets of n-grams, smoothing, steepness of the loss, and the share of the loss that a clear winner must save.
 BUCKETS, ADD, STEEP, CLEAR = 1 << 15, 0.5, 4.0, 0.02
 #: Share of letters that learned languages must have, and share of all learned letters that one has to reach.
 KNOWN, RARE = 0.5, 1e-6
 UNKNOWN = "und"
+#: Bytes of text that are taken apart at once: n-grams of their words take fifty times as many.
+PIECE = 1 << 19
 
 
 def fold(name: str, of: int) -> Column:
@@ -90,7 +92,8 @@ def words_of(texts: list[str | None]) -> Words:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = arrow_schema("lang string, bucket int, n long")
     total: dict[str, tuple[np.ndarray, Counter]] = {}
-    for batch in pieces(batches, "text"):
+    working_for("language_id", _letters.cache_clear)
+    for batch in pieces(batches, "text", PIECE):
         langs = column(batch, "lang").to_pylist()
         names = sorted(set(langs))
         at = np.array([names.index(x) for x in langs])
@@ -205,7 +208,8 @@ def classify(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "_text"):
+        working_for("language_id", _letters.cache_clear)
+        for batch in pieces(batches, "_text", PIECE):
             langs, score, ambiguous, _ = sent.value.predict(column(batch, "_text").to_pylist())
             own = [column(batch, c).cast(schema.field(c).type) for c in carry]
             yield pa.RecordBatch.from_arrays([*own, pa.array(langs), pa.array(score), pa.array(ambiguous)], schema=schema)
@@ -223,8 +227,9 @@ def accepted(docs: DataFrame) -> DataFrame:
 
     @F.arrow_udf("boolean")
     def clear(text: pa.Array) -> pa.Array:
+        working_for("language_id", _letters.cache_clear)
         batch = pa.RecordBatch.from_arrays([text], names=["text"])
-        out = [sent.value.predict(column(b, "text").to_pylist())[3] for b in pieces([batch], "text")]
+        out = [sent.value.predict(column(b, "text").to_pylist())[3] for b in pieces([batch], "text", PIECE)]
         return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
 
     return docs.filter(clear("text"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.components import components
 from gleaner.llm.exact_dedup import candidates
-from gleaner.llm.shared import arrow_schema, column, materialise, mixed, pack, pieces, row_key, scratch, unpack, utf8, word_hashes, words
+from gleaner.llm.shared import arrow_schema, column, materialise, mixed, pack, pieces, row_key, scratch, unpack, utf8, word_hashes, words, working_for
 
 WORDS, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8^6)^24 = 0.0007.
@@ -151,6 +151,7 @@ def _signed(counted: bool):
     k = BANDS * ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_for("near_dedup")
         for batch in pieces(batches, "text"):
             rows = batch.num_rows
             h, row, c1, c2 = shingles(*utf8(column(batch, "text")))

@@ -100,6 +100,22 @@ def pieces(batches: Iterator[pa.RecordBatch], name: str, most: int = 1 << 20) ->
     release()
 
 
+_WORKER: dict = {"of": "", "forget": []}
+
+
+def working_for(name: str, *forget) -> None:
+    """Say which operator's task this Python worker runs. Workers are used again: what another operator remembers in one goes.
+
+    forget: functions that let go of what this operator remembers from task to task.
+    """
+    if _WORKER["of"] != name:
+        for f in _WORKER["forget"]:
+            f()
+        _POWERS.update(up=np.ones(1, np.uint64), down=np.ones(1, np.uint64))
+        release()
+    _WORKER.update(of=name, forget=list(forget))
+
+
 def release() -> None:
     """Give free memory of this process back to the system, as a worker that waits for its next task keeps it else."""
     pa.default_memory_pool().release_unused()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.bpe import TOGETHER, encoder
-from gleaner.llm.shared import arrow_schema, column, materialise, pack, partitions, pieces, scratch, unpack, utf8
+from gleaner.llm.shared import arrow_schema, column, materialise, pack, partitions, pieces, scratch, unpack, utf8, working_for
 
 MAGIC = b"TOKHUFF1"
 #: Bits of a code at most (more where so many ids need it), ids of a block, ids of a file.
@@ -154,6 +154,7 @@ def _tokens(docs: DataFrame, path: str, end: int) -> DataFrame:
     schema = arrow_schema("doc_id long, n long, ids binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_for("bpe", encoder.cache_clear)
         for batch in pieces(batches, "text", TOGETHER):
             ids, at = encoder(path, True).encode(*utf8(column(batch, "text")))
             each = [np.append(ids[a:b], np.uint32(end)) for a, b in zip(at[:-1], at[1:], strict=True)]
