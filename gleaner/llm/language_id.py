@@ -9,6 +9,10 @@ clearly nearest.
 All labelled rows teach, by counts alone: a task sends a count for each language and n-gram bucket. Defined results: a
 text that is null or has no letter is `und` with score 0; so is every text if there is no labelled one; rows without
 lang teach nothing; equal losses go to the language first in code point order.
+
+A stage that rejects texts in no learned language has one codeword more: seven eighths random words (letters drawn by the
+square roots of their shares in the languages), one eighth all n-grams alike. A text nearest to it goes. A text in two
+languages is about as far from either, but farther from random words, and stays.
 """
 
 from __future__ import annotations
@@ -27,8 +31,8 @@ from gleaner.llm.shared import arrow_schema, column, mixed, pieces, spread, word
 
 #: Buckets of n-grams, smoothing, steepness of the loss, and the share of the loss that a clear winner must save.
 BUCKETS, ADD, STEEP, CLEAR = 1 << 15, 0.5, 4.0, 0.02
-#: Share of letters that learned languages must have, and share of all learned letters that one has to reach.
-KNOWN, RARE = 0.5, 1e-6
+#: Letters of the random words that stand for no language.
+DRAWN = 1 << 20
 UNKNOWN = "und"
 #: Bytes of text that are taken apart at once: n-grams of their words take fifty times as many.
 PIECE = 1 << 19
@@ -138,7 +142,7 @@ class Model:
     code: np.ndarray
     weight: np.ndarray
     apart: np.ndarray
-    letters: np.ndarray
+    learned: int  # codewords of languages; one behind them is that of no language
 
     def losses(self, margins: np.ndarray) -> np.ndarray:
         """Row by language: logistic losses of the margins (in units of half the distance of a bit's sides)."""
@@ -146,12 +150,8 @@ class Model:
         share = self.apart / self.apart.sum()
         return np.stack([(np.logaddexp(0, -z * c) * share).sum(1) for c in self.code], 1)
 
-    def known_letters(self, w: Words, n: int) -> np.ndarray:
-        """Of each text, the share of letters that the learned languages have; 0 without letters."""
-        return np.bincount(w.letter_row, np.isin(w.letters, self.letters), minlength=n) / np.maximum(1, np.bincount(w.letter_row, minlength=n))
-
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Language, score, whether it is ambiguous, and whether its letters are those of learned languages, of each text."""
+        """Language, score, whether it is ambiguous, and whether it is in a learned language, of each text."""
         w = words_of(texts)
         n = len(texts)
         grams = np.bincount(w.row, w.count[w.word], minlength=n) if len(w.word) else np.zeros(n)
@@ -168,11 +168,26 @@ class Model:
         score = np.where(grams > 0, 1 / odds.sum(1), 0.0)
         other = np.sort(loss, 1)[:, 1] if len(self.langs) > 1 else loss[:, 0] * 2
         ambiguous = (grams == 0) | (other - loss.min(1) < CLEAR * other)
-        return [self.langs[k] if g else UNKNOWN for k, g in zip(best, grams, strict=True)], score, ambiguous, self.known_letters(w, n) >= KNOWN
+        return [self.langs[k] if g else UNKNOWN for k, g in zip(best, grams, strict=True)], score, ambiguous, (grams > 0) & (best < self.learned)
+
 
+def random_words(points: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """Counts by bucket of words of letters drawn independently; letters: counts by language and point."""
+    root = np.sqrt(letters)
+    p = (root / root.sum(1, keepdims=True)).mean(0)
+    draw = np.random.default_rng(len(points))
+    chars = draw.choice(points.astype(np.uint32), DRAWN, p=p / p.sum()).tobytes().decode("utf-32-le")
+    ends = np.cumsum(draw.integers(2, 11, DRAWN // 10)).tolist()
+    w = words_of([" ".join(chars[a:b] for a, b in zip([0, *ends], ends, strict=False))])
+    uses = np.bincount(w.word, minlength=len(w.count))
+    return np.bincount(w.grams, uses[np.repeat(np.arange(len(w.count)), w.count)], minlength=BUCKETS)
 
-def fit(docs: DataFrame) -> Model:
-    """The classifiers of all rows (text, lang) with a lang; what comes to the driver is a count for each language and bucket or letter."""
+
+def fit(docs: DataFrame, none: bool = False) -> Model:
+    """The classifiers of all rows (text, lang) with a lang; what comes to the driver is a count for each language and bucket or letter.
+
+    none: with a codeword for texts in no learned language.
+    """
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
     found = rows.mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(found.column("lang").to_pylist()))
@@ -182,11 +197,17 @@ def fit(docs: DataFrame) -> Model:
     bucket, n = found.column("bucket").to_numpy(), found.column("n").to_numpy()
     gram = bucket < BUCKETS
     counts[rows_at[gram], bucket[gram]] = n[gram]
-    points, at = np.unique(bucket[~gram] - BUCKETS, return_inverse=True)
-    often = np.bincount(at.reshape(-1), n[~gram], minlength=len(points)) if len(points) else np.zeros(0)
-    letters = points[often > RARE * often.sum()].astype(np.uint32)
-    share = (counts + ADD) / (counts + ADD).sum(1, keepdims=True) if names else counts
-    code = codewords(len(names))
+    add = np.minimum(ADD, counts.sum(1, keepdims=True) / (64 * BUCKETS)) if none else ADD  # else a language of few rows is near any text
+    share = (counts + add) / (counts + add).sum(1, keepdims=True) if names else counts
+    langs = list(names)
+    if none and names:
+        points, at = np.unique(bucket[~gram] - BUCKETS, return_inverse=True)
+        letters = np.zeros((len(names), len(points)))
+        letters[rows_at[~gram], at.reshape(-1)] = n[~gram]
+        drawn = random_words(points, letters)
+        share = np.vstack([share, (7 * drawn / drawn.sum() + 1 / BUCKETS) / 8])
+        langs.append(UNKNOWN)
+    code = codewords(len(langs))
     weights, apart = [], []
     for bit in code.T:
         ones = share[bit > 0].mean(0) if (bit > 0).any() else np.full(BUCKETS, 1 / BUCKETS)
@@ -195,7 +216,7 @@ def fit(docs: DataFrame) -> Model:
         middle = (ones @ weight + zeros @ weight) / 2
         weights.append(weight - middle)
         apart.append(max(1e-9, (ones - zeros) @ weight))
-    return Model(names, code, np.array(weights).astype(np.float32), np.array(apart), letters)
+    return Model(langs, code, np.array(weights).astype(np.float32), np.array(apart), len(names))
 
 
 def classify(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
@@ -218,12 +239,12 @@ def classify(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of docs in the script of learned languages: texts without letters go, and those with mostly other letters.
+    """The rows of docs whose nearest codeword is a language's: texts without letters go, and those nearest to no language's.
 
     A text in two languages is ambiguous, but stays.
     """
     learned = docs.select("text", "lang", fold("doc_id", 4).alias("fold")).filter("fold <> 2")
-    sent = docs.sparkSession.sparkContext.broadcast(fit(learned))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(learned, none=True))
 
     @F.arrow_udf("boolean")
     def clear(text: pa.Array) -> pa.Array:
