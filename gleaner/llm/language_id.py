@@ -10,9 +10,10 @@ All labelled rows teach, by counts alone: a task sends a count for each language
 text that is null or has no letter is `und` with score 0; so is every text if there is no labelled one; rows without
 lang teach nothing; equal losses go to the language first in code point order.
 
-A stage that rejects texts in no learned language has one codeword more: seven eighths random words (letters drawn by the
-square roots of their shares in the languages), one eighth all n-grams alike. A text nearest to it goes. A text in two
-languages is about as far from either, but farther from random words, and stays.
+A stage that rejects texts in no learned language adds a bit that all languages' codewords share and a codeword that has
+only this bit, and the other way. What it stands for is seven eighths random words (letters drawn by the square roots of
+their shares in languages alike in letters), one eighth all n-grams alike. A text nearest to this codeword goes. A text
+in two languages is about as far from either's codeword, but far from that of none, and stays.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from gleaner.llm.shared import arrow_schema, column, mixed, pieces, spread, word
 BUCKETS, ADD, STEEP, CLEAR = 1 << 15, 0.5, 4.0, 0.02
 #: Letters of the random words that stand for no language.
 DRAWN = 1 << 20
+#: How far from the middle between no language and the languages the border lies, as a share of the way to these.
+BORDER = 0.2
 UNKNOWN = "und"
 #: Bytes of text that are taken apart at once: n-grams of their words take fifty times as many.
 PIECE = 1 << 19
@@ -142,14 +145,20 @@ class Model:
     code: np.ndarray
     weight: np.ndarray
     apart: np.ndarray
-    learned: int  # codewords of languages; one behind them is that of no language
+    beyond: bool  # whether the last of weight and apart is the bit of languages against none
 
     def losses(self, margins: np.ndarray) -> np.ndarray:
         """Row by language: logistic losses of the margins (in units of half the distance of a bit's sides)."""
-        z = STEEP * margins / (self.apart / 2)
-        share = self.apart / self.apart.sum()
+        apart = self.apart[: self.code.shape[1]]
+        z = STEEP * margins[:, : len(apart)] / (apart / 2)
+        share = apart / apart.sum()
         return np.stack([(np.logaddexp(0, -z * c) * share).sum(1) for c in self.code], 1)
 
+    def learned(self, loss: np.ndarray, margins: np.ndarray) -> np.ndarray:
+        """Whether a language's codeword is nearer than that of no language, whose loss is log 2 on each bit it lacks."""
+        z = STEEP * (margins[:, -1] / (self.apart[-1] / 2) - BORDER)
+        return loss.min(1) + np.logaddexp(0, -z) < np.log(2) + np.logaddexp(0, z)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, whether it is ambiguous, and whether it is in a learned language, of each text."""
         w = words_of(texts)
@@ -168,17 +177,22 @@ class Model:
         score = np.where(grams > 0, 1 / odds.sum(1), 0.0)
         other = np.sort(loss, 1)[:, 1] if len(self.langs) > 1 else loss[:, 0] * 2
         ambiguous = (grams == 0) | (other - loss.min(1) < CLEAR * other)
-        return [self.langs[k] if g else UNKNOWN for k, g in zip(best, grams, strict=True)], score, ambiguous, (grams > 0) & (best < self.learned)
+        return [self.langs[k] if g else UNKNOWN for k, g in zip(best, grams, strict=True)], score, ambiguous, (grams > 0) & (self.learned(loss, margins) if self.beyond else True)
 
 
 def random_words(points: np.ndarray, letters: np.ndarray) -> np.ndarray:
     """Counts by bucket of words of letters drawn independently; letters: counts by language and point."""
     root = np.sqrt(letters)
-    p = (root / root.sum(1, keepdims=True)).mean(0)
+    p = root / root.sum(1, keepdims=True)
+    near = np.sqrt(p) @ np.sqrt(p).T  # languages of one script lend each other their letters
+    mixed_p = near @ p
     draw = np.random.default_rng(len(points))
-    chars = draw.choice(points.astype(np.uint32), DRAWN, p=p / p.sum()).tobytes().decode("utf-32-le")
-    ends = np.cumsum(draw.integers(2, 11, DRAWN // 10)).tolist()
-    w = words_of([" ".join(chars[a:b] for a, b in zip([0, *ends], ends, strict=False))])
+    words = []
+    for q in mixed_p / mixed_p.sum(1, keepdims=True):
+        chars = draw.choice(points.astype(np.uint32), DRAWN // len(p), p=q).tobytes().decode("utf-32-le")
+        ends = np.cumsum(draw.integers(2, 11, len(chars) // 6)).tolist()
+        words += [chars[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    w = words_of([" ".join(words)])
     uses = np.bincount(w.word, minlength=len(w.count))
     return np.bincount(w.grams, uses[np.repeat(np.arange(len(w.count)), w.count)], minlength=BUCKETS)
 
@@ -186,7 +200,7 @@ def random_words(points: np.ndarray, letters: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, none: bool = False) -> Model:
     """The classifiers of all rows (text, lang) with a lang; what comes to the driver is a count for each language and bucket or letter.
 
-    none: with a codeword for texts in no learned language.
+    none: with the bit for texts in no learned language.
     """
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
     found = rows.mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
@@ -199,24 +213,25 @@ def fit(docs: DataFrame, none: bool = False) -> Model:
     counts[rows_at[gram], bucket[gram]] = n[gram]
     add = np.minimum(ADD, counts.sum(1, keepdims=True) / (64 * BUCKETS)) if none else ADD  # else a language of few rows is near any text
     share = (counts + add) / (counts + add).sum(1, keepdims=True) if names else counts
-    langs = list(names)
+    sides = []
+    code = codewords(len(names))
+    for bit in code.T:
+        ones = share[bit > 0].mean(0) if (bit > 0).any() else np.full(BUCKETS, 1 / BUCKETS)
+        zeros = share[bit < 0].mean(0) if (bit < 0).any() else np.full(BUCKETS, 1 / BUCKETS)
+        sides.append((ones, zeros))
     if none and names:
         points, at = np.unique(bucket[~gram] - BUCKETS, return_inverse=True)
         letters = np.zeros((len(names), len(points)))
         letters[rows_at[~gram], at.reshape(-1)] = n[~gram]
         drawn = random_words(points, letters)
-        share = np.vstack([share, (7 * drawn / drawn.sum() + 1 / BUCKETS) / 8])
-        langs.append(UNKNOWN)
-    code = codewords(len(langs))
+        sides.append((share.mean(0), (7 * drawn / drawn.sum() + 1 / BUCKETS) / 8))
     weights, apart = [], []
-    for bit in code.T:
-        ones = share[bit > 0].mean(0) if (bit > 0).any() else np.full(BUCKETS, 1 / BUCKETS)
-        zeros = share[bit < 0].mean(0) if (bit < 0).any() else np.full(BUCKETS, 1 / BUCKETS)
+    for ones, zeros in sides:
         weight = np.log(ones) - np.log(zeros)
         middle = (ones @ weight + zeros @ weight) / 2
         weights.append(weight - middle)
         apart.append(max(1e-9, (ones - zeros) @ weight))
-    return Model(langs, code, np.array(weights).astype(np.float32), np.array(apart), len(names))
+    return Model(names, code, np.array(weights).astype(np.float32), np.array(apart), none and bool(names))
 
 
 def classify(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
@@ -241,10 +256,9 @@ def classify(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of docs whose nearest codeword is a language's: texts without letters go, and those nearest to no language's.
 
-    A text in two languages is ambiguous, but stays.
+    A text in two languages is ambiguous, but stays. All labelled rows teach, so a language of a few rows is learned too.
     """
-    learned = docs.select("text", "lang", fold("doc_id", 4).alias("fold")).filter("fold <> 2")
-    sent = docs.sparkSession.sparkContext.broadcast(fit(learned, none=True))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, none=True))
 
     @F.arrow_udf("boolean")
     def clear(text: pa.Array) -> pa.Array:

@@ -9,6 +9,7 @@ from conftest import SMALL
 from gleaner.llm import language_id
 from gleaner.llm.shared import ship
 
+LARGER = SMALL.replace("sf0.001", "sf0.01")
 FORM = "doc_id long, text string, lang string"
 ITALIAN = "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura. Questa è una bella giornata e gli uomini vanno alla stazione per prendere il treno della mattina"
 FINNISH = "Tämä on suomenkielinen teksti joka kertoo siitä miten ihmiset elävät maaseudulla ja kuinka he viettävät kesää järven rannalla saunoen ja uiden"
@@ -42,3 +43,20 @@ def test_clean_and_mixed_texts_stay(spark, learned):
     woven = [" ".join(w for pair in zip(a.split()[:80], b.split()[:80], strict=False) for w in pair) for a, b in zip(by["en"], by["de"], strict=True)]
     assert all(kept(spark, learned, mixed + woven))
     assert language_id.accepted(learned).count() == learned.count()
+
+
+GREEK = [
+    "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα",
+    "Είναι προικισμένοι με λογική και συνείδηση και οφείλουν να συμπεριφέρονται μεταξύ τους με πνεύμα αδελφοσύνης",
+]
+CHINESE = ["人人生而自由在尊嚴和權利上一律平等他們賦有理性和良心並應以兄弟關係的精神相對待", "春眠不覺曉處處聞啼鳥夜來風雨聲花落知多少床前明月光疑是地上霜舉頭望故鄉"]
+
+
+def test_small_languages_with_scripts_of_their_own_stay(spark):
+    ship(spark)
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "text", "lang")
+    few = [(10**6 + i, t, k) for i, (t, k) in enumerate([*((t, "el") for t in GREEK), *((t, "zh") for t in CHINESE)])]
+    few += [(2 * 10**6 + i, t, None) for i, t in enumerate([RUSSIAN, KOREAN, FINNISH])]
+    got = [r.doc_id for r in language_id.accepted(docs.unionByName(spark.createDataFrame(few, FORM))).select("doc_id").collect()]
+    assert sorted(d for d in got if d >= 10**6) == [10**6 + i for i in range(4)]
+    assert len(got) == docs.count() + 4
