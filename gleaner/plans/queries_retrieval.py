@@ -14,7 +14,7 @@ from gleaner.operators import rank as R
 from gleaner.plans import compile as C
 from gleaner.plans import search as S
 from gleaner.plans.oracle import has_phrase, quoted, tokens, unique, values, with_tables
-from gleaner.plans.registry import query, rows
+from gleaner.plans.registry import ORACLES, query, rows
 from gleaner.sources import corpus
 from gleaner.sources.stage import staged
 
@@ -145,6 +145,23 @@ def dense_max(spark, d):
     return pairs.groupBy("qid").agg(F.round(F.max(X.dot(F.col("q"), F.col("vector"))), 6).alias("similarity"))
 
 
+@query(ORACLES["dense_topk"].replace("vec_id % 100 = 0", "vec_id % 20 = 0"))
+def dense_topk_all(spark, d):
+    """dense_topk for every row whose id is divisible by 20, five times its queries."""
+    e = corpus.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "vector")
+    return R.dense(q, e).select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(ORACLES["dense_max"].replace("vec_id % 100 = 0", "vec_id % 20 = 0"))
+def dense_max_all(spark, d):
+    """dense_max for every row whose id is divisible by 20, five times its queries."""
+    e = corpus.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("vector").alias("q"))
+    pairs = e.crossJoin(q).filter("vec_id <> qid")
+    return pairs.groupBy("qid").agg(F.round(F.max(X.dot(F.col("q"), F.col("vector"))), 6).alias("similarity"))
+
+
 @query(with_tables(_ALL, *_CHAIN, query="SELECT qid, rid, block_ix, round(score, 9) AS score, first FROM fused"))
 def rrf_fusion(spark, d):
     index, plan, reqs = _compiled(spark, d)

@@ -30,3 +30,10 @@ def test_ids_of_many_benchmark_items(spark, tmp_path):
     assert len(asked) == len(set(asked)) == 50 and {1010, -1010, 1009} <= set(asked) and -1009 not in asked
     few, many = (QUERIES["gate_confusion"](spark, d).first() for d in (SMALL, folder))
     assert few.tp + few.fp + few.fn + few.tn == 40 and few == many
+
+
+def test_dense_searches_take_every_twentieth_row(spark):
+    ids = [r.vec_id for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").filter("vec_id % 20 = 0").collect()]
+    assert len(ids) == 25
+    for name in ("dense_topk_all", "dense_max_all"):
+        assert sorted(r.qid for r in QUERIES[name](spark, SMALL).select("qid").distinct().collect()) == sorted(ids), name
