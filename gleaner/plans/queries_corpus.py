@@ -120,6 +120,18 @@ def slugs(spark, d):
     return corpus.table(spark, d, "documents").select("doc_id", X.slug(F.left("text", F.lit(120))).alias("slug"))
 
 
+@query()
+def capitalised_names_all(spark, d):
+    """capitalised_names of whole texts; tests hold it against brute force."""
+    return corpus.table(spark, d, "documents").select("doc_id", F.array_join(X.capitalised(F.col("text")), " ").alias("names"))
+
+
+@query()
+def slugs_all(spark, d):
+    """slugs of whole texts; tests hold it against brute force."""
+    return corpus.table(spark, d, "documents").select("doc_id", X.slug(F.col("text")).alias("slug"))
+
+
 @query(f"SELECT doc_id, md5({strip('''regexp_replace(regexp_replace(regexp_replace(replace(text, chr(173), ''), '([\\p{L}\\p{N}_])-\\n([\\p{L}\\p{N}_])', '\\1\\2', 'g'), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')''')}) AS tidy FROM documents")
 def tidy_text(spark, d):
     return corpus.table(spark, d, "documents").select("doc_id", F.md5(X.tidy(F.col("text"))).alias("tidy"))
