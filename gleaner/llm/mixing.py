@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import materialise, row_key, scratch
+from gleaner.llm.shared import materialise, packed, row_form, row_key, scratch
 
 #: Weights of the sources in their order, repeated; epochs at most; documents of one key range, about.
 WEIGHTS, EPOCHS, RANGE = (5, 2, 1), 3, 512
@@ -101,18 +101,19 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float,
 
 
 def mixture(docs: DataFrame, quality: DataFrame | None = None, **how) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it.
+    """The rows of docs, each as often as the mix takes it. Other columns may have any names.
 
-    Rows are found by doc_id, source and text; of rows that are the same in these, one stands for all.
+    Rows are found by doc_id, source and text. Of several that are the same in these, each comes in every complete epoch
+    and those whose columns come first as JSON in the fraction of one more.
     """
-    names = docs.columns
-    decided = mix(docs, quality, **how).groupBy("doc_id", "source", "key").agg(F.count("*").alias("_n"), F.sum(F.col("epochs") + F.col("chosen").cast("long")).alias("_times")).filter("_times > 0")
-    decided = decided.select(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("key").alias("_key"), "_n", "_times")
-    found = docs.withColumn("_k", row_key()).join(decided, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_k") == F.col("_key")))
-    by = Window.partitionBy("_id", "_s", "_key").orderBy(F.lit(1))
-    more = found.filter("_n > 1").withColumn("_r", F.row_number().over(by)).filter("_r = 1").drop("_r")
-    every = found.filter("_n = 1").unionByName(more)
-    return every.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(names)
+    decided = mix(docs, quality, **how).groupBy("doc_id", "source", "key").agg(F.count("*").alias("n"), F.first("epochs").alias("epochs"), F.count_if("chosen").alias("chosen"))
+    decided = decided.filter("epochs > 0 OR chosen > 0").select(F.col("doc_id").alias("own_id"), F.col("source").alias("own_source"), F.col("key").alias("own_key"), "n", "epochs", "chosen")
+    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & F.col("source").eqNullSafe(F.col("own_source")) & (F.col("key") == F.col("own_key"))
+    found = packed(docs, "doc_id", "source").join(decided, same)
+    by = Window.partitionBy("own_id", "own_source", "own_key").orderBy("form")
+    more = found.filter("n > 1").withColumn("form", row_form()).withColumn("r", F.row_number().over(by)).withColumn("times", F.col("epochs") + (F.col("r") <= F.col("chosen")).cast("long"))
+    every = found.filter("n = 1").select("row", (F.col("epochs") + F.col("chosen")).alias("times")).unionByName(more.select("row", "times"))
+    return every.filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("time")).select("row.*")
 
 
 def label_weights(labels: DataFrame) -> DataFrame:

@@ -47,9 +47,13 @@ def ship(spark: SparkSession) -> None:
 def scratch(spark: SparkSession) -> str:
     """A new folder (as a URI) under spark.checkpoint.dir, which driver and executors share; it goes when the JVM ends.
 
-    Where the setting is unset (tests in local mode) a temporary folder of this machine serves.
+    Where the setting is unset a temporary folder of this machine serves in local mode; on a cluster that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/gleaner-scratch"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/gleaner-scratch"
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -65,12 +69,6 @@ def materialise(df: DataFrame, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, folder: str) -> None:
-    """Delete a folder of scratch() whose tables are read no more."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -220,21 +218,34 @@ def row_key(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("\x00null")))
 
 
+def packed(docs: DataFrame, *keys: str) -> DataFrame:
+    """Each row of docs as one column `row`, so that no name of its columns can clash, beside the named columns and the text's key.
+
+    `row.*` gives the columns back; `form` orders rows that are the same in all but other columns, the same way each time.
+    """
+    return docs.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("row"), *(F.col(k).alias(k) for k in keys), row_key().alias("key"))
+
+
+def row_form() -> Column:
+    """A row of packed() as text: to order rows by all their columns, whatever the types of these."""
+    return F.to_json("row")
+
+
 def retain(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """The rows of docs that decided (doc_id, key, kept: a row for each of docs) keeps.
 
-    doc_id may be null or repeated, so rows are found by doc_id and key; of rows that are the same in both, one stays.
+    doc_id may be null or repeated, so rows are found by doc_id and key; of rows that are the same in both, the one whose
+    columns come first as JSON stays. Other columns may have any names.
     """
-    names = docs.columns
-    kept = decided.groupBy("doc_id", "key").agg(F.count("*").alias("_n"), F.bool_or("kept").alias("kept")).filter("kept")
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_n")
-    found = docs.withColumn("_k", row_key()).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")))
-    by = Window.partitionBy("_id", "_key").orderBy(F.lit(1))
-    more = found.filter("_n > 1").withColumn("_r", F.row_number().over(by)).filter("_r = 1").select(names)
-    return found.filter("_n = 1").select(names).unionByName(more)
+    kept = decided.groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept")).filter("kept")
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"), "n")
+    found = packed(docs, "doc_id").join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")))
+    by = Window.partitionBy("kept_id", "kept_key").orderBy("form")
+    more = found.filter("n > 1").withColumn("form", row_form()).withColumn("r", F.row_number().over(by)).filter("r = 1")
+    return found.filter("n = 1").select("row.*").unionByName(more.select("row.*"))
 
 
-_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
 
 
 def arrow_schema(form: str) -> pa.Schema:
