@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import arrow_schema, column, materialise, partitions, pieces, scratch
+from gleaner.llm.shared import arrow_schema, column, materialise, partitions, pieces, scratch, ship
 
 #: Compressed bytes and records after which a file ends.
 FILE_BYTES, FILE_RECORDS = 8 << 20, 5_000
+#: Bytes that are given to the decompressor at once.
+GIVEN = 1 << 14
 #: Fields of the header line of each ARC version.
 ARC_FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
@@ -53,14 +55,21 @@ def member(data: bytes) -> bytes:
 
 
 def members(data: bytes) -> Iterator[bytes]:
-    """The gzip members of a file, or the whole of one that isn't compressed."""
+    """The gzip members of a file, or the whole of one that isn't compressed. Work grows with the file, not with its members' number times it."""
     if data[:2] != b"\x1f\x8b":
         yield data
         return
-    while data:
-        z = zlib.decompressobj(31)
-        yield z.decompress(data) + z.flush()
-        data = z.unused_data
+    view, at = memoryview(data), 0
+    while at < len(data):
+        z, out = zlib.decompressobj(31), []
+        while not z.eof:
+            if at >= len(data):
+                raise ValueError("a gzip member is cut off")
+            piece = view[at : at + GIVEN]
+            out.append(z.decompress(piece))
+            at += len(piece)
+        at -= len(z.unused_data)  # at most GIVEN bytes, copied
+        yield b"".join(out)
 
 
 def quoted(url: str | None) -> str:
@@ -219,6 +228,7 @@ class _Files:
 
 def write_arc(pages: DataFrame, folder: str, versions: tuple[int, ...] = (1, 2), date: str = "20240101000000") -> DataFrame:
     """ARC files of pages (page_id, url, html), of the versions in turn; the table of files."""
+    ship(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -246,6 +256,7 @@ def write_arc(pages: DataFrame, folder: str, versions: tuple[int, ...] = (1, 2),
 
 def _each_file(files: DataFrame, folder: str, form: str, rows_of: Callable[[dict, bytes], list[dict]]) -> DataFrame:
     """rows_of(a row of files, the file's bytes) for each file, files dealt over all tasks."""
+    ship(files.sparkSession)
     schema = arrow_schema(form)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +268,8 @@ def _each_file(files: DataFrame, folder: str, form: str, rows_of: Callable[[dict
                 with fs.open_input_stream(row["path"]) as f:
                     yield pa.RecordBatch.from_pylist(rows_of(row, f.read()), schema=schema)
 
-    return files.repartition(partitions(files.sparkSession), "path").mapInArrow(run, form)
+    # one by one: by path, what comes from a join by path would stay as it is, in one task if its rows are few
+    return files.repartition(partitions(files.sparkSession)).mapInArrow(run, form)
 
 
 _INDEX = "path string, part long, seq int, ix int, page_id long, rid string, url string, date string, digest string, size long"
@@ -279,7 +291,8 @@ def convert(arcs: DataFrame, folder: str, least: int = 0) -> DataFrame:
     index = materialise(_each_file(arcs, folder, _INDEX, _index), folder)
     order = F.struct("page_id", "part", "seq", "ix", "rid", "url", "date")
     groups = index.filter(F.col("size") >= least).groupBy("digest", "size").agg(F.max(order).alias("to"), F.count("*").alias("n")).filter("n > 1")
-    revisits = index.join(groups, ["digest", "size"]).filter("rid <> to.rid")
+    # written first, so that a payload with very many copies can be split in the join
+    revisits = index.join(materialise(groups, folder), ["digest", "size"]).filter("rid <> to.rid")
     lists = revisits.groupBy("path").agg(F.collect_list(F.struct("ix", F.col("to.rid").alias("rid"), F.col("to.url").alias("url"), F.col("to.date").alias("date"))).alias("revisits"))
 
     def rows_of(row: dict, data: bytes) -> list[dict]:
