@@ -1,14 +1,19 @@
 """BPE encoding and decoding with a public vocabulary, exactly as the tokenizers library does it for whole texts.
 
-Texts fall into units that the vocabulary's own splitting never joins (a run of white space with the word behind it, or
-a word alone where white space is dropped); each distinct unit of a few megabytes is encoded once. Long text without a
-place to split is encoded by tree concatenation: its halves in parallel, down to LEAF bytes, and around each join a
-window of tokens is encoded again, twice as wide each time, until its first and last tokens are those that both sides
-had. A sequence of tokens is the encoding of its text if each pair of neighbours is that of theirs, and each pair then
-comes from one encoding.
+Texts of more than LONG bytes are encoded by tree concatenation, with a byte-level vocabulary: they are cut in halves,
+wherever these fall, down to leaves of at most LEAF bytes; all leaves are encoded side by side; and around each join a
+window of tokens is encoded again, twice as wide each time, until it agrees with both sides exactly. It does on a side if
+it reaches that side's end; or if its outermost tokens are that side's own up to a place at which every text splits
+(white space behind something else); or if they are in letters alone, in digits alone or in signs alone, where the
+splitting has no place and merges are all: a sequence of tokens is the encoding of its text if each pair of neighbours
+is that of theirs, and then each pair comes from one encoding.
+
+Leaves and short texts fall into units that the vocabulary's own splitting never joins (a run of white space with the
+word behind it, or a word alone where white space is dropped); each distinct unit of a few megabytes is encoded once.
 
 Defined results: a null text is empty; the empty text has no ids; strings of special tokens become their ids, as in the
-library; invalid bytes decode to replacement characters, as in the library.
+library; invalid bytes decode to replacement characters, as in the library. A vocabulary that drops white space or
+changes letters (by_word) has no bytes to go back to: its texts are never cut but between words.
 """
 
 from __future__ import annotations
@@ -17,8 +22,7 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import arrow_schema, column, pieces, spread, utf8, word_hashes, words, working_for
+from gleaner.llm.shared import arrow_schema, column, pieces, ship, spread, utf8, word_hashes, words, working_for
 
-#: Bytes of a leaf of the tree, tokens of the first window on each side, and characters from which a unit takes the tree.
-LEAF, WINDOW, LONG = 4096, 16, 8192
+#: Bytes of a leaf of the tree, tokens of the first window on each side, and bytes from which a text takes the tree.
+LEAF, WINDOW, LONG = 16384, 16, 32768
+#: Tokens of one kind of character on which a window and a side must agree.
+AGREE = 4
 #: Units that an encoder remembers, pieces that it remembers, bytes of a unit that is known by its hash, new units merged at once.
 UNITS, PIECES, SHORT, MERGED = 1_500_000, 150_000, 64, 1 << 17
 #: Bytes of text that are encoded together.
@@ -57,51 +63,71 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Tree:
-    """Tree concatenation for one vocabulary; texts are strings of byte letters without a place to split."""
+#: Characters after which white space is always a place to split, and runs that the splitting leaves whole.
+_SPLIT = re.compile(r"[\x21-\x7e](?=[ \t\n\x0b\x0c\r])")
+_ALIKE = re.compile(r"[A-Za-z]+|[0-9]+|[\x21-\x26\x28-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+")
 
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-        from tokenizers.models import BPE
 
-        model = json.load(open(path, encoding="utf-8"))["model"]
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.plain = Tokenizer(BPE(vocab=model["vocab"], merges=merges))
-        self.length = {i: len(t) for t, i in model["vocab"].items()}
+class Tree:
+    """Tree concatenation for one byte-level vocabulary: encodings of a text's parts become the encoding of the whole.
 
-    def leaf(self, text: str) -> list[int]:
-        return self.plain.encode(text, add_special_tokens=False).ids if text else []
+    whole: encodes a string in one pass. decoder: the bytes of ids. windows: how many were encoded, for tests.
+    """
 
-    def join(self, text: str, left: list[int], right: list[int], middle: int) -> list[int]:
-        """The encoding of text from those of text[:middle] and text[middle:]."""
+    def __init__(self, whole: Callable[[str], list[int]], decoder: Decoder) -> None:
+        self.whole, self.decoder, self.windows = whole, decoder, 0
+
+    def _bytes(self, ids: np.ndarray) -> bytes:
+        size = self.decoder.size[ids]
+        return self.decoder.data[spread(self.decoder.start[ids], size)].tobytes()
+
+    def _agrees(self, window: np.ndarray, side: np.ndarray, back: bool) -> bool:
+        """Whether the window's first tokens (last ones, if back) are the side's as far as they must be."""
+        n = min(len(window), len(side))
+        step = slice(None, None, -1) if back else slice(None)
+        same = int(np.argmin(np.append(window[step][:n] == side[step][:n], False)))
+        if not same:
+            return False
+        own = self._bytes(window[len(window) - same :] if back else window[:same])
+        text = own.decode(errors="replace")
+        if _SPLIT.search(text):
+            return True
+        return same >= AGREE and _ALIKE.fullmatch(text) is not None
+
+    def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The encoding of a text from those of its two parts."""
+        if not len(left) or not len(right):
+            return np.concatenate([left, right])
         wide = WINDOW
-        while left and right:
+        while True:
             a, b = max(0, len(left) - wide), min(len(right), wide)
-            begin = middle - sum(self.length[i] for i in left[a:])
-            end = middle + sum(self.length[i] for i in right[:b])
-            window = self.leaf(text[begin:end])
-            need = max(1, wide // 4)
-            first = a == 0 or window[:need] == left[a : a + need]
-            last = b == len(right) or window[-need:] == right[b - need : b]
-            if first and last:
-                return left[:a] + window + right[b:]
+            # a window begins and ends with whole characters
+            while a and self.decoder.inside[left[a]]:
+                a -= 1
+            while b < len(right) and self.decoder.inside[right[b]]:
+                b += 1
+            window = np.array(self.whole(self._bytes(np.concatenate([left[a:], right[:b]])).decode()), left.dtype)
+            self.windows += 1
+            if (a == 0 or self._agrees(window, left[a:], False)) and (b == len(right) or self._agrees(window, right[:b], True)):
+                return np.concatenate([left[:a], window, right[b:]])
             wide *= 2
-        return left or right
 
-    def encode(self, text: str, pool: ThreadPoolExecutor | None = None) -> list[int]:
-        cuts = list(range(0, len(text), LEAF)) or [0]
-        parts = list((pool.map if pool else map)(self.leaf, [text[c : c + LEAF] for c in cuts]))
-        spans = [(c, min(len(text), c + LEAF)) for c in cuts]
+    def concatenate(self, parts: list[np.ndarray]) -> np.ndarray:
         while len(parts) > 1:
-            pairs = [(i, i + 1) for i in range(0, len(parts) - 1, 2)]
-            merge = lambda p: self.join(text[spans[p[0]][0] : spans[p[1]][1]], parts[p[0]], parts[p[1]], spans[p[0]][1] - spans[p[0]][0])
-            joined = list((pool.map if pool else map)(merge, pairs))
-            odd = len(parts) % 2
-            parts = joined + parts[len(parts) - odd :]
-            spans = [(spans[i][0], spans[j][1]) for i, j in pairs] + spans[len(spans) - odd :]
+            parts = [self.join(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
         return parts[0]
 
 
+def halves(data: np.ndarray, begin: int, end: int) -> list[int]:
+    """Where the leaves of a text begin: halves of halves, down to LEAF bytes, cut between characters."""
+    if end - begin <= LEAF:
+        return [begin]
+    middle = (begin + end) // 2
+    while middle > begin and data[middle] & 0xC0 == 0x80:
+        middle -= 1
+    return [begin] if middle == begin else halves(data, begin, middle) + halves(data, middle, end)
+
+
 class Encoder:
     """Ids of many texts. by_word: the vocabulary drops white space, so words are units; else a unit is a word with the white space before it.
 
@@ -113,7 +139,7 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tok, self.path, self.by_word, self.tree = Tokenizer.from_file(path), path, by_word, None
+        self.tok, self.by_word = Tokenizer.from_file(path), by_word
         self.tok.no_truncation()
         self.tok.no_padding()
         self.model = self.tok.model
@@ -121,6 +147,7 @@ class Encoder:
         self.has_special = re.compile("|".join(re.escape(t).encode().decode() for t in self.special).encode()) if self.special else None
         letters = {b: c for c, b in byte_letters().items()}
         self.as_bytes = {i: "".join(letters[b] for b in chr(i).encode()) for i in range(256)}
+        self.tree = None if by_word else Tree(lambda text: self.tok.encode(text, add_special_tokens=False).ids, Decoder(path))
         self.clear()
 
     def clear(self) -> None:
@@ -142,8 +169,6 @@ class Encoder:
 
     def _unit(self, raw: bytes) -> list[int]:
         text = raw.decode()
-        if len(raw) > LONG:
-            return self._long(text)
         if self.special and "<" in text and any(s in text for s in self.special) or not _PLAIN.fullmatch(text):
             return self.tok.encode(text, add_special_tokens=False).ids
         parts = _BY_WORD.findall(text.lower()) if self.by_word else _WITH_BLANKS.findall(text)
@@ -151,16 +176,6 @@ class Encoder:
             return self._piece(parts[0])
         return [i for p in parts for i in self._piece(p)]
 
-    def _long(self, text: str) -> list[int]:
-        if self.by_word or any(s in text for s in self.special):
-            return self.tok.encode(text, add_special_tokens=False).ids
-        self.tree = self.tree or Tree(self.path)
-        out: list[int] = []
-        with ThreadPoolExecutor() as pool:
-            for piece, _ in self.tok.pre_tokenizer.pre_tokenize_str(text):
-                out += self.tree.encode(piece, pool) if len(piece) > LEAF else self.tree.leaf(piece)
-        return out
-
     def units(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of the units of all texts, and the text of each."""
         if self.by_word:
@@ -213,6 +228,19 @@ class Encoder:
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (their bytes, and where each begins and ends), one after the other, and where each text's begin and end."""
+        size = np.diff(at)
+        if self.by_word or not (size > LONG).any():
+            return self._encode(data, at)
+        leaves = [halves(data, int(a), int(b)) if b - a > LONG else [int(a)] for a, b in zip(at[:-1], at[1:], strict=True)]
+        ids, ends = self._encode(data, np.array([c for x in leaves for c in x] + [int(at[-1])]))
+        parts, n = [], 0
+        for x in leaves:
+            own = [ids[a:b] for a, b in zip(ends[n : n + len(x)], ends[n + 1 : n + len(x) + 1], strict=True)]
+            parts.append(self.tree.concatenate(own))
+            n += len(x)
+        return np.concatenate(parts), np.concatenate([np.zeros(1, np.int64), np.cumsum([len(p) for p in parts])])
+
+    def _encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, ends, row = self.units(data, at)
         texts = len(at) - 1
         if self.count > UNITS:
@@ -272,6 +300,8 @@ class Decoder:
         self.data = np.frombuffer(b"".join(every), np.uint8)
         self.size = np.array([len(t) for t in every], np.int64)
         self.start = np.cumsum(self.size) - self.size
+        #: Tokens that begin inside a character.
+        self.inside = np.array([bool(t) and t[0] & 0xC0 == 0x80 for t in every])
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
         sizes = self.size[ids]
@@ -300,6 +330,7 @@ def decoder(path: str) -> Decoder:
 
 def encode(docs: DataFrame, path: str, by_word: bool = False) -> DataFrame:
     """doc_id and ids (array of int) of each row."""
+    ship(docs.sparkSession)
     schema = arrow_schema("doc_id long, ids array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,6 +344,7 @@ def encode(docs: DataFrame, path: str, by_word: bool = False) -> DataFrame:
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
     """doc_id and text of rows of encode(); a null list is empty."""
+    ship(tokens.sparkSession)
     schema = arrow_schema("doc_id long, text string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,6 +366,7 @@ def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     with_ids: the ids too, as little-endian unsigned integers of two bytes, or of four for vocabularies beyond 65,536 ids:
     as lists of integers they would take many times the memory on their way to a file.
     """
+    ship(docs.sparkSession)
     form = _DIGEST + ", ids binary" * with_ids
     schema = arrow_schema(form)
 
