@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.components import components
 from gleaner.llm.exact_dedup import candidates
-from gleaner.llm.shared import arrow_schema, column, materialise, mixed, pack, pieces, row_key, scratch, unpack, utf8, word_hashes, words, working_for
+from gleaner.llm.shared import arrow_schema, column, materialise, mixed, pack, pieces, row_key, scratch, ship, unpack, utf8, word_hashes, words, working_for
 
 WORDS, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8^6)^24 = 0.0007.
@@ -285,14 +285,16 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, counted: bool = Fal
     counted: shingles weigh as often as they occur; else 1, and the similarity is that of sets.
     """
     spark = docs.sparkSession
+    ship(spark)
     folder = scratch(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("key"))
     signed = materialise(rows.mapInArrow(_signed(counted), _SIGNED).withColumn("uid", F.monotonically_increasing_id()), folder)
-    alike = signed.filter("n > 0").groupBy("c1", "c2").agg(F.min("uid").alias("rep"))
+    # small tables are written before they are joined, so that one text or bucket with very many rows can be split there
+    alike = materialise(signed.filter("n > 0").groupBy("c1", "c2").agg(F.min("uid").alias("rep")), folder)
     reps = materialise(signed.join(alike, signed.uid == alike.rep, "left_semi"), folder)
     exploded = reps.select("uid", "n", F.explode("bands").alias("bucket"))
     shared = exploded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    members = materialise(exploded.join(shared, "bucket"), folder)
+    members = materialise(exploded.join(materialise(shared, folder), "bucket"), folder)
     central = members.groupBy("uid").agg(F.sum("size").alias("central"))
     members = materialise(members.join(central, "uid").drop("size"), folder)
     known = reps.join(central, "uid", "left_semi").select("uid", "doc_id", "key")
@@ -304,14 +306,14 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, counted: bool = Fal
     close = F.least("n", "hub_n") >= F.lit(similarity) * F.greatest("n", "hub_n") - F.lit(1e-9)
     # each member against its bucket's hub
     hubs = members.groupBy("bucket").agg(F.max_by(F.struct(F.col("uid").alias("hub"), F.col("n").alias("hub_n")), F.struct("central", F.xxhash64("uid"))).alias("h"), F.count("*").alias("size")).select("bucket", "size", "h.*")
-    met = materialise(members.join(hubs, "bucket"), folder)
+    met = materialise(members.join(materialise(hubs, folder), "bucket"), folder)
     pairs = met.filter((F.col("uid") != F.col("hub")) & close).select(F.col("uid").alias("a"), F.col("hub").alias("b")).distinct()
     linked = _linked(pairs, sketches, sets, similarity, counted, folder)
     labels = _classes_of(linked, folder)
     # what is outside the largest class of a bucket of three and more, against all of such buckets
     now = met.filter("size > 2").select("bucket", "uid", "n").join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     counts = now.groupBy("bucket", "label").agg(F.count("*").alias("own")).groupBy("bucket").agg(F.max(F.struct("own", "label")).alias("main"), F.sum("own").alias("all"))
-    open_ = now.join(counts.filter("main.own < all").select("bucket", F.col("main.label").alias("main")), "bucket")
+    open_ = now.join(materialise(counts.filter("main.own < all").select("bucket", F.col("main.label").alias("main")), folder), "bucket")
     left = materialise(open_.groupBy("uid", "label", "n").agg(F.bool_or(F.col("label") != F.col("main")).alias("outside")), folder)
     pairs = _by_prefix(left, sets, similarity, counted, folder)
     linked = linked.unionByName(_linked(pairs, sketches, sets, similarity, counted, folder))
