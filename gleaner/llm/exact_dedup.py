@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import BLANKS, arrow_schema, column, materialise, partitions, pieces, row_key, scratch, working_for
+from gleaner.llm.shared import BLANKS, arrow_schema, column, materialise, partitions, pieces, row_key, scratch, ship, working_for
 
 #: Primes below 2^31 and a base for each.
 MODULI = (2147483647, 2147483629, 2147483587, 2147483579)
@@ -162,6 +162,7 @@ def _differing(docs: DataFrame, members: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, moduli: tuple[int, ...] = MODULI, huge: int = HUGE) -> DataFrame:
     """A row per row of docs: uid, doc_id, key, n_cp, n_bytes, text_sha256, keep_id, keep_uid, group_size, kept."""
     spark = docs.sparkSession
+    ship(spark)
     folder = scratch(spark)
     rows = materialise(fingerprints(docs, moduli, huge), folder)
     rows = materialise(rows.withColumn("uid", F.monotonically_increasing_id()), folder)

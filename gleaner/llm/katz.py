@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.language_id import fold
-from gleaner.llm.shared import arrow_schema, column, materialise, mixed, pack, partitions, pieces, scratch, unpack, utf8, word_hashes, words
+from gleaner.llm.shared import arrow_schema, column, materialise, mixed, pack, partitions, pieces, scratch, ship, unpack, utf8, word_hashes, words
 
 #: Bytes of text of a chunk, counts that are discounted, entries of a bucket, about.
 CHUNK, K, WORD_BUCKET, PAIR_BUCKET = 3 << 20, 5, 2_000_000, 1_000_000
@@ -413,6 +413,7 @@ def score(docs: DataFrame, held_out, folder: str | None = None, keep_model: bool
     keep_model: the table of answers also keeps the bigrams of each bucket (keys and counts) in its rows with chunk -1.
     """
     spark = docs.sparkSession
+    ship(spark)
     folder = folder or scratch(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
     chunks = materialise(rows.mapInArrow(_read_chunks(folder), _CHUNKS), folder)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import arrow_schema, column, mixed, pieces, spread, word_hashes, working_for
+from gleaner.llm.shared import arrow_schema, column, mixed, pieces, ship, spread, word_hashes, working_for
 
 #: Buckets of n-grams, smoothing, steepness of the loss, and the share of the loss that a clear winner must save.
 BUCKETS, ADD, STEEP, CLEAR = 1 << 15, 0.5, 4.0, 0.02
@@ -202,6 +202,7 @@ def fit(docs: DataFrame, none: bool = False) -> Model:
 
     none: with the bit for texts in no learned language.
     """
+    ship(docs.sparkSession)
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
     found = rows.mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(found.column("lang").to_pylist()))
@@ -235,8 +236,9 @@ def fit(docs: DataFrame, none: bool = False) -> Model:
 
 
 def classify(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
-    """The columns of docs named in carry, with lang_pred, score and ambiguous."""
+    """The columns of docs named in carry, with lang_pred, score and ambiguous; the text may be one of them."""
     spark = docs.sparkSession
+    ship(spark)
     form = docs.select(*carry).schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -245,12 +247,14 @@ def classify(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working_for("language_id", _letters.cache_clear)
-        for batch in pieces(batches, "_text", PIECE):
-            langs, score, ambiguous, _ = sent.value.predict(column(batch, "_text").to_pylist())
-            own = [column(batch, c).cast(schema.field(c).type) for c in carry]
+        for batch in pieces(batches, "text", PIECE):
+            langs, score, ambiguous, _ = sent.value.predict(column(batch, "text").to_pylist())
+            held = column(batch, "carried").flatten() if carry else []
+            own = [x.cast(schema.field(i).type) for i, x in enumerate(held)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(langs), pa.array(score), pa.array(ambiguous)], schema=schema)
 
-    return docs.select(*carry, F.col("text").alias("_text")).mapInArrow(run, form)
+    # what is carried is one column, so that no name can clash with the text's
+    return docs.select(F.struct(*(F.col(c) for c in carry)).alias("carried"), "text").mapInArrow(run, form)
 
 
 def accepted(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.bpe import TOGETHER, encoder
-from gleaner.llm.shared import arrow_schema, column, materialise, pack, partitions, pieces, scratch, unpack, utf8, working_for
+from gleaner.llm.shared import arrow_schema, column, materialise, pack, partitions, pieces, scratch, ship, unpack, utf8, working_for
 
 MAGIC = b"TOKHUFF1"
 #: Bits of a code at most (more where so many ids need it), ids of a block, ids of a file.
@@ -198,6 +198,7 @@ _FILES = "path string, part int, seq int, docs long, ids long, bytes long"
 def write(docs: DataFrame, path: str, end: int = 1, folder: str | None = None) -> DataFrame:
     """Write the token files of docs; returns their table: path, part and seq (their order), docs, ids, bytes."""
     spark = docs.sparkSession
+    ship(spark)
     folder = folder or scratch(spark)
     tokens = materialise(_tokens(docs, path, end), folder)
     size = max(_vocabulary_size(path), end + 1)

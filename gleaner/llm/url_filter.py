@@ -6,7 +6,8 @@ contexts of up to ORDER bytes, each interpolated with its shorter one by the num
 threshold, which is the one with the best balanced accuracy on URLs that neither model has seen.
 
 The rules label the URLs that teach. SAMPLE labelled URLs of each verdict at most teach and calibrate, those with the
-smallest hashes: the bound is a parameter, and the model's size follows from it.
+smallest hashes, and only URLs of at most LONGEST bytes: both bounds are parameters, what comes to the driver and what it
+sends is at most about 2 * SAMPLE * LONGEST bytes, and all URLs, whatever their length, are judged as wholes.
 
 Defined results: a null URL, or one without ://, has an empty host and path, fits no rule and is judged by its text; if
 one verdict has no labelled URL, every URL without a rule gets the other (allow, if there is none at all).
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import arrow_schema, column, mixed, pieces, utf8
+from gleaner.llm.shared import arrow_schema, column, mixed, pieces, ship, utf8
 
 #: The rules: verdict, host, path.
 RULES = (
@@ -32,7 +33,7 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-ORDER, LEAST, SAMPLE = 5, 2, 40_000
+ORDER, LEAST, SAMPLE, LONGEST = 5, 2, 40_000, 2_048
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -137,9 +138,9 @@ def _cut(good: np.ndarray, bad: np.ndarray) -> float:
     return float(cuts[right.argmax()])
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> UrlModel:
+def fit(labelled: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> UrlModel:
     """Of (url, verdict): the models from one half of the sample, the threshold from the other."""
-    rows = labelled.filter("url IS NOT NULL").select("url", "verdict").distinct().withColumn("h", F.xxhash64("url"))
+    rows = labelled.filter(F.octet_length("url") <= longest).select("url", "verdict").distinct().withColumn("h", F.xxhash64("url"))
     parts: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
     for verdict in ("allow", "block"):
         urls = [r["url"].encode() for r in rows.filter(F.col("verdict") == verdict).orderBy("h", "url").limit(sample).collect()]
@@ -156,6 +157,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> UrlModel:
 
 def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     """page_id, host, path, rule, verdict and score (of the models) of each row."""
+    ship(pages.sparkSession)
     host, path = split_url()
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url").withColumn("host", host).withColumn("path", path).withColumn("found", best_rule(rules))
     model = fit(rows.filter("found IS NOT NULL").select("url", F.col("found.verdict").alias("verdict")), sample)

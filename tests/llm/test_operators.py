@@ -154,36 +154,137 @@ def test_retain_keeps_one_of_equal_rows(docs):
     assert out.count() == len({bare(t) for _, t, *_ in documents()})
 
 
-def test_top_k(spark):
+CLASHES = "_k long, _id long, _key string, _n int, _s string, _r int, _time int, row int, form string, n long, r int, times long, kept_id long, kept_key long, own_id long, `a.b` int, carried string"
+
+
+def clashing(spark, rows):
+    """Documents (doc_id, text, source) whose other columns carry names that an operator may use, with values of their own."""
+    kinds = [c.split()[1] for c in CLASHES.split(", ")]
+    more = lambda i: tuple(f"v{i}" if k == "string" else 7 * i + j for j, k in enumerate(kinds))
+    return spark.createDataFrame([(*r, *more(i)) for i, r in enumerate(rows)], "doc_id long, text string, source string, " + CLASHES)
+
+
+def as_tuples(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_other_columns_of_any_name_come_through(spark):
+    ship(spark)
+    a, b = prose(40, 1), prose(40, 2)
+    rows = [(1, a, "s"), (2, a, "s"), (3, b, "t"), (3, b, "t"), (3, b, "t"), (None, None, None), (None, None, None), (4, prose(40, 3), "s")]
+    docs = clashing(spark, rows)
+    given = {tuple(r) for r in docs.collect()}
+    for decide in (exact_dedup.groups, near_dedup.classes):
+        out = retain(docs, decide(docs))
+        assert out.columns == docs.columns
+        got = as_tuples(out)
+        # of nulls, empty texts are equal for the one and alike to nothing for the other; rows equal in id and text are one
+        assert set(got) <= given and [g[0] for g in got if g[0]] == [1, 3, 4] and sum(g[0] is None for g in got) == 1
+        assert got == as_tuples(retain(docs.repartition(7), decide(docs.repartition(5))))
+    mixed = mixing.mixture(docs, weights=(1, 1))
+    assert mixed.columns == docs.columns and set(map(tuple, mixed.collect())) <= given
+    assert as_tuples(mixed) == as_tuples(mixing.mixture(docs.repartition(6), weights=(1, 1)))
+
+
+def test_mixture_takes_each_variant_of_equal_rows(spark):
+    """Rows that are the same in id, source and text but not in other columns all take part in complete epochs."""
     ship(spark)
+    docs = clashing(spark, [(1, "a b c", "s")] * 4 + [(2, "a b c", "t")] * 4)
+    got = Counter(tuple(r) for r in mixing.mixture(docs, weights=(3, 1)).collect())
+    taken = sum(r.taken for r in mixing.mix(docs, weights=(3, 1)).collect())
+    assert sum(got.values()) * 3 == taken
+    assert len([r for r in got if r[2] == "s"]) == 4 and all(got[r] in (1, 2) for r in got if r[2] == "s")
+
+
+def best_of(rows, width, k=20, every=20):
+    """Brute force in Python's integers: (query, rank, vector, score) of the best of all others."""
+    good = []
+    for i, v, *_ in rows:
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            good.append((i, [math.floor(64 * x) for x in v] + [0] * (width - len(v))))
+    want = []
+    for i, q in good:
+        if i % every == 0:
+            best = sorted((-max(1 - 2**63, min(2**63 - 1, sum(a * b for a, b in zip(q, x, strict=True)))), j) for j, x in good if j != i)[:k]
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("tree", [metric_tree.TREE, 90])
+def test_top_k(spark, monkeypatch, tree):
+    """tree = 90: many regions, blocks and visits."""
+    ship(spark)
+    for name, size in (("TREE", tree), ("QUERIES", 9 if tree < 100 else 512), ("FOREST", 3)):
+        monkeypatch.setattr(metric_tree, name, size)
     r = random.Random(4)
     rows = [(i, [r.uniform(-1, 1) for _ in range(8)], 0) for i in range(700)]
     rows += [(1000 + i, [0.5] * 8, 0) for i in range(60)] + [(2000, None, 0), (2020, [None] * 8, 0), (2040, [float("nan")] * 8, 0), (2060, [float("inf")] * 8, 0), (None, [0.1] * 8, 0), (2080, [], 0), (2100, [0.25] * 4, 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int").repartition(3)
-    good = [(i, np.floor(64 * np.array(v + [0.0] * (8 - len(v)))).astype(int)) for i, v, _ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
-    good = [(i, np.where(np.arange(8) < len(rows_v), q, 0)) for (i, q), rows_v in zip(good, [v for i, v, _ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)], strict=True)]
-    want = set()
-    for i, q in good:
-        if i % 20 == 0:
-            best = sorted((-int(q @ x), j) for j, x in good if j != i)[:20]
-            want |= {(i, k + 1, j, -s) for k, (s, j) in enumerate(best)}
-    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in metric_tree.neighbours(df).collect()} == want
-    assert metric_tree.neighbours(df.limit(0)).collect() == []
-    assert metric_tree.neighbours(df.filter("vec_id = 20")).collect() == []
+    ask = lambda d: sorted((x.query_id, x.rank, x.vec_id, x.score) for x in metric_tree.neighbours(d).collect())
+    assert ask(df) == best_of(rows, 8)
+    if tree < 100:
+        return
+    assert ask(df.limit(0)) == []
+    assert ask(df.filter("vec_id = 20")) == []
+    assert ask(df.filter("vec_id IN (2080, 2100)")) == [(2080, 1, 2100, 0), (2100, 1, 2080, 0)]
+
 
+def test_top_k_of_large_components(spark):
+    """Products of up to, and beyond, 53 and 64 bits are exact (or held at the bounds), and no vector is lost."""
+    ship(spark)
+    r = random.Random(5)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(4)]) for i in range(100)] + [(100 + i, [r.uniform(-1, 1) * 10.0 ** r.choice([4, 6, 7]) for _ in range(4)]) for i in range(60)]
+    rows += [(200, [300000.0, 1.0, 0.0, 0.0]), (220, [1e30, -1e30, 1.0, 0.0]), (221, [1e20, 1.0, 0.0, 0.0]), (240, [-1e12, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted((x.query_id, x.rank, x.vec_id, x.score) for x in metric_tree.neighbours(df).collect()) == best_of(rows, 4)
+
+
+def test_repeated_vectors_and_ids(spark):
+    ship(spark)
+    rows = [(i % 7 * 20, [1.0, float(i % 3)]) for i in range(60)] + [(500 + i % 30, [1.0, 1.0]) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in metric_tree.neighbours(df).collect())
+    assert got == best_of(rows, 2)
+
+
+def searched(x, queries, k=10, limit=np.inf):
+    import pyarrow as pa
 
-def test_tree_pages_cover_and_prune():
+    space = metric_tree.Space((x * x).sum(1).max())
+    sink = pa.BufferOutputStream()
+    metric_tree.stored(x, [np.array([i]) for i in range(len(x))], metric_tree.build(x, space), sink)
+    tree = metric_tree.Tree(sink.getvalue(), x.shape[1])
+    s = metric_tree.Search(space, queries, np.full(len(queries), -1), k, np.full(len(queries), limit))
+    s.run([tree], [np.zeros(len(queries))])
+    return s, tree
+
+
+def test_tree_pages_cover():
     r = np.random.default_rng(2)
-    x = r.integers(-64, 64, (3000, 6))
-    space = metric_tree.Space(int((x * x).sum(1).max()))
+    x = r.integers(-64, 64, (3000, 6)).astype(float)
+    x[:400] = x[0]
+    space = metric_tree.Space((x * x).sum(1).max())
     pages = metric_tree.build(x, space)
-    assert sorted(np.concatenate([p["rows"] for p in pages if p["child"][0] < 0]).tolist()) == list(range(3000))
+    below = lambda p: p["rows"] if p["child"][0] < 0 else np.concatenate([below(pages[c]) for c in p["child"]])
+    assert sorted(below(pages[0]).tolist()) == list(range(3000))
     for p in pages:
         for row, radius, child in zip(p["rows"], p["radius"], p["child"], strict=True):
-            if child >= 0 and pages[child]["child"][0] < 0:
-                inside = pages[child]["rows"]
-                d = space.between(x[inside], x[row])
-                assert d.max() <= radius + 1e-9 and np.allclose(d, pages[child]["to_parent"])
+            if child >= 0:
+                assert space.between(x[below(pages[child])], x[row]).max() <= radius + 1e-9
+                assert np.allclose(space.between(x[pages[child]["rows"]], x[row]), pages[child]["to_parent"])
+
+
+def test_search_prunes_where_vectors_lie_in_groups():
+    r = np.random.default_rng(3)
+    middle = r.integers(-64, 64, (60, 16))
+    x = (middle[r.integers(0, 60, 12_000)] + r.integers(-3, 4, (12_000, 16))).astype(float)
+    q = x[:: 20]
+    s, tree = searched(x, q)
+    want = -np.sort(-(q @ x.T), 1)[:, :10]
+    assert (s.score == want).all()
+    assert s.computed < 0.2 * len(q) * len(x)
+    one, tree = searched(x, q[:1])
+    assert (one.score == want[:1]).all() and len(tree.read) < 0.5 * tree.file.num_record_batches
 
 
 def test_katz_scores(docs, empty):
@@ -236,6 +337,24 @@ def test_katz_scores(docs, empty):
     assert katz.held_out_scores(empty).collect() == []
 
 
+def test_good_turing_by_hand():
+    """Katz's discounts from counts of counts, by exact fractions; where they don't exist, fewer counts are discounted."""
+    from fractions import Fraction
+
+    n = [0, 1000, 400, 220, 140, 100, 75]
+    common = Fraction(6 * n[6], n[1])
+    want = [(Fraction((r + 1) * n[r + 1], r * n[r]) - common) / (1 - common) for r in range(1, 6)]
+    assert all(0 < w <= 1 for w in want)
+    d = katz.Discounts.good_turing(n).d
+    assert np.allclose(d[1:6], [float(w) for w in want]) and d[6] == 1.0
+    # what the discounts take away is what Good-Turing gives to the unseen, n1
+    assert np.isclose(sum((1 - d[r]) * r * n[r] for r in range(1, 6)), n[1])
+    # without counts of four only one and two are discounted
+    top = Fraction(3, 10)
+    d = katz.Discounts.good_turing([0, 10, 4, 1, 0, 0, 0]).d
+    assert np.allclose(d[1:4], [float((Fraction(8, 10) - top) / (1 - top)), float((Fraction(3, 8) - top) / (1 - top)), 1.0])
+
+
 def test_katz_without_training(spark):
     ship(spark)
     out = katz.score(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), __import__("pyspark").sql.functions.lit(True)).collect()
@@ -292,6 +411,58 @@ def test_languages(spark, docs, empty):
     assert language_id.accepted(docs).filter("doc_id IN (6, 7, 8, 12)").count() == 0
 
 
+def letter_grams(text):
+    """Letters, pairs and triples of each lower-cased word, with its edges."""
+    out = Counter()
+    for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+        padded = "^" + word + "^"
+        out.update(word)
+        out.update(padded[i : i + 2] for i in range(len(padded) - 1))
+        out.update(padded[i : i + 3] for i in range(len(padded) - 2))
+    return out
+
+
+def test_language_codes_decoded_by_hand(spark):
+    """Counts, classifiers, margins, losses and scores in plain dictionaries, for languages that share half of their letters."""
+    ship(spark)
+    r = random.Random(11)
+    kinds = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "ijklmnab", "dd": "mnopefgh"}
+    rows = [(i, " ".join("".join(r.choices(kinds[k], k=r.randint(2, 6))) for _ in range(r.randint(1, 12))), k) for i, k in enumerate(list(kinds) * 60)]
+    counts = {k: Counter() for k in kinds}
+    for i, text, k in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            counts[k].update(letter_grams(text))
+    # an n-gram is known by its bucket; here no two of these that differ share one
+    n, add = language_id.BUCKETS, language_id.ADD
+    share = lambda k, g: (counts[k][g] + add) / (sum(counts[k].values()) + add * n)
+    every = set().union(*counts.values())
+    names = sorted(kinds)
+    bits = []
+    for s in range(1, 8):
+        one, zero = ([k for i, k in enumerate(names) if (s >> i & 1) == v] for v in (1, 0))
+        p = lambda g, side: sum(share(k, g) for k in side) / len(side)
+        rest = lambda side: sum(add / (sum(counts[k].values()) + add * n) for k in side) / len(side)
+        weight = {g: math.log(p(g, one)) - math.log(p(g, zero)) for g in every}
+        empty_weight, empty = math.log(rest(one)) - math.log(rest(zero)), n - len(every)
+        up = sum(p(g, one) * weight[g] for g in every) + empty * rest(one) * empty_weight
+        down = sum(p(g, zero) * weight[g] for g in every) + empty * rest(zero) * empty_weight
+        bits.append((s, weight, empty_weight, (up + down) / 2, up - down))
+    want = {}
+    for i, text, _ in rows:
+        grams = letter_grams(text)
+        margin = [sum(c * (w.get(g, e) - middle) for g, c in grams.items()) / sum(grams.values()) for _, w, e, middle, _ in bits]
+        whole = sum(b[4] for b in bits)
+        loss = [sum(b[4] / whole * math.log1p(math.exp(-language_id.STEEP * m / (b[4] / 2) * (1 if b[0] >> j & 1 else -1))) for b, m in zip(bits, margin, strict=True)) for j in range(4)]
+        best = min(range(4), key=lambda j: loss[j])
+        want[i] = (names[best], 1 / sum(math.exp(8 * (loss[best] - x)) for x in loss))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in language_id.held_out_predictions(df).collect()}
+    assert [i for i in want if got[i].lang_pred != want[i][0]] == []
+    assert max(abs(got[i].score - want[i][1]) for i in want) < 1e-3
+    out = language_id.classify(df.withColumn("carried", df.lang), language_id.fit(df), ["doc_id", "text", "carried"]).collect()
+    assert sorted((x.doc_id, x.text, x.carried) for x in out) == sorted(rows)
+
+
 @pytest.mark.parametrize("n", [2, 4, 7, 40])
 def test_codewords_differ(n):
     code = language_id.codewords(n)
@@ -326,9 +497,60 @@ def test_url_models_tell_held_out_urls():
     pack = lambda urls: (np.frombuffer("".join(urls).encode(), np.uint8), np.cumsum([0, *map(len, urls)]))
     model = url_filter.UrlModel(url_filter.Markov.fit(*pack(make("news", 300))), url_filter.Markov.fit(*pack(make("spam", 300))))
     assert (model.scores(*pack(make("news", 100))) > 0).mean() > 0.95 and (model.scores(*pack(make("spam", 100))) < 0).mean() > 0.95
-    # probabilities of all symbols after a context add up to one
-    symbols = [pack([f"http://news{chr(c)}"]) for c in range(1, 127)]
-    assert all(np.isfinite(model.scores(*s)).all() for s in symbols)
+
+
+def markov_by_hand(urls):
+    """Counts of (context, next) for contexts of 0 to ORDER symbols; -1 stands before a text, 0 ends it."""
+    seen = defaultdict(Counter)
+    for u in urls:
+        symbols = [x + 1 for x in u.encode()] + [0]
+        for i, s in enumerate(symbols):
+            before = ([-1] * url_filter.ORDER + symbols[:i])[-url_filter.ORDER :]
+            for k in range(url_filter.ORDER + 1):
+                seen[tuple(before[len(before) - k :])][s] += 1
+
+    def p(before, s):
+        out = 1 / 257
+        for k in range(url_filter.ORDER + 1):
+            c = seen.get(tuple(before[len(before) - k :]))
+            if c and sum(c.values()) >= url_filter.LEAST:
+                out = (c[s] + len(c) * out) / (sum(c.values()) + len(c))
+        return out
+
+    return p
+
+
+def mean_by_hand(p, url):
+    symbols = [x + 1 for x in url.encode()] + [0]
+    own = [math.log(p(([-1] * url_filter.ORDER + symbols[:i])[-url_filter.ORDER :], s)) for i, s in enumerate(symbols)]
+    return sum(own) / len(own)
+
+
+def test_url_verdicts_by_hand(spark):
+    """Witten-Bell by dictionaries: probabilities add up to one, and scores, threshold and verdicts are the query's."""
+    ship(spark)
+    r = random.Random(12)
+    good = [f"http://site{r.randint(0, 40)}.com/page/{r.randint(0, 99)}" for _ in range(60)]
+    bad = [f"http://x{r.randint(0, 40)}.net/{r.choice(['es', 'fr'])}/q?z={r.randint(0, 99)}" for _ in range(60)]
+    rest = ["http://y.org/page/7", "http://z.org/es/q", "", "no scheme", "http://long.org/" + "a" * 5000]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(good + bad + rest)], "page_id long, url string")
+    hashed = {x.url: x.h for x in df.selectExpr("url", "xxhash64(url) AS h").collect()}
+    halves = {}
+    for name, urls in (("allow", good), ("block", bad)):
+        own = sorted(set(urls), key=lambda u: (hashed[u], u))
+        halves[name] = own[::2], own[1::2]
+    p, q = markov_by_hand(halves["allow"][0]), markov_by_hand(halves["block"][0])
+    for before in ([-1] * 5, [x + 1 for x in b"ttp:/"], [x + 1 for x in b"zzzzz"]):
+        assert abs(sum(p(before, s) for s in range(257)) - 1) < 1e-9
+    score = {u: mean_by_hand(p, u) - mean_by_hand(q, u) for u in good + bad + rest}
+    got = {x.page_id: x for x in url_filter.judge(df).collect()}
+    assert all(abs(got[i].score - score[u]) < 1e-9 for i, u in enumerate(good + bad + rest))
+    a, b = ([score[u] for u in halves[k][1]] for k in ("allow", "block"))
+    every = sorted(set(a + b))
+    cuts = [every[0] - 1] + [(x + y) / 2 for x, y in zip(every, every[1:], strict=False)]
+    threshold = max(cuts, key=lambda c: (sum(x >= c for x in a) / len(a) + sum(x < c for x in b) / len(b), -c))
+    for i, u in enumerate(rest):
+        assert got[len(good + bad) + i].verdict == ("allow" if score[u] >= threshold else "block")
 
 
 def test_mix(spark, docs, empty):
@@ -391,12 +613,42 @@ def test_encoder_equals_the_library(name, by_word):
             assert ids[a:b].tolist() == lib.encode(t, add_special_tokens=False).ids, t[:60]
 
 
-def test_tree_concatenation_equals_one_pass():
+LONG_TEXTS = [
+    "a" * 3001, "ab" * 999, "the" * 700 + "a" * 900 + "then" * 400, "=" * 1000 + "-" * 1001, " " * 700 + "x" + "\n" * 600, "don't we'll 'sand 'tis " * 90, "x'sx'tx're" * 120,
+    "<|endoftext|>" * 40 + "a<|endoftext|> b" * 30, "\u6570\u5b57 \u7b26\u53f7\uff0c" * 90, "\u6570\u5b57\u7b26\u53f7" * 200, "\U0001f44d\U0001f3fd \u00e9 \ufb01" * 60, "a\u00a0b\u0085 c\x1cd " * 80, "1234567890" * 150 + "x1y2!3" * 100, "", "a",
+]
+
+
+@pytest.mark.parametrize("leaf", [5, 16, 64])
+def test_tree_concatenation_equals_one_pass(monkeypatch, leaf):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "LEAF", leaf)
+    monkeypatch.setattr(bpe, "LONG", leaf)
+    monkeypatch.setattr(bpe, "WINDOW", 2)
     path = bpe.vocabulary("byte_bpe_50k.json")
-    tree = bpe.Tree(path)
+    lib, own = Tokenizer.from_file(path), bpe.Encoder(path, False)
     r = random.Random(9)
-    for text in ("a" * 30_001, "ab" * 9_999, "".join(r.choices("abcdeth", k=40_000)), "the" * 7_000 + "a" * 9_000 + "then" * 4_000, "=" * 10_000 + "-" * 10_001):
-        assert tree.encode(text) == tree.leaf(text)
+    texts = LONG_TEXTS + ["".join(r.choices("abcdeth", k=2000)), *("".join(r.choices("ab'sé 1\n\t.,<|>數 ", k=r.randint(20, 400))) for _ in range(150)), *(prose(60, i) for i in range(10))]
+    raw = [t.encode() for t in texts]
+    ids, at = own.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for t, a, b in zip(texts, at[:-1], at[1:], strict=True):
+        assert ids[a:b].tolist() == lib.encode(t, add_special_tokens=False).ids, t[:60]
+    assert own.tree.windows > 1000
+
+
+def test_long_documents_take_the_tree():
+    """In the query's own path, with its own sizes: as many windows as a text has joins, more only where one had to grow."""
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary("byte_bpe_50k.json")
+    lib, own = Tokenizer.from_file(path), bpe.Encoder(path, False)
+    text = prose(60_000, 3)
+    data = np.frombuffer(text.encode(), np.uint8)
+    leaves = len(bpe.halves(data, 0, len(data)))
+    ids, _ = own.encode(data, np.array([0, len(data)]))
+    assert ids.tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert leaves > 16 and leaves - 1 <= own.tree.windows < 2 * leaves
 
 
 def test_round_trip(docs, empty):
