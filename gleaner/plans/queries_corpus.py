@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as X
-from gleaner.functions.wordlists import QUESTION_WORDS
+from gleaner.functions.wordlists import QUESTION_WORDS, STOP_WORDS
 from gleaner.operators import evaluate as V
 from gleaner.operators import index as I
 from gleaner.operators.files import canonical_format, classify_path, file_authors, file_year
@@ -109,26 +109,15 @@ def question_entities(spark, d):
 _CAP = "regexp_extract_all(replace(text, ' ', '  '), '(?:^|[^\\p{L}\\p{N}_])([A-ZÁÉÍÓÚÑ][a-záéíóúñ]{2,})(?:$|[^\\p{L}\\p{N}_])', 1)"
 
 
-@query(f"SELECT doc_id, array_to_string({unique('t')}, ' ') AS names FROM (SELECT doc_id, list_filter(list_transform({_CAP.replace('text', 'line')}, lambda w: {plain('w')}), lambda w: NOT list_contains({quoted(sorted(set(QUESTION_WORDS)))}, w) AND NOT list_contains({quoted(__import__('gleaner.functions.wordlists', fromlist=['x']).STOP_WORDS)}, w)) AS t FROM (SELECT doc_id, left(string_split(text, chr(10))[1], 300) AS line FROM documents))")
+@query(f"""WITH found AS (SELECT doc_id, unnest(l) AS w, unnest(range(len(l))) AS i FROM (SELECT doc_id, {_CAP} AS l FROM documents)),
+ once AS (SELECT doc_id, {plain('w')} AS name, min(i) AS i FROM found WHERE {plain('w')} NOT IN (SELECT unnest({quoted(sorted({*QUESTION_WORDS, *STOP_WORDS}))})) GROUP BY ALL)
+ SELECT doc_id, coalesce(string_agg(name, ' ' ORDER BY i), '') AS names FROM documents LEFT JOIN once USING (doc_id) GROUP BY doc_id""")
 def capitalised_names(spark, d):
-    line = F.left(F.split("text", "\n")[0], F.lit(300))
-    return corpus.table(spark, d, "documents").select("doc_id", F.array_join(X.capitalised(line), " ").alias("names"))
-
-
-@query("SELECT doc_id, left(lower(regexp_replace(regexp_replace(regexp_replace(strip_accents(left(text, 120)), '[^\\x00-\\x7f]', '', 'g'), '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')), 60) AS slug FROM documents")
-def slugs(spark, d):
-    return corpus.table(spark, d, "documents").select("doc_id", X.slug(F.left("text", F.lit(120))).alias("slug"))
-
-
-@query()
-def capitalised_names_all(spark, d):
-    """capitalised_names of whole texts; tests hold it against brute force."""
     return corpus.table(spark, d, "documents").select("doc_id", F.array_join(X.capitalised(F.col("text")), " ").alias("names"))
 
 
-@query()
-def slugs_all(spark, d):
-    """slugs of whole texts; tests hold it against brute force."""
+@query("SELECT doc_id, left(lower(regexp_replace(regexp_replace(regexp_replace(strip_accents(text), '[^\\x00-\\x7f]', '', 'g'), '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')), 60) AS slug FROM documents")
+def slugs(spark, d):
     return corpus.table(spark, d, "documents").select("doc_id", X.slug(F.col("text")).alias("slug"))
 
 
