@@ -70,10 +70,18 @@ def threshold_sweep(rows: DataFrame, thresholds: list[float]) -> DataFrame:
 def suggested_cuts(rows: DataFrame) -> DataFrame:
     """low: the least inside similarity less .02, 0 at least; high: the larger of the inside median and the outside element at three quarters."""
     s, inside = F.col("similarity"), F.col("inside")
-    out = F.array_sort(F.collect_list(F.when(~inside, s)))
-    agg = rows.agg(F.min(F.when(inside, s)).alias("least"), F.median(F.when(inside, s)).alias("median"), out.alias("out"))
-    at = F.get("out", F.floor(F.size("out") * 0.75).cast("int"))
-    return agg.select(F.round(F.greatest(F.lit(0.0), F.col("least") - 0.02), 6).alias("low"), F.round(F.greatest(at, F.col("median")), 6).alias("high"))
+    # counts of equal similarities, from map-side sums; the element is the first at which the running count passes its place
+    counts = rows.filter(~inside & s.isNotNull()).groupBy("similarity").agg(F.count("*").alias("n"))
+    # running sums within ranges of similarities, then over the ranges: no task sorts all
+    ranged = counts.withColumn("range", F.floor(s * 256))
+    before = ranged.groupBy("range").agg(F.sum("n").alias("all"))
+    before = before.withColumn("before", F.sum("all").over(Window.orderBy("range")) - F.col("all")).withColumn("total", F.sum("all").over(Window.partitionBy()))  # some hundred rows
+    place = F.floor(F.col("total") * 0.75)
+    here = before.filter((F.col("before") <= place) & (F.col("before") + F.col("all") > place)).select("range", "before", place.alias("place"))
+    running = ranged.join(here, "range").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("range").orderBy("similarity")))
+    at = running.filter(F.col("upto") > F.col("place")).agg(F.min("similarity").alias("at"))
+    agg = rows.agg(F.min(F.when(inside, s)).alias("least"), F.median(F.when(inside, s)).alias("median")).crossJoin(at)  # one row each
+    return agg.select(F.round(F.greatest(F.lit(0.0), F.col("least") - 0.02), 6).alias("low"), F.round(F.greatest("at", "median"), 6).alias("high"))
 
 
 def class_spread(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -89,6 +97,28 @@ def overlap(base: DataFrame, other: DataFrame) -> DataFrame:
     return both.agg(F.round(F.coalesce(F.avg(F.when(union > 0, F.size(F.array_intersect(a, b)) / union)), F.lit(1.0)), 6).alias("overlap"), F.count_if(same).alias("identical"), F.sum(F.size(b)).alias("fragments"))
 
 
+def contained(bank: DataFrame, docs: DataFrame, ident: str, item: str, words: int = 4) -> DataFrame:
+    """Which texts of bank (ident, text) occur as they are in texts of docs (item, text): ident, item, each pair once.
+
+    The words between a text's first and last blank occur between blanks wherever the text does. So each text is looked
+    for by the one of its runs of `words` inner words that is rarest in the documents, and then held against the texts
+    found. Only texts of fewer inner words are held against all documents.
+    """
+    rows = docs.filter("text IS NOT NULL").select(item, "text")
+    asked = bank.filter("text IS NOT NULL").select(F.col(ident), F.col("text").alias("sought")).distinct()
+    inner = F.slice(F.split("sought", " "), 2, F.greatest(F.lit(0), F.size(F.split("sought", " ")) - 2))
+    runs = lambda w: F.when(F.size(w) >= words, F.transform(F.sequence(F.lit(0), F.size(w) - words), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(words)))))
+    asked = asked.withColumn("runs", runs(inner))
+    sought = asked.filter("runs IS NOT NULL").select(ident, "sought", F.explode(F.array_distinct("runs")).alias("run"))
+    every = rows.select(item, F.split("text", " ").alias("w")).select(item, F.explode(F.array_distinct(runs(F.col("w")))).alias("run"))
+    met = every.join(sought.select("run").distinct(), "run")
+    often = met.groupBy("run").agg(F.count("*").alias("df"))
+    rarest = sought.join(often, "run", "left").groupBy(ident, "sought").agg(F.min_by("run", F.struct(F.coalesce("df", F.lit(0)), "run")).alias("run"))
+    held = met.join(rarest, "run").join(rows, item).filter(F.contains("text", F.col("sought"))).select(ident, item)
+    short = rows.join(asked.filter("runs IS NULL").select(ident, "sought"), F.contains("text", F.col("sought"))).select(ident, item)
+    return held.unionByName(short).distinct()
+
+
 def gold_recall(gold: DataFrame, found: DataFrame) -> DataFrame:
     """gold and found (qid, item): of each question with gold its recall, precision and whether all gold was found."""
     g = gold.select("qid", "item").distinct().withColumn("g", F.lit(1))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as X
 from gleaner.functions.wordlists import AUTHORITY, BEAM, BRIDGES, COVER_CORE, COVER_OTHER, FILL, FRAGMENTS, POOL
-from gleaner.operators.index import Index, block_count, cover_idf, neighbours
+from gleaner.operators.index import Index
 
 
 def authority_weight(authority: Column) -> Column:
@@ -25,21 +25,20 @@ def members(states: DataFrame) -> DataFrame:
     return states.select("qid", "sid", F.explode("blocks").alias("block_ix"))
 
 
-def coverage(states: DataFrame, reqs: DataFrame, index: Index, idf: DataFrame | None = None) -> DataFrame:
+def coverage(states: DataFrame, reqs: DataFrame, index: Index) -> DataFrame:
     """qid, sid, rid, kind, mandatory, coverage, supported of each state and requirement.
 
     The share of the terms' idf that the state's bodies hold; for `causal` at most a third of the markers found; for
     `contraste` 0 unless two documents take part. Terms that no block has weigh as their idf with df 0.
     """
-    n = block_count(index.blocks)
-    idf = cover_idf(index.body, n) if idf is None else idf
     terms = reqs.select("qid", "rid", "kind", "mandatory", F.explode_outer(F.array_distinct("terms")).alias("term"), F.lit(False).alias("marker"))
     marks = reqs.select("qid", "rid", "kind", "mandatory", F.explode("markers").alias("term"), F.lit(True).alias("marker")).distinct()
-    wanted = terms.unionByName(marks).join(idf.select("term", "idf"), "term", "left").crossJoin(F.broadcast(n))  # one row
-    wanted = wanted.withColumn("idf", F.when(F.col("term").isNotNull(), F.coalesce("idf", F.log(F.col("n") + 1.0) + 1))).drop("n")
+    wanted = terms.unionByName(marks).join(index.cover_idf, "term", "left")
+    wanted = wanted.withColumn("idf", F.when(F.col("term").isNotNull(), F.coalesce("idf", F.log(F.lit(index.size[0] + 1.0)) + 1)))
     mine = members(states)
-    present = mine.join(index.body.select("block_ix", "term"), "block_ix").select("qid", "sid", "term").distinct().withColumn("here", F.lit(True))
-    docs = mine.join(index.blocks.select("block_ix", "doc_id"), "block_ix").groupBy("qid", "sid").agg(F.countDistinct("doc_id").alias("docs"))
+    held = mine.join(index.blocks.select("block_ix", "doc_id", "terms"), "block_ix")
+    present = held.select("qid", "sid", F.explode(F.array_distinct("terms")).alias("term")).distinct().withColumn("here", F.lit(True))
+    docs = held.groupBy("qid", "sid").agg(F.countDistinct("doc_id").alias("docs"))
     pairs = states.select("qid", "sid").join(wanted, "qid").join(present, ["qid", "sid", "term"], "left")
     hit, own = F.coalesce("here", F.lit(False)), ~F.col("marker")
     sums = pairs.groupBy("qid", "sid", "rid", "kind", "mandatory").agg(
@@ -55,7 +54,7 @@ def coverage(states: DataFrame, reqs: DataFrame, index: Index, idf: DataFrame |
 
 def bags(blocks: DataFrame, index: Index) -> DataFrame:
     """block_ix, bag: the distinct tokens of the bodies of the given blocks."""
-    return blocks.select("block_ix").distinct().join(index.blocks.select("block_ix", "body"), "block_ix").select("block_ix", F.array_distinct(X.tokens(F.col("body"))).alias("bag"))
+    return blocks.select("block_ix").distinct().join(index.blocks.select("block_ix", "terms"), "block_ix").select("block_ix", F.array_distinct("terms").alias("bag"))
 
 
 def redundancy(states: DataFrame, index: Index) -> DataFrame:
@@ -87,7 +86,7 @@ def set_score(states: DataFrame, reqs: DataFrame, index: Index, scores: DataFram
     precision = _four(0.45 * F.col("diversity") + 0.30 * F.col("authority") + 0.25 * F.least(F.col("base") * 60, F.lit(1.0)) - 0.40 * F.col("redundancy"))
     rows = rows.withColumn("precision", precision)
     if plan is not None:
-        near = neighbours(index.blocks).select("block_ix", "previous", "next")
+        near = index.blocks.select("block_ix", "previous", "next")
         joined = members(states).join(near, "block_ix").join(states.select("qid", "sid", "blocks"), ["qid", "sid"])
         touching = joined.groupBy("qid", "sid").agg(F.count_if(F.coalesce(F.array_contains("blocks", F.col("previous")), F.lit(False)) | F.coalesce(F.array_contains("blocks", F.col("next")), F.lit(False))).alias("touching"))
         over = F.greatest(F.lit(0.0), (F.col("tokens") - F.col("budget")) / F.greatest(F.col("budget"), F.lit(1)))
@@ -109,7 +108,7 @@ def condition(front: DataFrame, pairs: DataFrame, reqs: DataFrame, index: Index,
     Returns fid, bridge, block_ix, place, useful: half a point for a neighbour of the bridge, .2 for its document, .3 of
     the Jaccard similarity (-.3 from .6 on), .15 for each term of the requirement that the bridge lacks.
     """
-    near = neighbours(index.blocks).select(F.col("block_ix").alias("bridge"), F.col("doc_id").alias("bridge_doc"), "previous", "next")
+    near = index.blocks.select(F.col("block_ix").alias("bridge"), F.col("doc_id").alias("bridge_doc"), "previous", "next")
     seen = front.select("block_ix").unionByName(pairs.select(F.col("bridge").alias("block_ix")))
     own = bags(seen, index)
     rows = pairs.join(front, "fid").filter("block_ix <> bridge").join(near, "bridge")

@@ -1,28 +1,135 @@
-"""The index as tables: postings, term statistics, block lengths, TF-IDF weights, neighbours.
+"""The index as tables: blocks with their tokens, postings, term statistics, norms, heads of structural lists.
 
-Everything is keyed by block_ix and term, so each table is built by one shuffle and joins on what it is keyed by.
+Texts are tokenised once: a block's body when the block is written, a document's context when its row is. All rankings
+start from the terms of the questions and meet only these terms' postings; whatever is read by more than one ranking is
+written the first time it is asked for. save() keeps an index, load() reads it again.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as X
+from gleaner.functions.wordlists import STRUCTURAL
 from gleaner.sources import corpus
+from gleaner.sources.stage import staged
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Documents with terms in how many blocks at least, and in what share of them at most, count for TF-IDF.
+LEAST_DF, MOST_DF = 2, 0.6
 
 
-@dataclass
 class Index:
-    blocks: DataFrame  # with ctx and full
-    docs: DataFrame
-    full: DataFrame  # block_ix, term, tf, of ctx and body
-    body: DataFrame  # block_ix, term, tf, of the body
-    ctx: DataFrame  # block_ix, term
+    """blocks: block_ix, doc_id, n, body, terms (of the body), dl (tokens of context and body), tokens, structure, previous, next, position.
+    docs: as corpus.documents, with ctx and ctx_terms. postings: block_ix, dl, term, tf (of context and body), ctf (of the context).
+    stats: term, df (of both), body_df."""
+
+    def __init__(self, blocks: DataFrame, docs: DataFrame, postings: DataFrame, stats: DataFrame) -> None:
+        self.blocks, self.docs, self.postings, self.stats = blocks, docs, postings, stats
+
+    @cached_property
+    def size(self) -> tuple[int, float]:
+        """Blocks (those without a token, too) and their mean length; one row."""
+        n, mean = self.blocks.agg(F.count("*"), F.avg("dl")).first()
+        return n, mean or 0.0
+
+    @cached_property
+    def mean_idf(self) -> float:
+        return self.stats.agg(F.avg(_raw_idf(F.col("df"), self.size[0]))).first()[0] or 0.0
+
+    @property
+    def body(self) -> DataFrame:
+        """block_ix, term, tf of the bodies."""
+        return self.postings.filter("tf > ctf").select("block_ix", "term", (F.col("tf") - F.col("ctf")).alias("tf"))
+
+    @property
+    def bm25_idf(self) -> DataFrame:
+        """term, df, idf."""
+        return self.stats.filter("df > 0").select("term", "df", bm25_idf(F.col("df"), self.size[0], self.mean_idf).alias("idf"))
+
+    @property
+    def tfidf_idf(self) -> DataFrame:
+        """term, idf of the terms that are neither too rare nor too common."""
+        n = self.size[0]
+        return self.stats.filter((F.col("df") >= LEAST_DF) & (F.col("df") <= MOST_DF * n)).select("term", (F.log((1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+
+    @property
+    def cover_idf(self) -> DataFrame:
+        """term, idf over bodies."""
+        return self.stats.filter("body_df > 0").select("term", (F.log((self.size[0] + 1.0) / (F.col("body_df") + 1)) + 1).alias("idf"))
+
+    @cached_property
+    def norms(self) -> DataFrame:
+        """block_ix, norm: of the TF-IDF vectors."""
+        raw = self.postings.join(self.tfidf_idf, "term").select("block_ix", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
+        return staged(raw.groupBy("block_ix").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm")))
+
+    @cached_property
+    def contexts(self) -> DataFrame:
+        """doc_id, term of the contexts of documents that have blocks."""
+        have = self.blocks.filter("position = 1").select("doc_id")
+        return staged(self.docs.join(have, "doc_id", "left_semi").select("doc_id", F.explode(F.array_distinct("ctx_terms")).alias("term")))
+
+    @cached_property
+    def heads(self) -> DataFrame:
+        """key, value, block_ix: the first STRUCTURAL blocks of each week, unit and kind. A few hundred rows."""
+        out = None
+        for key in ("week", "unit", "kind"):
+            rows = self.blocks.filter(F.col(key).isNotNull()).select(F.lit(key).alias("key"), F.col(key).cast("string").alias("value"), "block_ix")
+            first = rows.withColumn("r", F.row_number().over(Window.partitionBy("value").orderBy("block_ix"))).filter(F.col("r") <= STRUCTURAL).drop("r")
+            out = first if out is None else out.unionByName(first)
+        return staged(out)
+
+    @cached_property
+    def authors(self) -> DataFrame:
+        """doc_id, term: runs of letters and digits in the authors' names."""
+        return self.docs.select("doc_id", F.explode(F.regexp_extract_all(X.normalise(F.col("author")), F.lit("([a-z0-9]+)"), F.lit(1))).alias("term")).distinct()
+
+    def save(self, path: str) -> None:
+        for name in ("blocks", "docs", "postings", "stats"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("blocks", "docs", "postings", "stats")))
+
+
+_BUILT: dict[tuple, Index] = {}
+
+
+def of(spark: SparkSession, folder: str) -> Index:
+    """The index of a folder's documents, built the first time in this application and kept in the shared folder; new files, a new index."""
+    key = (spark.sparkContext.applicationId, folder, *sorted(corpus.table(spark, folder, "documents").inputFiles()))
+    if key not in _BUILT:
+        for old in [k for k in _BUILT if k[:2] == key[:2] or k[0] != key[0]]:
+            del _BUILT[old]
+        _BUILT[key] = build(spark, folder)
+    return _BUILT[key]
+
+
+def build(spark: SparkSession, folder: str) -> Index:
+    docs = corpus.documents(spark, folder).withColumn("ctx", corpus.context())
+    docs = staged(docs.withColumn("ctx_terms", X.tokens(F.col("ctx"))))
+    contexts = docs.select("doc_id", "ctx", "ctx_terms")
+    rows = corpus.block_rows(spark, folder).withColumn("terms", X.tokens(F.col("body"))).join(contexts, "doc_id")
+    blocks = staged(rows.withColumn("dl", F.size("terms") + F.size("ctx_terms")).drop("ctx_terms"))
+    each = blocks.select("block_ix", "doc_id", "dl", "terms").join(docs.select("doc_id", "ctx_terms"), "doc_id")
+    found = staged(_counted(each))
+    return Index(blocks, docs, found, staged(found.groupBy("term").agg(F.count("*").alias("df"), F.count_if(F.col("tf") > F.col("ctf")).alias("body_df"))))
+
+
+def _counted(blocks: DataFrame) -> DataFrame:
+    """blocks (block_ix, dl, terms, ctx_terms): a row for each block and term. A block's tokens are sorted and its runs counted in its row: nothing is shuffled."""
+    once = lambda df, c, name: df.select("block_ix", "dl", "ctx_terms", *(x for x in df.columns if x in ("s",)), F.explode(F.array(c)).alias(name))  # noqa: E731  (made once, then looked up)
+    rows = once(blocks.filter("dl > 0"), F.array_sort(F.concat("ctx_terms", "terms")), "s")
+    first = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
+    rows = once(rows, first, "first")
+    run = lambda a, k: F.struct(F.get("s", a).alias("term"), (F.coalesce(F.get("first", k + 1), F.size("s")) - a).alias("tf"), F.size(F.filter("ctx_terms", lambda t: t == F.get("s", a))).alias("ctf"))
+    return rows.select("block_ix", "dl", F.explode(F.transform("first", run)).alias("r")).select("block_ix", "dl", "r.*")
 
 
 def postings(blocks: DataFrame, column: str) -> DataFrame:
@@ -30,22 +137,27 @@ def postings(blocks: DataFrame, column: str) -> DataFrame:
     return blocks.select("block_ix", F.explode(X.tokens(F.col(column))).alias("term")).groupBy("block_ix", "term").agg(F.count("*").alias("tf"))
 
 
-def build(spark, folder: str) -> Index:
-    docs = corpus.documents(spark, folder)
-    blocks = corpus.with_context(corpus.blocks(spark, folder), docs)
-    ctx = postings(blocks, "ctx").select("block_ix", "term")
-    return Index(blocks, docs, postings(blocks, "full"), postings(blocks, "body"), ctx)
+def _raw_idf(df: Column, n: int) -> Column:
+    return F.log(F.lit(float(n)) - df + 0.5) - F.log(df + 0.5)
 
 
-def bm25_terms(full: DataFrame, n_blocks: DataFrame) -> DataFrame:
-    """term, df, idf. A negative idf becomes EPSILON times the mean over the vocabulary.
+def bm25_idf(df: Column, n: int, mean: float) -> Column:
+    """A negative idf becomes EPSILON times the mean over the vocabulary."""
+    raw = _raw_idf(df, n)
+    return F.when(raw < 0, EPSILON * mean).otherwise(raw)
+
+
+def bm25_weight(tf: Column, dl: Column, idf: Column, avgdl: float) -> Column:
+    """What one occurrence of the term in a query adds to the block's score."""
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / (avgdl or math.inf)))
 
-    n_blocks: one row (n), with blocks that have no token counted.
-    """
-    df = full.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_blocks))  # one row
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))  # one row
+
+def bm25_terms(full: DataFrame, n_blocks: DataFrame) -> DataFrame:
+    """term, df, idf of postings. n_blocks: one row (n), with blocks that have no token counted."""
+    df = full.groupBy("term").agg(F.count("*").alias("df"))
+    n = n_blocks.first()["n"]
+    mean = df.agg(F.avg(_raw_idf(F.col("df"), n))).first()[0] or 0.0
+    return df.select("term", "df", bm25_idf(F.col("df"), n, mean).alias("idf"))
 
 
 def cover_idf(body: DataFrame, n_blocks: DataFrame) -> DataFrame:
@@ -58,24 +170,6 @@ def block_count(blocks: DataFrame) -> DataFrame:
     return blocks.agg(F.count("*").alias("n"))
 
 
-def bm25_weights(full: DataFrame, n_blocks: DataFrame) -> DataFrame:
-    """block_ix, term, weight: what one occurrence of the term in a query adds to the block's score."""
-    length = full.groupBy("block_ix").agg(F.sum("tf").alias("dl"))
-    mean = full.agg(F.sum("tf").alias("all")).crossJoin(n_blocks).select((F.col("all") / F.col("n")).alias("avgdl"))
-    rows = full.join(length, "block_ix").crossJoin(F.broadcast(mean)).join(bm25_terms(full, n_blocks), "term")  # one row
-    norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    return rows.select("block_ix", "term", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("weight"))
-
-
-def tfidf_weights(full: DataFrame, n_blocks: DataFrame, least: int = 2, most: float = 0.6) -> tuple[DataFrame, DataFrame]:
-    """(block_ix, term, weight) of unit length, and (term, idf), for terms in `least` blocks and in at most that share."""
-    df = full.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_blocks))  # one row
-    idf = df.filter((F.col("df") >= least) & (F.col("df") <= most * F.col("n"))).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = full.join(idf, "term").withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
-    norm = raw.groupBy("block_ix").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norm, "block_ix").select("block_ix", "term", (F.col("raw") / F.col("norm")).alias("weight")), idf
-
-
 def neighbours(blocks: DataFrame) -> DataFrame:
     """block_ix, doc_id, previous, next, position, total within the document, in line order."""
     by = Window.partitionBy("doc_id").orderBy("n")

@@ -6,12 +6,24 @@ to nine places before they are ranked and ties go to the smaller block_ix, so eq
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as X
 from gleaner.functions.wordlists import DENSE, DENSE_CUT, LEXICAL, RRF_K, STRUCTURAL
-from gleaner.operators.index import Index, bm25_weights, block_count, tfidf_weights
+from gleaner.operators import dense as D
+from gleaner.operators.index import Index, bm25_weight
+from gleaner.sources.corpus import LINES
+
+
+@dataclass
+class Vectors:
+    """blocks (block_ix, vector) and questions (qid, vector), of unit length and one width; either may lack some."""
+
+    blocks: DataFrame
+    questions: DataFrame
 
 
 def top(rows: DataFrame, n: int, *by: str, score: str = "score") -> DataFrame:
@@ -25,78 +37,85 @@ def query_terms(reqs: DataFrame) -> DataFrame:
     return reqs.select("qid", "rid", F.explode("terms").alias("term")).groupBy("qid", "rid", "term").agg(F.count("*").alias("times"))
 
 
-def bm25(reqs: DataFrame, weights: DataFrame, n: int | None = LEXICAL) -> DataFrame:
-    hits = query_terms(reqs).join(weights, "term")
-    scored = hits.groupBy("qid", "rid", "block_ix").agg(F.round(F.sum(F.col("times") * F.col("weight")), 9).alias("score")).filter("score > 0")
-    return top(scored, n, "qid", "rid") if n else scored
+def bm25(reqs: DataFrame, index: Index, n: int = LEXICAL) -> DataFrame:
+    """Only postings of the terms asked for are weighted."""
+    asked = query_terms(reqs)
+    idf = index.bm25_idf.select("term", "idf").join(asked.select("term").distinct(), "term", "left_semi")
+    hits = index.postings.select("block_ix", "dl", "term", "tf").join(idf, "term")
+    weights = hits.select("block_ix", "term", bm25_weight(F.col("tf"), F.col("dl"), F.col("idf"), index.size[1]).alias("weight"))
+    scored = asked.join(weights, "term").groupBy("qid", "rid", "block_ix").agg(F.round(F.sum(F.col("times") * F.col("weight")), 9).alias("score")).filter("score > 0")
+    return top(scored, n, "qid", "rid")
 
 
-def tfidf(queries: DataFrame, weights: DataFrame, idf: DataFrame, n: int = DENSE) -> DataFrame:
+def tfidf(queries: DataFrame, index: Index, n: int = DENSE) -> DataFrame:
     """queries: qid, rid, body. Cosine of TF-IDF vectors."""
     tf = queries.select("qid", "rid", F.explode(X.tokens(F.col("body"))).alias("term")).groupBy("qid", "rid", "term").agg(F.count("*").alias("tf"))
-    raw = tf.join(idf, "term").withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
-    norm = raw.groupBy("qid", "rid").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    unit = raw.join(norm, ["qid", "rid"]).select("qid", "rid", "term", (F.col("raw") / F.col("norm")).alias("q"))
-    scored = unit.join(weights, "term").groupBy("qid", "rid", "block_ix").agg(F.round(F.sum(F.col("q") * F.col("weight")), 9).alias("score")).filter("score > 0")
+    raw = tf.join(index.tfidf_idf, "term").withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
+    norm = raw.groupBy("qid", "rid").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
+    unit = raw.join(norm, ["qid", "rid"]).select("qid", "rid", "term", "idf", (F.col("raw") / F.col("length")).alias("q"))
+    hits = index.postings.select("block_ix", "term", F.col("tf").alias("own")).join(unit, "term")
+    sums = hits.groupBy("qid", "rid", "block_ix").agg(F.sum(F.col("q") * (1 + F.log("own")) * F.col("idf")).alias("s"))
+    scored = sums.join(index.norms, "block_ix").select("qid", "rid", "block_ix", F.round(F.col("s") / F.col("norm"), 9).alias("score")).filter("score > 0")
     return top(scored, n, "qid", "rid")
 
 
-def dense(queries: DataFrame, vectors: DataFrame, n: int = DENSE, cut: float = DENSE_CUT) -> DataFrame:
-    """queries (qid, vector), vectors (vec_id, vector), of unit length: the n largest products above the cut.
+def dense(reqs: DataFrame, vectors: Vectors, n: int = DENSE, cut: float = DENSE_CUT) -> DataFrame:
+    """Cosines of the blocks' vectors with the question's, whatever the requirement asks for: for questions that have a vector."""
+    near = D.nearest(vectors.questions, vectors.blocks.withColumnRenamed("block_ix", "vec_id"), n, cut).withColumnRenamed("vec_id", "block_ix")
+    return reqs.select("qid", "rid").join(near, "qid").select("qid", "rid", "block_ix", "score", "rank")
 
-    Each block of vectors meets each query: the queries are the stated ones, few beside the vectors, so they are what is
-    sent to all tasks, if they are small enough for it.
-    """
-    small = queries.select("qid", F.col("vector").alias("q"))
-    scored = vectors.crossJoin(small).select("qid", "vec_id", F.round(X.dot(F.col("q"), F.col("vector")), 9).alias("score")).filter(F.col("score") > cut)
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+
+def similarity(vectors: Vectors, index: Index) -> DataFrame:
+    """qid, similarity: the largest of a question to any block; a block without a vector has 0."""
+    lacking = index.blocks.join(vectors.blocks.filter("vector IS NOT NULL"), "block_ix", "left_anti").agg((F.count("*") > 0).alias("lacking"))
+    found = D.largest(vectors.questions, vectors.blocks.withColumnRenamed("block_ix", "vec_id")).crossJoin(F.broadcast(lacking))  # one row
+    return found.select("qid", F.when(F.col("lacking"), F.greatest("similarity", F.lit(0.0))).otherwise(F.col("similarity")).alias("similarity"))
 
 
-def max_similarity(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    small = queries.select("qid", F.col("vector").alias("q"))
-    return vectors.crossJoin(small).groupBy("qid").agg(F.round(F.max(X.dot(F.col("q"), F.col("vector"))), 9).alias("similarity"))
+def _of_documents(docs: DataFrame, index: Index, n: int) -> DataFrame:
+    """docs (qid, rid, doc_id, score): their first n blocks, as far as they can be among the query's n best.
+
+    A block is before another of a lower score, or of an equal one and a larger number, and documents are numbered as
+    their blocks are; each has a block, so n documents are enough.
+    """
+    order = Window.partitionBy("qid", "rid").orderBy(F.desc("score"), "doc_id")
+    best = docs.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= n).drop("r")
+    return best.join(index.blocks.filter(F.col("position") <= n).select("doc_id", "block_ix"), "doc_id").select("qid", "rid", "block_ix", "score")
 
 
-def title(reqs: DataFrame, ctx: DataFrame, n: int | None = STRUCTURAL) -> DataFrame:
-    """How many of the terms the context has."""
-    scored = query_terms(reqs).join(ctx, "term").groupBy("qid", "rid", "block_ix").agg(F.count("*").alias("score"))
-    return top(scored, n, "qid", "rid") if n else scored
+def title(reqs: DataFrame, index: Index, n: int = STRUCTURAL) -> DataFrame:
+    """How many of the terms the context has: a document's, so documents are ranked first."""
+    docs = query_terms(reqs).join(index.contexts, "term").groupBy("qid", "rid", "doc_id").agg(F.count("*").alias("score"))
+    return top(_of_documents(docs, index, n), n, "qid", "rid")
 
 
-def entity(reqs: DataFrame, index: Index, n: int | None = STRUCTURAL) -> DataFrame:
-    """Ten for each named author of the block's document, one for each entity in the block."""
+def entity(reqs: DataFrame, index: Index, n: int = STRUCTURAL) -> DataFrame:
+    """Ten for each named author of the block's document, one for each entity in the block.
+
+    Blocks without an entity are ranked by their document alone, so of these the first n of the best documents are enough.
+    """
     named = reqs.select("qid", "rid", F.explode("entities").alias("term")).distinct()
-    mentions = named.join(index.body.select("block_ix", "term"), "term").select("qid", "rid", "block_ix", F.lit(1).alias("score"))
-    authors = author_terms(index.docs)
-    written = named.join(authors, "term").join(index.blocks.select("block_ix", "doc_id"), "doc_id").select("qid", "rid", "block_ix", F.lit(10).alias("score"))
-    scored = mentions.unionByName(written).groupBy("qid", "rid", "block_ix").agg(F.sum("score").alias("score"))
-    return top(scored, n, "qid", "rid") if n else scored
-
-
-def author_terms(docs: DataFrame) -> DataFrame:
-    """doc_id, term: runs of letters and digits in the authors' names."""
-    return docs.select("doc_id", F.explode(F.regexp_extract_all(X.normalise(F.col("author")), F.lit("([a-z0-9]+)"), F.lit(1))).alias("term")).distinct()
-
-
-def structure(plans: DataFrame, index: Index, n: int | None = STRUCTURAL, admin: bool = True) -> DataFrame:
-    """Blocks of the week asked for, then of the unit, then, for administrative questions, governing and graded documents."""
-    b = index.blocks.select("block_ix", "week", "unit", "kind")
-    parts = [
-        plans.filter("week IS NOT NULL").select("qid", "week").join(b, "week").select("qid", "block_ix", F.lit(0).alias("part")),
-        plans.filter("unit IS NOT NULL").select("qid", "unit").join(b, "unit").select("qid", "block_ix", F.lit(1).alias("part")),
-    ]
-    if admin:
-        asked = plans.filter("admin").select("qid")
-        for i, kind in enumerate(("rector", "evaluacion")):
-            parts.append(asked.withColumn("kind", F.lit(kind)).join(b, "kind").select("qid", "block_ix", F.lit(2 + i).alias("part")))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    first = every.groupBy("qid", "block_ix").agg(F.min("part").alias("part"))
+    have = index.blocks.filter("position = 1").select("doc_id")
+    written = named.join(index.authors, "term").join(have, "doc_id", "left_semi").groupBy("qid", "rid", "doc_id").agg((F.count("*") * 10).alias("score"))
+    mentions = named.join(index.body.select("block_ix", "term"), "term").groupBy("qid", "rid", "block_ix").agg(F.count("*").alias("own"))
+    mentions = mentions.withColumn("doc_id", F.floor(F.col("block_ix") / LINES)).join(written, ["qid", "rid", "doc_id"], "left")
+    every = mentions.select("qid", "rid", "block_ix", (F.col("own") + F.coalesce("score", F.lit(0))).alias("score")).unionByName(_of_documents(written, index, n))
+    return top(every.groupBy("qid", "rid", "block_ix").agg(F.max("score").alias("score")), n, "qid", "rid")
+
+
+def structure(plans: DataFrame, index: Index, n: int = STRUCTURAL) -> DataFrame:
+    """Blocks of the week asked for, then of the unit, then, for administrative questions, governing and graded documents.
+
+    Each list gives its first n blocks: what is in an earlier list, too, is as often missing there.
+    """
+    lists = F.array(
+        F.struct(F.lit(0).alias("part"), F.lit("week").alias("key"), F.col("week").cast("string").alias("value")), F.struct(F.lit(1).alias("part"), F.lit("unit").alias("key"), F.col("unit").cast("string").alias("value")),
+        *(F.struct(F.lit(2 + i).alias("part"), F.lit("kind").alias("key"), F.when(F.col("admin"), F.lit(kind)).alias("value")) for i, kind in enumerate(("rector", "evaluacion"))),
+    )
+    asked = plans.select("qid", F.explode(lists).alias("l")).select("qid", "l.*").filter("value IS NOT NULL")
+    first = asked.join(index.heads, ["key", "value"]).groupBy("qid", "block_ix").agg(F.min("part").alias("part"))
     order = Window.partitionBy("qid").orderBy("part", "block_ix")
-    ranked = first.withColumn("score", -F.col("part").cast("double")).withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= n).drop("part") if n else ranked.drop("part")
+    return first.withColumn("score", -F.col("part").cast("double")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).drop("part")
 
 
 def fuse(rankings: dict[str, DataFrame], k: int = RRF_K) -> DataFrame:
@@ -108,30 +127,29 @@ def fuse(rankings: dict[str, DataFrame], k: int = RRF_K) -> DataFrame:
     return every.groupBy("qid", "rid", "block_ix").agg(F.round(F.sum("part"), 12).alias("score"), F.min("at").alias("first"))
 
 
-def signals(reqs: DataFrame, plans: DataFrame, index: Index, without: str | None = None) -> dict[str, DataFrame]:
-    """The five rankings of each requirement; without: one left out, for ablation. TF-IDF stands for a missing query vector."""
-    n = block_count(index.blocks)
-    weights = bm25_weights(index.full, n)
-    vectors, idf = tfidf_weights(index.full, n)
+def signals(reqs: DataFrame, plans: DataFrame, index: Index, without: str | None = None, vectors: Vectors | None = None) -> dict[str, DataFrame]:
+    """The five rankings of each requirement; without: one left out, for ablation. TF-IDF stands for a question's missing vector."""
     said = reqs.select("qid", "rid", F.when(F.col("kind") == "nucleo", F.col("question")).otherwise(F.array_join("terms", " ")).alias("body"))
+    if vectors is None:
+        meant = tfidf(said, index)
+    else:
+        have = vectors.questions.filter("vector IS NOT NULL").select("qid")
+        meant = tfidf(said.join(have, "qid", "left_anti"), index).unionByName(dense(reqs, vectors))
     out = {
-        "bm25": bm25(reqs, weights),
-        "dense": tfidf(said, vectors, idf),
-        "title": title(reqs, index.ctx),
+        "bm25": bm25(reqs, index),
+        "dense": meant,
+        "title": title(reqs, index),
         "entity": entity(reqs, index),
         "structure": structure(plans, index).join(reqs.select("qid", "rid"), "qid"),
     }
     return {k: v for k, v in out.items() if k != without}
 
 
-def frontier(reqs: DataFrame, plans: DataFrame, index: Index, without: str | None = None) -> DataFrame:
+def frontier(reqs: DataFrame, plans: DataFrame, index: Index, without: str | None = None, vectors: Vectors | None = None) -> DataFrame:
     """The fused rankings; of a query with a week or unit only blocks of it, unless that leaves none."""
-    fused = fuse(signals(reqs, plans, index, without))
-    allowed = structure(plans, index, None, admin=False).select("qid", "block_ix", F.lit(1).alias("allowed"))
-    marked = fused.join(allowed, ["qid", "block_ix"], "left")
-    any_allowed = F.max("allowed").over(Window.partitionBy("qid", "rid"))
-    return marked.withColumn("some", any_allowed).filter(F.col("some").isNull() | F.col("allowed").isNotNull()).drop("some", "allowed")
-
-
-def half_up(value: Column, places: int) -> Column:
-    return F.round(value, places)
+    fused = fuse(signals(reqs, plans, index, without, vectors))
+    asked = plans.select("qid", F.col("week").alias("w"), F.col("unit").alias("u"))
+    marked = fused.join(index.blocks.select("block_ix", "week", "unit"), "block_ix").join(asked, "qid", "left")
+    marked = marked.withColumn("allowed", F.coalesce(F.col("week") == F.col("w"), F.lit(False)) | F.coalesce(F.col("unit") == F.col("u"), F.lit(False)))
+    some = F.bool_or("allowed").over(Window.partitionBy("qid", "rid"))
+    return marked.withColumn("some", some).filter("allowed OR NOT some").select("qid", "rid", "block_ix", "score", "first")

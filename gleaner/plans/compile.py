@@ -10,7 +10,7 @@ from gleaner.functions.wordlists import (
     ADMIN, ADMIN_STRONG, ADVICE, BROAD, BUDGET, CAUSAL, CAUSAL_MARKERS, COMPARING, GREY_GATE, LEXICAL_GATE, NARROW, QUESTION_WORDS, QUOTA, SIM_HIGH, SIM_LOW, WANTS_ANSWERS,
 )
 from gleaner.operators import rank
-from gleaner.operators.index import Index, block_count, bm25_weights, cover_idf
+from gleaner.operators.index import Index
 
 
 def query_type(question: Column) -> Column:
@@ -79,7 +79,7 @@ def density(reqs: DataFrame, index: Index) -> DataFrame:
     """qid, density: the largest share per thousand of a block's tokens that are terms, over blocks with two different terms."""
     terms = reqs.filter("rid = 'r1'").select("qid", F.explode("terms").alias("term"))
     once = terms.groupBy("qid", "term").agg(F.count("*").alias("times"))
-    length = index.body.groupBy("block_ix").agg(F.sum("tf").alias("n"))
+    length = index.blocks.select("block_ix", F.size("terms").alias("n"))
     hits = once.join(index.body, "term").groupBy("qid", "block_ix").agg(F.sum("times").alias("both"), F.sum(F.col("tf") * F.col("times")).alias("found"))
     shares = hits.filter("both >= 2").join(length, "block_ix").select("qid", (F.col("found") / F.col("n") * 1000).alias("d"))
     return shares.groupBy("qid").agg(F.max("d").alias("density"))
@@ -90,20 +90,17 @@ def top_ten_mean(reqs: DataFrame, index: Index) -> DataFrame:
 
     A negative score can't be among them unless fewer than ten blocks score 0 or more; none is negative here.
     """
-    n = block_count(index.blocks)
-    scored = rank.bm25(reqs.filter("rid = 'r1'"), bm25_weights(index.full, n), None)
-    best = scored.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score")))).filter("r <= 10")
-    blocks = F.broadcast(n)  # one row
-    return best.groupBy("qid").agg(F.sum("score").alias("s")).crossJoin(blocks).select("qid", (F.col("s") / F.least(F.lit(10), F.col("n"))).alias("mean"))
+    best = rank.bm25(reqs.filter("rid = 'r1'"), index, 10)
+    return best.groupBy("qid").agg((F.sum("score") / min(10, max(1, index.size[0]))).alias("mean"))
 
 
 def gate(plan: DataFrame, reqs: DataFrame, index: Index, similarity: DataFrame | None = None) -> DataFrame:
     """qid, out_of_scope, reason, score. similarity (qid, similarity): the largest to any block, null or absent without vectors."""
     q = F.col("question")
     r1 = reqs.filter("rid = 'r1'").select("qid", "terms", "entities")
-    idf = cover_idf(index.body, block_count(index.blocks)).select("term", "df")
+    idf = index.stats.filter("body_df > 0").select("term", F.col("body_df").alias("df"))
     unknown = r1.select("qid", F.explode("terms").alias("term")).join(idf, "term", "left").groupBy("qid").agg(F.count_if(F.col("df").isNull()).alias("unknown"))
-    authors = rank.author_terms(index.docs).select("term").distinct()
+    authors = index.authors.select("term").distinct()
     named = r1.select("qid", F.explode("entities").alias("term")).join(authors, "term", "left_semi").select("qid").distinct().withColumn("author", F.lit(True))
     rows = plan.join(r1, "qid").join(unknown, "qid", "left").join(named, "qid", "left").join(density(reqs, index), "qid", "left").join(top_ten_mean(reqs, index), "qid", "left")
     rows = rows.join(similarity, "qid", "left") if similarity is not None else rows.withColumn("similarity", F.lit(None).cast("double"))

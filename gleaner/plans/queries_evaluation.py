@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as X
@@ -180,11 +181,18 @@ def answer_summary(spark, d):
     return _answers(spark).agg(F.count("*").alias("answers"), F.count_if(F.size(c) > 0).alias("cited"), F.count_if(F.exists(c, lambda i: i > F.col("n"))).alias("bad"))
 
 
-# each benchmark text, cited as [1], grounded in the documents that hold it
-@query(with_tables("blocks", query=f"SELECT item_id AS aid, round(avg(len(list_filter(a, lambda t: list_contains(b, t))) / len(a)), 6) AS grounding FROM (SELECT i.item_id, {unique(tokens('i.text'))} AS a, {unique(tokens('k.body'))} AS b FROM benchmark i JOIN blocks k ON k.doc_id = i.item_id AND k.n = 1 WHERE length(i.text) >= 56) WHERE len(a) > 0 AND len(b) > 0 GROUP BY item_id"))
+# each benchmark text as an answer that cites one of the blocks of the documents that hold it
+_HELD = "held AS MATERIALIZED (SELECT DISTINCT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), shown AS MATERIALIZED (SELECT item_id, body, row_number() OVER (PARTITION BY item_id ORDER BY block_ix) AS n FROM held JOIN blocks USING (doc_id))"
+
+
+@query(with_tables("blocks", _HELD, query=f"SELECT item_id AS aid, round(avg(len(list_filter(a, lambda t: list_contains(b, t))) / len(a)), 6) AS grounding FROM (SELECT i.item_id, {unique(tokens('i.text'))} AS a, {unique(tokens('k.body'))} AS b FROM (SELECT item_id, text, 1 + (item_id % nullif((SELECT count(*) FROM shown s WHERE s.item_id = m.item_id), 0)) AS cited FROM benchmark m) i JOIN shown k ON k.item_id = i.item_id AND k.n = i.cited WHERE length(i.text) >= 56) WHERE len(a) > 0 AND len(b) > 0 GROUP BY item_id"))
 def grounding_overlap(spark, d):
-    said = corpus.table(spark, d, "benchmark").select(F.col("item_id").alias("aid"), F.concat(F.translate("text", "\n", " "), F.lit(" [1]")).alias("answer"))
-    evidence = corpus.blocks(spark, d).filter("n = 1").select(F.col("doc_id").alias("aid"), F.lit(1).alias("n"), "body")
+    """Each benchmark text is an answer that cites one of the blocks of the documents that hold it; all of these are its evidence."""
+    docs, bank = corpus.table(spark, d, "documents").select("doc_id", "text"), corpus.table(spark, d, "benchmark").select("item_id", "text")
+    held = V.contained(bank, docs, "item_id", "doc_id").join(corpus.blocks(spark, d).select("doc_id", "block_ix", "body"), "doc_id")
+    evidence = held.select(F.col("item_id").alias("aid"), F.row_number().over(Window.partitionBy("item_id").orderBy("block_ix")).alias("n"), "body")
+    cited = evidence.groupBy("aid").agg(F.count("*").alias("shown"))
+    said = bank.join(cited, F.col("item_id") == F.col("aid")).select("aid", F.concat(F.translate("text", "\n", " "), F.lit(" ["), (1 + F.col("aid") % F.col("shown")).cast("string"), F.lit("]")).alias("answer"))
     return A.grounding(said, evidence)
 
 
@@ -254,8 +262,8 @@ def progress_merge(spark, d):
 
 @query("SELECT b.item_id AS question, d.doc_id AS block_id, CASE WHEN d.doc_id % 2 = 0 THEN 'si' ELSE 'pendiente' END AS gold FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def gold_upsert(spark, d):
-    b, docs = corpus.table(spark, d, "benchmark"), corpus.table(spark, d, "documents").select("doc_id", F.col("text").alias("whole"))
-    found = docs.join(F.broadcast(b), F.contains("whole", F.col("text"))).select(F.col("item_id").alias("question"), F.col("doc_id").alias("block_id"))  # the question bank
+    b, docs = corpus.table(spark, d, "benchmark").select(F.col("item_id").alias("question"), "text"), corpus.table(spark, d, "documents").select(F.col("doc_id").alias("block_id"), "text")
+    found = V.contained(b, docs, "question", "block_id")
     before = found.filter("block_id % 2 = 0").withColumn("gold", F.lit("si"))
     return corpus.keep_labels(found, before)
 

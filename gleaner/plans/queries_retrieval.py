@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleaner.functions import text as X
-from gleaner.functions.wordlists import ADMIN, ADMIN_STRONG, ADVICE, BROAD, CAUSAL, CAUSAL_MARKERS, COMPARING, NARROW, QUESTION_WORDS, WANTS_ANSWERS
+from gleaner.functions.wordlists import ADMIN, ADMIN_STRONG, ADVICE, BROAD, CAUSAL, CAUSAL_MARKERS, COMPARING, DENSE, DENSE_CUT, NARROW, QUESTION_WORDS, WANTS_ANSWERS
 from gleaner.operators import answers as A
+from gleaner.operators import dense as D
 from gleaner.operators import evaluate as V
 from gleaner.operators import evidence as E
 from gleaner.operators import index as I
@@ -24,7 +24,7 @@ QUESTIONS = [
     (1004, "¿Cuándo es el examen parcial?"), (1005, "Dame las respuestas del examen parcial"), (1006, "¿Qué dice Src7 sobre the tionthe?"),
     (1007, "¿Cuál es la mejor manera de estudiar para el examen?"), (1008, "???"), (1009, "Resume la semana 12: haciendas azucareras y causas"), (1010, "quantum chromodynamics lagrangian"),
 ]
-_Q = f"questions AS (SELECT item_id AS qid, text AS question FROM benchmark UNION ALL SELECT qid, question FROM {values(QUESTIONS, 'qid, question')})"
+_Q = f"questions AS (SELECT item_id AS qid, text AS question FROM benchmark UNION ALL SELECT CASE WHEN qid IN (SELECT item_id FROM benchmark) THEN -qid ELSE qid END, question FROM {values(QUESTIONS, 'qid, question')})"
 
 
 def bank_questions(spark, d):
@@ -76,22 +76,15 @@ _BASE = "blocks docs weeks units"
 _ALL = "blocks docs weeks units bm_weights tf_weights ctx_post body_post cover_idf near"
 
 
-def _light(spark, d):
-    """For queries that read one ranking: nothing is written."""
-    index = I.build(spark, d)
-    plan = C.plans(questions(spark, d), index)
-    return index, plan, C.requirements(plan, index)
-
-
 def _compiled(spark, d, asked=questions):
-    index = S.stage_index(I.build(spark, d))
+    index = I.of(spark, d)
     plan = staged(C.plans(asked(spark, d), index))
     return index, plan, staged(C.requirements(plan, index))
 
 
 @query(with_tables(_BASE, _Q, _PLANS, query="SELECT qid, kind, budget, week, unit, admin, filtered, quota FROM plans"))
 def query_plan(spark, d):
-    return C.plans(questions(spark, d), I.build(spark, d)).drop("question")
+    return _compiled(spark, d)[1].drop("question")
 
 
 @query(with_tables(_BASE, _Q, _PLANS, query="SELECT qid, mode, CASE mode WHEN 'repasar' THEN least(budget, 3500) WHEN 'practicar' THEN least(budget, 9000) WHEN 'debate' THEN greatest(budget, 9000) WHEN 'resumen' THEN 14000 ELSE budget END AS budget FROM plans, (SELECT unnest(['repasar', 'practicar', 'debate', 'resumen', 'preguntar']) AS mode)"))
@@ -102,7 +95,7 @@ def mode_budgets(spark, d):
 
 @query(with_tables(_BASE, _Q, _PLANS, _REQS, query="SELECT qid, rid, kind, mandatory, array_to_string(terms, ' ') AS terms, array_to_string(entities, ' ') AS entities, len(markers) AS markers FROM reqs"))
 def requirement_terms(spark, d):
-    _, _, reqs = _light(spark, d)
+    _, _, reqs = _compiled(spark, d)
     return reqs.select("qid", "rid", "kind", "mandatory", F.array_join("terms", " ").alias("terms"), F.array_join("entities", " ").alias("entities"), F.size("markers").cast("long").alias("markers"))
 
 
@@ -110,7 +103,7 @@ def _ranked(name: str, table: str, needs: str, *parts: str):
     sql = with_tables(needs, _Q, _PLANS, _REQS, _TERMS, *parts, query=f"SELECT qid, rid, block_ix, round(CAST(score AS DOUBLE), 6) AS score, rank FROM {table}")
 
     def run(spark, d):
-        index, plan, reqs = _light(spark, d)
+        index, plan, reqs = _compiled(spark, d)
         return R.signals(reqs, plan, index)[name].select("qid", "rid", "block_ix", F.round(F.col("score").cast("double"), 6).alias("score"), "rank")
 
     return sql, run
@@ -126,40 +119,27 @@ for _query, _args in {
 
 @query(with_tables(_BASE, _Q, _PLANS, _STRUCT, query="SELECT qid, block_ix, rank FROM st"))
 def structure_match(spark, d):
-    index, plan, _ = _light(spark, d)
+    index, plan, _ = _compiled(spark, d)
     return R.structure(plan, index).select("qid", "block_ix", "rank")
 
 
-@query("SELECT q.vec_id AS qid, e.vec_id, round(s, 6) AS score, rank FROM (SELECT q.vec_id AS qid, e.vec_id, s, row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, e.vec_id) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q, LATERAL (SELECT round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS s) WHERE s > 0.2 QUALIFY rank <= 40) x JOIN embeddings q ON q.vec_id = x.qid JOIN embeddings e ON e.vec_id = x.vec_id")
-def dense_topk(spark, d):
-    e = corpus.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "vector")
-    return R.dense(q, e).select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
+_EVERY_TWENTIETH = "(SELECT * FROM embeddings WHERE vec_id % 20 = 0) q"
 
 
-@query("SELECT q.vec_id AS qid, round(max(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))), 6) AS similarity FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q WHERE e.vec_id <> q.vec_id GROUP BY 1")
-def dense_max(spark, d):
+def _embeddings(spark, d):
+    """The stated queries, each row whose id is divisible by 20, and all vectors."""
     e = corpus.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("vector").alias("q"))
-    pairs = e.crossJoin(q).filter("vec_id <> qid")
-    return pairs.groupBy("qid").agg(F.round(F.max(X.dot(F.col("q"), F.col("vector"))), 6).alias("similarity"))
+    return e.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "qid"), e
 
 
-@query(ORACLES["dense_topk"].replace("vec_id % 100 = 0", "vec_id % 20 = 0"))
-def dense_topk_all(spark, d):
-    """dense_topk for every row whose id is divisible by 20, five times its queries."""
-    e = corpus.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "vector")
-    return R.dense(q, e).select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
+@query(f"SELECT qid, vec_id, round(s, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT q.vec_id AS qid, e.vec_id, s, row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, e.vec_id) AS rank FROM embeddings e, {_EVERY_TWENTIETH}, LATERAL (SELECT round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS s) WHERE s > 0.2 QUALIFY rank <= 40)")
+def dense_topk(spark, d):
+    return D.nearest(*_embeddings(spark, d), DENSE, DENSE_CUT).select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(ORACLES["dense_max"].replace("vec_id % 100 = 0", "vec_id % 20 = 0"))
-def dense_max_all(spark, d):
-    """dense_max for every row whose id is divisible by 20, five times its queries."""
-    e = corpus.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("vector").alias("q"))
-    pairs = e.crossJoin(q).filter("vec_id <> qid")
-    return pairs.groupBy("qid").agg(F.round(F.max(X.dot(F.col("q"), F.col("vector"))), 6).alias("similarity"))
+@query(f"SELECT q.vec_id AS qid, round(max(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))), 6) AS similarity FROM embeddings e, {_EVERY_TWENTIETH} WHERE e.vec_id <> q.vec_id GROUP BY 1")
+def dense_max(spark, d):
+    return D.largest(*_embeddings(spark, d), others=True).select("qid", F.round("similarity", 6).alias("similarity"))
 
 
 @query(with_tables(_ALL, *_CHAIN, query="SELECT qid, rid, block_ix, round(score, 9) AS score, first FROM fused"))
@@ -174,19 +154,55 @@ def frontier_filtered(spark, d):
     return R.frontier(reqs, plan, index).select("qid", "rid", "block_ix", F.round("score", 9).alias("score"))
 
 
+# vectors: of a question with an even id the row of embeddings with that id, of a document's blocks that with the document's;
+# the others have none, so both ways of the dense ranking and of the gate are taken
+_SIGHT = """qv AS MATERIALIZED (SELECT q.qid, CAST(e.embedding AS DOUBLE[]) AS v FROM questions q JOIN embeddings e ON e.vec_id = q.qid WHERE q.qid % 2 = 0),
+bv AS MATERIALIZED (SELECT b.block_ix, CAST(e.embedding AS DOUBLE[]) AS v FROM blocks b JOIN embeddings e ON e.vec_id = b.doc_id),
+cos AS MATERIALIZED (SELECT qid, block_ix, round(list_dot_product(qv.v, bv.v), 9) AS score FROM qv, bv),
+dv AS MATERIALIZED (SELECT qid, block_ix, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, block_ix) AS rank FROM cos WHERE score > 0.2 QUALIFY rank <= 40)"""
+_MEANT = "meant AS MATERIALIZED (SELECT qid, rid, block_ix, rank FROM tf WHERE qid NOT IN (SELECT qid FROM qv) UNION ALL SELECT d.qid, r.rid, d.block_ix, d.rank FROM dv d JOIN reqs r USING (qid))"
+_SEEN = (_Q, _PLANS, _REQS, _TERMS, _BM, _TF, _SIGHT, _MEANT, _TITLE, _ENTITY, _STRUCT, _FUSED.replace("FROM tf ", "FROM meant "), _FRONT)
+
+
+def _vectors(spark, d, index, plan) -> R.Vectors:
+    e = corpus.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    asked = plan.filter("qid % 2 = 0").select("qid").join(e.withColumnRenamed("vec_id", "qid"), "qid")
+    return R.Vectors(index.blocks.select("block_ix", F.col("doc_id").alias("vec_id")).join(e, "vec_id").select("block_ix", "vector"), asked)
+
+
+@query(with_tables(_ALL, *_SEEN, query="SELECT qid, rid, block_ix, round(score, 9) AS score, first FROM fused"))
+def rrf_fusion_vectors(spark, d):
+    """rrf_fusion where half of the questions have a vector, and some blocks."""
+    index, plan, reqs = _compiled(spark, d)
+    return R.fuse(R.signals(reqs, plan, index, vectors=_vectors(spark, d, index, plan))).select("qid", "rid", "block_ix", F.round("score", 9).alias("score"), F.col("first").cast("long").alias("first"))
+
+
+@query(with_tables(_ALL, *_SEEN, query="SELECT qid, rid, block_ix, round(score, 9) AS score FROM front"))
+def frontier_vectors(spark, d):
+    index, plan, reqs = _compiled(spark, d)
+    return R.frontier(reqs, plan, index, vectors=_vectors(spark, d, index, plan)).select("qid", "rid", "block_ix", F.round("score", 9).alias("score"))
+
+
+@query(with_tables(_BASE, _Q, _SIGHT, query="SELECT qid, round(CASE WHEN (SELECT count(*) FROM bv) < (SELECT count(*) FROM blocks) THEN greatest(max(score), 0) ELSE max(score) END, 6) AS similarity FROM cos GROUP BY qid"))
+def question_similarity(spark, d):
+    """The largest similarity of each question that has a vector to any block."""
+    index, plan, _ = _compiled(spark, d)
+    return R.similarity(_vectors(spark, d, index, plan), index).select("qid", F.round("similarity", 6).alias("similarity"))
+
+
 _DENS = "dens AS MATERIALIZED (SELECT qid, max(d) AS density FROM (SELECT t.qid, p.block_ix, sum(p.tf * t.times) / any_value(l.n) * 1000 AS d FROM (SELECT qid, term, count(*) AS times FROM r1_terms GROUP BY ALL) t JOIN body_post p USING (term) JOIN (SELECT block_ix, sum(tf) AS n FROM body_post GROUP BY 1) l ON l.block_ix = p.block_ix GROUP BY t.qid, p.block_ix HAVING sum(t.times) >= 2) GROUP BY qid)"
 _TEN = "ten AS MATERIALIZED (SELECT qid, sum(score) / least(10, (SELECT n FROM n_blocks)) AS mean FROM (SELECT * FROM bm_all WHERE rid = 'r1' QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC) <= 10) GROUP BY qid)"
 
 
 @query(with_tables(_BASE + " body_post", _Q, _PLANS, _REQS, _R1, _DENS, query="SELECT qid, round(density, 6) AS density FROM dens"))
 def density(spark, d):
-    index, _, reqs = _light(spark, d)
+    index, _, reqs = _compiled(spark, d)
     return C.density(reqs, index).select("qid", F.round("density", 6).alias("density"))
 
 
 @query(with_tables(_BASE + " bm_weights n_blocks", _Q, _PLANS, _REQS, _TERMS, _BM, _TEN, query="SELECT qid, round(mean, 6) AS mean FROM ten"))
 def bm25_top10_mean(spark, d):
-    index, _, reqs = _light(spark, d)
+    index, _, reqs = _compiled(spark, d)
     return C.top_ten_mean(reqs, index).select("qid", F.round("mean", 6).alias("mean"))
 
 
@@ -221,16 +237,29 @@ def gate_with_similarity(spark, d):
     return C.gate(plan, reqs, index, sims).drop("score")
 
 
+_SIGHTED = "sighted AS MATERIALIZED (SELECT qid, CASE WHEN (SELECT count(*) FROM bv) < (SELECT count(*) FROM blocks) THEN greatest(max(score), 0) ELSE max(score) END AS s FROM cos GROUP BY qid)"
+
+
+@query(with_tables(_ALL + " n_blocks", *_gate_parts("(SELECT s FROM sighted x WHERE x.qid = plans.qid)")[:-1], _SIGHT, _SIGHTED, _gate_sql("(SELECT s FROM sighted x WHERE x.qid = plans.qid)"), query="SELECT qid, reason IS NOT NULL AS out_of_scope, reason FROM gated"))
+def gate_with_vectors(spark, d):
+    """The gate by the vectors' own similarities, lexical for questions without one."""
+    index, plan, reqs = _compiled(spark, d)
+    return C.gate(plan, reqs, index, R.similarity(_vectors(spark, d, index, plan), index)).drop("score")
+
+
 _GOLD = "gold AS MATERIALIZED (SELECT DISTINCT b.item_id AS qid, d.doc_id AS item FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
 def _gold(spark, d):
-    docs = corpus.table(spark, d, "documents").select("doc_id", F.col("text").alias("whole"))
-    bank = corpus.table(spark, d, "benchmark")
-    return docs.join(F.broadcast(bank), F.contains("whole", F.col("text"))).select(F.col("item_id").cast("long").alias("qid"), F.col("doc_id").alias("item"))  # the question bank
+    docs = corpus.table(spark, d, "documents").select(F.col("doc_id").alias("item"), "text")
+    bank = corpus.table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("qid"), "text")
+    return V.contained(bank, docs, "qid", "item").select("qid", "item")
 
 
-@query(with_tables(_ALL + " n_blocks", *_gate_parts("CAST(NULL AS DOUBLE)"), _GOLD, query="SELECT tp, fp, fn, tn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall, round(CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy FROM (SELECT count(*) FILTER (WHERE a AND p) AS tp, count(*) FILTER (WHERE NOT a AND p) AS fp, count(*) FILTER (WHERE a AND NOT p) AS fn, count(*) FILTER (WHERE NOT a AND NOT p) AS tn FROM (SELECT reason IS NULL AS p, qid IN (SELECT qid FROM gold) AS a FROM gated WHERE qid < 1000))"))
+_BANK = ("questions AS (SELECT item_id AS qid, text AS question FROM benchmark)", *_gate_parts("CAST(NULL AS DOUBLE)")[1:])
+
+
+@query(with_tables(_ALL + " n_blocks", *_BANK, _GOLD, query="SELECT tp, fp, fn, tn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall, round(CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy FROM (SELECT count(*) FILTER (WHERE a AND p) AS tp, count(*) FILTER (WHERE NOT a AND p) AS fp, count(*) FILTER (WHERE a AND NOT p) AS fn, count(*) FILTER (WHERE NOT a AND NOT p) AS tn FROM (SELECT reason IS NULL AS p, qid IN (SELECT qid FROM gold) AS a FROM gated))"))
 def gate_confusion(spark, d):
     index, plan, reqs = _compiled(spark, d, bank_questions)
     inside = _gold(spark, d).select("qid").distinct().withColumn("actual", F.lit(True))
@@ -240,8 +269,8 @@ def gate_confusion(spark, d):
 
 @query(with_tables(_ALL, *_CHAIN, _GOLD, query="SELECT g.qid, count(*) AS gold, round(count(*) FILTER (WHERE f.item IS NOT NULL) / count(*), 6) AS recall, round(CASE WHEN coalesce(any_value(n.n), 0) > 0 THEN count(*) FILTER (WHERE f.item IS NOT NULL) / any_value(n.n) ELSE 0 END, 6) AS precision, count(*) = count(*) FILTER (WHERE f.item IS NOT NULL) AS complete FROM gold g LEFT JOIN (SELECT DISTINCT qid, block_ix // 1048576 AS item FROM bm WHERE rid = 'r1' AND rank <= 10) f USING (qid, item) LEFT JOIN (SELECT qid, count(DISTINCT block_ix // 1048576) AS n FROM bm WHERE rid = 'r1' AND rank <= 10 GROUP BY qid) n ON n.qid = g.qid GROUP BY g.qid"))
 def gold_recall(spark, d):
-    index, plan, reqs = _compiled(spark, d)
-    found = R.signals(reqs.filter("rid = 'r1'"), plan, index)["bm25"].filter("rank <= 10").select("qid", F.floor(F.col("block_ix") / corpus.LINES).alias("item"))
+    index, _, reqs = _compiled(spark, d)
+    found = R.bm25(reqs.filter("rid = 'r1'"), index, 10).select("qid", F.floor(F.col("block_ix") / corpus.LINES).alias("item"))
     return V.gold_recall(_gold(spark, d), found)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.wordlists import ROUNDS
 from gleaner.operators import evidence as E
 from gleaner.operators import rank
-from gleaner.operators.index import Index, build
+from gleaner.operators.index import Index, of
 from gleaner.plans import compile as C
 from gleaner.sources.stage import staged
 
@@ -28,13 +28,8 @@ class Found:
     frontier: DataFrame
 
 
-def stage_index(index: Index) -> Index:
-    """The index with its tables written, for plans that read them many times."""
-    return Index(staged(index.blocks), staged(index.docs), staged(index.full), staged(index.body), staged(index.ctx))
-
-
-def search(plan: DataFrame, reqs: DataFrame, index: Index, rounds: int = ROUNDS) -> Found:
-    front = staged(rank.frontier(reqs, plan, index))
+def search(plan: DataFrame, reqs: DataFrame, index: Index, rounds: int = ROUNDS, vectors: rank.Vectors | None = None) -> Found:
+    front = staged(rank.frontier(reqs, plan, index, vectors=vectors))
     union = staged(front.groupBy("qid", "block_ix").agg(F.round(F.sum("score"), 12).alias("score")))
     nothing = union.select("qid").distinct().select("qid", F.lit(0).cast("long").alias("sid"), F.expr("cast(array() as array<bigint>)").alias("blocks"))
     first = E.bridges(union, nothing)
@@ -44,12 +39,12 @@ def search(plan: DataFrame, reqs: DataFrame, index: Index, rounds: int = ROUNDS)
         covered = staged(E.coverage(beam, reqs, index))
         missing = covered.filter("mandatory AND NOT supported").select("qid", "sid", "rid")
         complete = beam.join(missing.select("qid", "sid").distinct(), ["qid", "sid"], "left_anti")
-        seen = E.members(beam).join(index.body.select("block_ix", "term"), "block_ix").groupBy("qid", "sid").agg(F.collect_set("term").alias("covered"))
+        seen = E.members(beam).join(index.blocks.select("block_ix", "terms"), "block_ix").groupBy("qid", "sid").agg(F.array_distinct(F.flatten(F.collect_list(F.array_distinct("terms")))).alias("covered"))
         open_ = missing.join(reqs, ["qid", "rid"]).join(seen, ["qid", "sid"], "left").withColumn("covered", F.coalesce("covered", F.expr("cast(array() as array<string>)")))
         open_ = open_.withColumn("left", E.residual(F.col("terms"), F.col("markers"), F.col("kind"), F.col("covered"))).withColumn("fid", F.concat_ws(":", "qid", "rid", F.xxhash64("left").cast("string")))
         open_ = staged(open_.select("qid", "sid", "rid", "fid", "kind", "question", "entities", "left"))
         asked = open_.dropDuplicates(["fid"]).select("qid", F.col("fid").alias("rid"), "kind", "question", "entities", F.col("left").alias("terms"))
-        fronts = rank.frontier(asked, plan, index).select(F.col("rid").alias("fid"), "block_ix", "score", "first")
+        fronts = rank.frontier(asked, plan, index, vectors=vectors).select(F.col("rid").alias("fid"), "block_ix", "score", "first")
         over = staged(E.bridges(union, beam))
         pairs = open_.select("qid", "sid", "rid", "fid").join(over, ["qid", "sid"])
         useful = E.condition(staged(fronts), pairs.select("fid", "qid", "rid", "bridge").distinct(), reqs, index).select("fid", "bridge", "block_ix", F.col("place").alias("at"))
@@ -80,14 +75,17 @@ def search(plan: DataFrame, reqs: DataFrame, index: Index, rounds: int = ROUNDS)
     return Found(staged(proof), union, front)
 
 
-def retrieve(questions: DataFrame, index: Index, similarity: DataFrame | None = None) -> DataFrame:
-    """questions (qid, question): decision, coverage, blocks (packed, best first), tokens, dropped, missing requirements, reason."""
+def retrieve(questions: DataFrame, index: Index, vectors: rank.Vectors | None = None) -> DataFrame:
+    """questions (qid, question): decision, coverage, blocks (packed, best first), tokens, dropped, missing requirements, reason.
+
+    vectors: rank and gate questions that have one by it; TF-IDF and the lexical gate serve the others.
+    """
     plan = staged(C.plans(questions, index))
     reqs = staged(C.requirements(plan, index))
-    gated = staged(C.gate(plan, reqs, index, similarity))
+    gated = staged(C.gate(plan, reqs, index, rank.similarity(vectors, index) if vectors else None))
     inside = gated.filter("NOT out_of_scope").select("qid")
     plan_in, reqs_in = plan.join(inside, "qid", "left_semi"), reqs.join(inside, "qid", "left_semi")
-    found = search(plan_in, reqs_in, index)
+    found = search(plan_in, reqs_in, index, vectors=vectors)
     about = index.blocks.select("block_ix", "doc_id", "tokens")
     pool = found.union.join(about, "block_ix")
     proof = found.proof.withColumn("sid", F.lit(1).cast("long"))
@@ -106,5 +104,5 @@ def retrieve(questions: DataFrame, index: Index, similarity: DataFrame | None =
     )
 
 
-def retrieve_from(spark, folder: str, questions: DataFrame) -> DataFrame:
-    return retrieve(questions, stage_index(build(spark, folder)))
+def retrieve_from(spark, folder: str, questions: DataFrame, vectors: rank.Vectors | None = None) -> DataFrame:
+    return retrieve(questions, of(spark, folder), vectors)

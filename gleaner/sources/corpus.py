@@ -23,6 +23,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents, dealt over all cores if they lie in fewer files than there are: a file's rows may be one task's."""
+    rows = table(spark, folder, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def weeks(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(WEEKS, "week int, unit int, dates string, topic string")
 
@@ -42,7 +49,7 @@ def _attributes(rows: DataFrame) -> DataFrame:
 
 def blocks(spark: SparkSession, folder: str) -> DataFrame:
     """block_ix, block_id, doc_id, n, body, tokens, source, lang, week, unit, kind, authority."""
-    lines = table(spark, folder, "documents").select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("p", "body"))
+    lines = texts(spark, folder).select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("p", "body"))
     kept = lines.filter(F.length(X.strip(F.col("body"))) >= MIN_BLOCK).withColumn("n", F.col("p") + 1)
     named = kept.select(
         (F.col("doc_id") * LINES + F.col("n")).alias("block_ix"), F.concat_ws("#p", F.col("doc_id").cast("string"), F.col("n").cast("string")).alias("block_id"),
@@ -51,6 +58,28 @@ def blocks(spark: SparkSession, folder: str) -> DataFrame:
     return _attributes(named)
 
 
+def block_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """blocks() with position, and previous and next within the document: each document's lines are one array, so nothing is shuffled."""
+    lines = F.transform(F.split("text", "\n"), lambda body, p: F.struct((p + 1).alias("n"), body.alias("body")))
+    kept = F.filter(lines, lambda x: F.length(X.strip(x["body"])) >= MIN_BLOCK)
+    # a list of one list is exploded so that the list is made once, and not again for each place that is looked up in it
+    rows = texts(spark, folder).select("doc_id", "source", "lang", F.explode(F.array(kept)).alias("lines"))
+    at = lambda i: F.when(i >= 0, F.get("lines", i)["n"])
+    each = F.transform("lines", lambda x, i: F.struct(x["n"].alias("n"), x["body"].alias("body"), (i + 1).alias("position"), at(i - 1).alias("previous"), at(i + 1).alias("next")))
+    rows = rows.withColumn("each", each).select("doc_id", "source", "lang", F.explode("each").alias("e")).select("doc_id", "source", "lang", "e.*")
+    ix = lambda c: F.col("doc_id") * LINES + F.col(c)
+    named = rows.select(
+        ix("n").alias("block_ix"), F.concat_ws("#p", F.col("doc_id").cast("string"), F.col("n").cast("string")).alias("block_id"), "doc_id", "n", "body",
+        X.word_count(F.col("body")).alias("tokens"), "source", "lang", "position", ix("previous").alias("previous"), ix("next").alias("next"),
+    )
+    return _attributes(named)
+
+
+def context() -> Column:
+    """A document's title, author, week's topic and unit's name."""
+    return F.concat_ws(" | ", *(F.nullif(F.col(c), F.lit("")) for c in ("title", "author", "topic", "unit_name")))
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, title (the first line, 60 characters), author (the series), week, unit, kind, authority, tokens, topic, unit_name."""
     rows = table(spark, folder, "documents").select("doc_id", "source", "lang", F.left(F.split("text", "\n")[0], F.lit(60)).alias("title"), F.col("source").alias("author"), X.word_count(F.col("text")).alias("tokens"))
@@ -59,9 +88,8 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def with_context(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """Blocks with ctx (title, author, week's topic, unit's name) and full (that and the body)."""
-    ctx = F.concat_ws(" | ", *(F.nullif(F.col(c), F.lit("")) for c in ("title", "author", "topic", "unit_name")))
     joined = rows.join(docs.select("doc_id", "title", "author", "topic", "unit_name"), "doc_id")
-    return joined.withColumn("ctx", ctx).withColumn("full", F.concat_ws("\n", "ctx", "body"))
+    return joined.withColumn("ctx", context()).withColumn("full", F.concat_ws("\n", "ctx", "body"))
 
 
 # --- files

@@ -31,7 +31,7 @@ class Brute:
         self.b = {r.block_ix: r for r in rows}
         self.order = sorted(self.b)
         self.bag = {i: set(tokens(r.body)) for i, r in self.b.items()}
-        self.full = {i: tokens(r.full) for i, r in self.b.items()}
+        self.full = {i: tokens(r.ctx + "\n" + r.body) for i, r in self.b.items()}
         self.ctx = {i: set(tokens(r.ctx)) for i, r in self.b.items()}
         self.plans, self.reqs = plans, reqs
         n = len(self.b)
@@ -211,7 +211,7 @@ class Brute:
 
 
 def test_retrieval_equals_brute_force(spark):
-    index = S.stage_index(I.build(spark, SMALL))
+    index = I.build(spark, SMALL)
     asked = questions(spark, SMALL).filter("qid IN (0, 1, 2, 1001, 1002, 1003, 1004, 1005, 1008, 1009, 1010)")
     plan = C.plans(asked, index)
     reqs = defaultdict(list)

@@ -39,7 +39,7 @@ def test_ids_of_many_benchmark_items(spark, tmp_path):
 def test_dense_searches_take_every_twentieth_row(spark):
     ids = [r.vec_id for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").filter("vec_id % 20 = 0").collect()]
     assert len(ids) == 25
-    for name in ("dense_topk_all", "dense_max_all"):
+    for name in ("dense_topk", "dense_max"):
         assert sorted(r.qid for r in QUERIES[name](spark, SMALL).select("qid").distinct().collect()) == sorted(ids), name
 
 
@@ -61,7 +61,7 @@ def test_names_and_slugs_of_whole_texts(spark, tmp_path):
     odd = [(10**6, "a b c\nun viaje con Bolívar"), (10**6 + 1, "x" * 400 + " Cusco"), (10**6 + 2, "-" * 200 + " Título; de Ñandú")]
     docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string")).write.parquet(str(tmp_path / "documents.parquet"))
     text = {r.doc_id: r.text for r in spark.read.parquet(str(tmp_path / "documents.parquet")).collect()}
-    got = {r.doc_id: r.names for r in QUERIES["capitalised_names_all"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.names for r in QUERIES["capitalised_names"](spark, str(tmp_path)).collect()}
     assert got == {d: names(t) for d, t in text.items()} and got[10**6] == "bolivar" and got[10**6 + 1] == "cusco"
-    got = {r.doc_id: r.slug for r in QUERIES["slugs_all"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.slug for r in QUERIES["slugs"](spark, str(tmp_path)).collect()}
     assert got == {d: slug(t) for d, t in text.items()} and got[10**6 + 2] == "titulo-de-nandu"
