@@ -189,9 +189,13 @@ def same_answer(a: Column, b: Column) -> Column:
     return F.lower(F.trim(a)) == F.lower(F.trim(b))
 
 
+#: What the messages of passing failures contain.
+TRANSIENT = r"(?i)503|unavailable|overloaded|429|resource_exhausted|rate limit|quota|timeout|timed out|connection|500|internal"
+
+
 def transient_error(message: Column) -> Column:
     """Whether a failed call is worth another try."""
-    return F.coalesce(message.rlike(r"(?i)503|unavailable|overloaded|429|resource_exhausted|rate limit|quota|timeout|timed out|connection|500|internal"), F.lit(False))
+    return F.coalesce(message.rlike(TRANSIENT), F.lit(False))
 
 
 def claims(paragraph: Column) -> Column:

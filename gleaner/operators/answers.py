@@ -68,6 +68,17 @@ def analyse(answers: DataFrame) -> DataFrame:
     return answers.select("aid", F.length("answer").alias("length"), F.round(share, 6).alias("cited_share"), F.size(F.filter(cited, lambda c: c > F.col("n"))).alias("unknown"), *flags)
 
 
+def quality(answers: DataFrame, key: str, flags: dict[str, Column] | None = None) -> DataFrame:
+    """answers (key, answer, n: pieces of evidence), of each key: answers, share with a citation, with unknown ones, mean share of
+    the evidence cited, mean and largest length, and how many answers have each flag."""
+    c = X.citations(F.col("answer"))
+    return answers.groupBy(key).agg(
+        F.count("*").alias("answers"), F.round(F.avg((F.size(c) > 0).cast("int")), 6).alias("cited"), F.count_if(F.exists(c, lambda i: i > F.col("n"))).alias("bad"),
+        F.round(F.coalesce(F.avg(F.when(F.col("n") > 0, F.size(c) / F.col("n"))), F.lit(0.0)), 6).alias("used"), F.round(F.avg(F.length("answer")), 6).alias("mean_length"),
+        F.max(F.length("answer")).cast("long").alias("longest"), *(F.count_if(f).alias(k) for k, f in (flags or {}).items()),
+    )
+
+
 def parse_answer(mode: Column, answer: Column) -> Column:
     """Quiz items for `practicar` and `evaluar`, cards for `repasar`, as JSON."""
     return F.when(mode.isin("practicar", "evaluar"), F.to_json(X.parse_quiz(answer))).when(mode == "repasar", F.to_json(X.parse_card(answer)))

@@ -164,6 +164,15 @@ def merge_progress(old: DataFrame, patch: DataFrame, key: str) -> DataFrame:
     return joined.select(key, *(F.coalesce(F.col(f"p.{c}"), F.col(f"o.{c}")).alias(c) for c in names))
 
 
+def profile(calls: DataFrame) -> DataFrame:
+    """calls (at, ix, ms, failed): the first call's time, interpolated percentiles, the largest, calls, failures, calls a second."""
+    p = F.percentile("ms", F.array(*map(F.lit, PERCENTILES)))
+    span = F.timestamp_diff("MICROSECOND", F.min("at"), F.max("at")) / F.lit(1e6)
+    out = calls.agg(F.min_by("ms", F.struct("at", "ix")).alias("cold"), p.alias("p"), F.max("ms").alias("largest"), F.count("*").alias("calls"), F.count_if("failed").alias("failures"), span.alias("span"))
+    each = [F.round(F.col("p")[i], 6).alias(f"p{int(q * 100)}") for i, q in enumerate(PERCENTILES)]
+    return out.select("cold", *each, "largest", "calls", "failures", F.round(F.col("calls") / F.greatest("span", F.lit(1e-9)), 9).alias("per_second"))
+
+
 def service_health(calls: DataFrame) -> DataFrame:
     """calls (failed): calls, failures, failure rate."""
     return calls.agg(F.count("*").alias("calls"), F.count_if("failed").alias("failures")).withColumn("rate", F.round(ratio(F.col("failures"), F.col("calls")), 6))

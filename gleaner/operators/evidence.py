@@ -221,7 +221,33 @@ def notices(missing: Column, decided: Column, dropped: Column, scanned: Column,
 
 
 def contract(question: Column, decided: Column, requirements: Column, evidence: Column) -> Column:
-    """The output contract as one struct."""
+    """The output contract as one struct. requirements: array of struct(rid, terms, mandatory, coverage, supported); evidence: array with `id`."""
+    ids = F.transform(evidence, lambda e: e["id"])
+    stated = F.transform(
+        requirements,
+        lambda r: F.struct(
+            r["rid"].alias("id"), F.array_join(r["terms"], " ").alias("proposition"), F.when(r["supported"], "SUPPORTED").otherwise("MISSING").alias("status"), r["mandatory"].alias("mandatory"),
+            r["coverage"].alias("coverage"), ids.alias("support_ids"),
+        ),
+    )
     unmet = F.transform(F.filter(requirements, lambda r: ~r["supported"]), lambda r: r["rid"])
     share = F.when(F.size(requirements) > 0, F.round(F.size(F.filter(requirements, lambda r: r["supported"])) / F.size(requirements), 3)).otherwise(0.0)
-    return F.struct(decided.alias("decision"), question.alias("question"), requirements.alias("requirements"), evidence.alias("evidence"), unmet.alias("unmet_requirements"), F.array().cast("array<string>").alias("contradictions"), share.alias("coverage"))
+    return F.struct(decided.alias("decision"), question.alias("question"), stated.alias("requirements"), evidence.alias("evidence"), unmet.alias("unmet_requirements"), F.array().cast("array<string>").alias("contradictions"), share.alias("coverage"))
+
+
+def invariants(plan: DataFrame, reqs: DataFrame, chosen: DataFrame, index: Index) -> DataFrame:
+    """chosen (qid, n, block_ix), best first: of each question whether it has one to four blocks, a named author among the
+    first three documents, a structural filter, two documents, two named authors."""
+    authors = index.authors.groupBy("doc_id").agg(F.collect_set("term").alias("names"))
+    named = reqs.filter("rid = 'r1'").select("qid", "entities")
+    rows = chosen.join(index.blocks.select("block_ix", "doc_id"), "block_ix").join(authors, "doc_id", "left").join(named, "qid")
+    met = F.array_intersect("entities", F.coalesce("names", F.expr("cast(array() as array<string>)")))
+    sums = rows.groupBy("qid").agg(
+        F.count("*").alias("blocks"), F.bool_or((F.col("n") <= 3) & (F.size(met) > 0)).alias("author"), F.countDistinct("doc_id").alias("documents"),
+        F.size(F.array_distinct(F.flatten(F.collect_list(met)))).alias("authors"),
+    )
+    no = F.lit(False)
+    return plan.select("qid", "filtered").join(sums, "qid", "left").select(
+        "qid", F.coalesce(F.col("blocks").between(1, 4), no).alias("few_blocks"), F.coalesce("author", no).alias("author_on_top"), "filtered",
+        F.coalesce(F.col("documents") >= 2, no).alias("two_documents"), F.coalesce(F.col("authors") >= 2, no).alias("two_authors"),
+    )

@@ -10,7 +10,7 @@ from gleaner.functions.wordlists import HANDS_OUT, TRACES
 from gleaner.operators import answers as A
 from gleaner.operators import evaluate as V
 from gleaner.plans.oracle import quoted, strip, tokens, unique, values, with_tables
-from gleaner.plans.registry import query, rows
+from gleaner.plans.registry import ORACLES, query, rows
 from gleaner.sources import corpus
 
 
@@ -181,6 +181,30 @@ def answer_summary(spark, d):
     return _answers(spark).agg(F.count("*").alias("answers"), F.count_if(F.size(c) > 0).alias("cited"), F.count_if(F.exists(c, lambda i: i > F.col("n"))).alias("bad"))
 
 
+_MODES = [(1, "practicar"), (2, "repasar"), (3, "evaluar"), (4, "repasar"), (5, "evaluar"), (6, "repasar"), (7, "repasar"), (8, "preguntar")]
+
+
+@query(f"WITH q AS ({ORACLES['quiz_parse']}), c AS ({ORACLES['card_parse']}) SELECT m.aid, CASE WHEN m.mode IN ('practicar', 'evaluar') THEN q.prompt WHEN m.mode = 'repasar' THEN c.question END AS question FROM {values(_MODES, 'aid, mode')} m LEFT JOIN q ON q.aid = m.aid LEFT JOIN c ON c.aid = m.aid")
+def parsed_by_mode(spark, d):
+    """Answers parsed as their mode asks."""
+    modes = rows(spark, _MODES, "aid int, mode string")
+    parsed = modes.join(_answers(spark), "aid").withColumn("parsed", A.parse_answer(F.col("mode"), F.col("answer")))
+    return parsed.select("aid", F.coalesce(F.get_json_object("parsed", "$.prompt"), F.get_json_object("parsed", "$.question")).alias("question"))
+
+
+@query("SELECT conv_id, count(*) AS answers, round(avg(CASE WHEN len(c) > 0 THEN 1 ELSE 0 END), 6) AS cited, count(*) FILTER (WHERE len(list_filter(c, lambda i: i > n)) > 0) AS bad, round(coalesce(avg(CASE WHEN n > 0 THEN len(c) / n END), 0), 6) AS used, round(avg(length(answer)), 6) AS mean_length, max(length(answer)) AS longest, count(*) FILTER (WHERE low LIKE '%?%') AS asks FROM (SELECT conv_id, turn AS n, text AS answer, lower(text) AS low, list_sort(list_distinct(list_transform(regexp_extract_all(text, '\\[(\\d+)\\]', 1), lambda x: CAST(x AS INTEGER)))) AS c FROM conversations) GROUP BY conv_id")
+def answer_quality(spark, d):
+    """Of each conversation's texts, taken as answers to as many pieces of evidence as their turn's number: the quality measures."""
+    said = corpus.table(spark, d, "conversations").select("conv_id", F.col("turn").alias("n"), F.col("text").alias("answer"))
+    return A.quality(said, "conv_id", {"asks": F.lower(F.col("answer")).contains("?")})
+
+
+@query("SELECT min_by(value, (ts, event_id)) AS cold, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS largest, count(*) AS calls, count(*) FILTER (WHERE event_type = 'error') AS failures, round(count(*) / greatest((epoch(max(ts)) - epoch(min(ts))), 1e-9), 9) AS per_second FROM events")
+def latency_profile(spark, d):
+    e = corpus.table(spark, d, "events").select(F.col("ts").alias("at"), F.col("event_id").alias("ix"), F.col("value").alias("ms"), (F.col("event_type") == "error").alias("failed"))
+    return V.profile(e)
+
+
 # each benchmark text as an answer that cites one of the blocks of the documents that hold it
 _HELD = "held AS MATERIALIZED (SELECT DISTINCT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), shown AS MATERIALIZED (SELECT item_id, body, row_number() OVER (PARTITION BY item_id ORDER BY block_ix) AS n FROM held JOIN blocks USING (doc_id))"
 

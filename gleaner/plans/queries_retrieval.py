@@ -13,6 +13,7 @@ from gleaner.operators import index as I
 from gleaner.operators import rank as R
 from gleaner.plans import compile as C
 from gleaner.plans import search as S
+from gleaner.plans import service as SV
 from gleaner.plans.oracle import has_phrase, quoted, tokens, unique, values, with_tables
 from gleaner.plans.registry import ORACLES, query, rows
 from gleaner.sources import corpus
@@ -477,6 +478,52 @@ def prompts(spark, d):
     return items.join(plan.select("qid", "question"), "qid").select("qid", F.md5(text).alias("prompt"))
 
 
+_CHOSEN = "chosen AS MATERIALIZED (SELECT qid, block_ix, row_number() OVER (PARTITION BY qid ORDER BY score DESC, block_ix) AS n FROM scores QUALIFY n <= 4)"
+
+
+@query(with_tables(_ALL, *_CHAIN, _CHOSEN, query="SELECT c.qid, c.n, b.block_id, replace(coalesce(nullif(d.title, ''), CAST(d.doc_id AS VARCHAR)), '_', ' ') AS document, d.author AS cited, 'p. ' || b.n AS place, string_split(b.source, '/')[-1] AS file, b.kind, b.authority, b.unit, b.week, b.tokens, md5(left(b.body, 600)) AS extract FROM chosen c JOIN blocks b USING (block_ix) JOIN docs d USING (doc_id)"))
+def response_packages(spark, d):
+    index, _, _, _, scores = _searched(spark, d)
+    chosen = R.top(scores, 4, "qid").select("qid", F.col("rank").alias("n"), "block_ix")
+    shown = SV.packages(chosen, index).withColumn("extract", F.md5("extract"))
+    return shown.select("qid", "n", "block_id", "document", "cited", "place", "file", "kind", "authority", "unit", "week", "tokens", "extract")
+
+
+@query(with_tables(_ALL + " n_blocks", *_CHAIN, _STATES, _COVER, _SUP, _BEST, query=f"""SELECT v.qid, 'PARTIAL' AS decision, v.coverage, v.unmet, v.stated, e.evidence, e.raw, coalesce(t.atoms, 0) AS atoms FROM
+ (SELECT s.qid, round(avg(CASE WHEN supported THEN 1 ELSE 0 END), 3) AS coverage, coalesce(string_agg(rid, ',' ORDER BY rid) FILTER (WHERE NOT supported), '') AS unmet, string_agg(rid || ':' || array_to_string(r.terms, ' '), ';' ORDER BY rid) AS stated FROM ver s JOIN reqs r USING (qid, rid) GROUP BY s.qid) v
+ JOIN (SELECT qid, string_agg('ev_' || r || ':' || doc_id || ':' || block_id, ',' ORDER BY r) AS evidence, md5(string_agg(left(body, 400), '' ORDER BY r)) AS raw FROM (SELECT qid, block_ix, row_number() OVER (PARTITION BY qid ORDER BY score DESC, block_ix) AS r FROM scores QUALIFY r <= 3) JOIN blocks USING (block_ix) GROUP BY qid) e USING (qid)
+ LEFT JOIN (SELECT qid, count(*) AS atoms FROM (SELECT p.qid, row_number() OVER (PARTITION BY p.qid, block_ix ORDER BY position) AS r FROM parts p JOIN asked a USING (qid) WHERE len(list_filter(list_distinct({tokens('s')}), lambda t: list_contains(a.wanted, t))) > 0) WHERE r <= 3 GROUP BY qid) t USING (qid)"""))
+def output_contracts(spark, d):
+    """The contract of each question's three best blocks, taken apart."""
+    index, plan, reqs, _, scores = _searched(spark, d)
+    chosen = R.top(scores, 3, "qid").select("qid", F.col("rank").alias("n"), "block_ix")
+    verified = E.coverage(_states(scores).filter("sid = 3"), reqs, index)
+    decided = plan.join(scores.select("qid").distinct(), "qid").select("qid", "question", F.lit("PARTIAL").alias("decision"))
+    c = SV.contracts(decided, verified, reqs, chosen, index).select("qid", "contract.*")
+    join = lambda column, f, by: F.array_join(F.transform(column, f), by)
+    return c.select(
+        "qid", "decision", "coverage", F.array_join("unmet_requirements", ",").alias("unmet"), join("requirements", lambda r: F.concat(r["id"], F.lit(":"), r["proposition"]), ";").alias("stated"),
+        join("evidence", lambda e: F.concat(e["id"], F.lit(":"), e["document_id"].cast("string"), F.lit(":"), e["block_id"]), ",").alias("evidence"), F.md5(join("evidence", lambda e: e["raw_text"], "")).alias("raw"),
+        F.aggregate("evidence", F.lit(0), lambda n, e: n + F.size(e["atoms"])).cast("long").alias("atoms"),
+    )
+
+
+@query(with_tables(_ALL, *_CHAIN, _CHOSEN, query="""SELECT p.qid, coalesce(n BETWEEN 1 AND 4, FALSE) AS few_blocks, coalesce(author, FALSE) AS author_on_top, p.filtered, coalesce(docs >= 2, FALSE) AS two_documents, coalesce(authors >= 2, FALSE) AS two_authors FROM plans p LEFT JOIN
+ (SELECT c.qid, count(DISTINCT c.n) AS n, bool_or(c.n <= 3 AND m.term IS NOT NULL) AS author, count(DISTINCT b.doc_id) AS docs, count(DISTINCT m.term) AS authors FROM chosen c JOIN blocks b USING (block_ix) LEFT JOIN (SELECT DISTINCT e.qid, a.doc_id, a.term FROM named e JOIN author_terms a USING (term) WHERE e.rid = 'r1') m ON m.qid = c.qid AND m.doc_id = b.doc_id GROUP BY c.qid) s USING (qid)"""))
+def structural_invariants(spark, d):
+    index, plan, reqs, _, scores = _searched(spark, d)
+    return E.invariants(plan, reqs, R.top(scores, 4, "qid").select("qid", F.col("rank").alias("n"), "block_ix"), index)
+
+
+@query(with_tables(_ALL + " n_blocks", *_BANK, _GOLD, query="SELECT kind AS family, actual, count(*) AS questions, count(*) FILTER (WHERE actual = (reason IS NULL)) AS correct FROM (SELECT g.reason, p.kind, g.qid IN (SELECT qid FROM gold) AS actual FROM gated g JOIN plans p USING (qid)) GROUP BY ALL"))
+def gate_by_family(spark, d):
+    """How often the gate is right, by the questions' type, for those that the corpus holds and those it doesn't."""
+    index, plan, reqs = _compiled(spark, d, bank_questions)
+    inside = _gold(spark, d).select("qid").distinct().withColumn("actual", F.lit(True))
+    said = C.gate(plan, reqs, index).join(plan.select("qid", "kind"), "qid").join(inside, "qid", "left").withColumn("actual", F.coalesce("actual", F.lit(False)))
+    return said.groupBy(F.col("kind").alias("family"), "actual").agg(F.count("*").alias("questions"), F.count_if(F.col("actual") == ~F.col("out_of_scope")).alias("correct"))
+
+
 @query()
 def retrieve(spark, d):
     """End to end; tests hold it against a brute-force search."""

@@ -75,11 +75,25 @@ def search(plan: DataFrame, reqs: DataFrame, index: Index, rounds: int = ROUNDS,
     return Found(staged(proof), union, front)
 
 
+@dataclass
+class Retrieved:
+    """rows: retrieve()'s; plan, reqs: of all questions; verified: coverage of the proofs of those that were searched."""
+
+    rows: DataFrame
+    plan: DataFrame
+    reqs: DataFrame
+    verified: DataFrame
+
+
 def retrieve(questions: DataFrame, index: Index, vectors: rank.Vectors | None = None) -> DataFrame:
     """questions (qid, question): decision, coverage, blocks (packed, best first), tokens, dropped, missing requirements, reason.
 
     vectors: rank and gate questions that have one by it; TF-IDF and the lexical gate serve the others.
     """
+    return retrieved(questions, index, vectors).rows
+
+
+def retrieved(questions: DataFrame, index: Index, vectors: rank.Vectors | None = None) -> Retrieved:
     plan = staged(C.plans(questions, index))
     reqs = staged(C.requirements(plan, index))
     gated = staged(C.gate(plan, reqs, index, rank.similarity(vectors, index) if vectors else None))
@@ -98,10 +112,11 @@ def retrieve(questions: DataFrame, index: Index, vectors: rank.Vectors | None =
     missing = verified.filter("NOT supported").groupBy("qid").agg(F.array_sort(F.collect_list("rid")).alias("missing"))
     none = F.expr("cast(array() as array<string>)")
     rows = plan.select("qid", "question", "kind").join(gated.select("qid", "reason"), "qid").join(packed, "qid", "left").join(said, "qid", "left").join(missing, "qid", "left")
-    return rows.select(
+    rows = rows.select(
         "qid", "question", "kind", "reason", F.coalesce("decision", F.lit("INSUFFICIENT")).alias("decision"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"),
         F.coalesce("blocks", F.expr("cast(array() as array<bigint>)")).alias("blocks"), F.coalesce("tokens", F.lit(0).cast("long")).alias("tokens"), F.coalesce("dropped", F.lit(0)).alias("dropped"), F.coalesce("missing", none).alias("missing"),
     )
+    return Retrieved(rows, plan, reqs, verified)
 
 
 def retrieve_from(spark, folder: str, questions: DataFrame, vectors: rank.Vectors | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ Tables stand in for a course's files: a document is a row of `documents`, its se
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as X
@@ -106,21 +106,24 @@ def fingerprint(content: Column) -> Column:
 
 
 def extract_units(files: DataFrame, extract) -> DataFrame:
-    """Pages, slides or paragraphs of files: extract(ext, content) gives (number, text, pictures) for each; parsers plug in here."""
+    """Pages, slides or paragraphs of files: extract(ext, content) gives (number, text, pictures, tables, notes) for each; parsers plug in here.
+
+    A parser that knows no tables or notes may leave these out.
+    """
 
     def run(batches):
         import pandas as pd
 
         for frame in batches:
-            out = [(r.path, int(n), text, int(pictures)) for r in frame.itertuples() for n, text, pictures in extract(r.ext, r.content)]
-            yield pd.DataFrame(out, columns=["path", "n", "text", "pictures"])
+            out = [(r.path, int(n), text, int(pictures), *(tuple(rest) or (0, None))) for r in frame.itertuples() for n, text, pictures, *rest in extract(r.ext, r.content)]
+            yield pd.DataFrame(out, columns=["path", "n", "text", "pictures", "tables", "notes"])
 
-    units_ = files.select("path", "ext", "content").mapInPandas(run, "path string, n int, text string, pictures int")
-    return units_.withColumn("text", X.tidy(F.col("text")))
+    units_ = files.select("path", "ext", "content").mapInPandas(run, "path string, n int, text string, pictures int, tables int, notes string")
+    return units_.withColumns({"text": X.tidy(F.col("text")), "notes": X.tidy(F.col("notes"))})
 
 
-def office_text(ext: str, content: bytes) -> list[tuple[int, str, int]]:
-    """Paragraphs and table rows of .docx files and slides of .pptx files, by the standard library alone."""
+def office_text(ext: str, content: bytes) -> list[tuple[int, str, int, int, str | None]]:
+    """Paragraphs and table rows of .docx files and slides of .pptx files, with pictures, tables and speaker notes, by the standard library alone."""
     import io
     import re
     import xml.etree.ElementTree as ET
@@ -133,13 +136,22 @@ def office_text(ext: str, content: bytes) -> list[tuple[int, str, int]]:
     def said(node) -> str:
         return "".join(t.text or "" for t in node.iter(f"{{{space}}}t"))
 
+    def notes(z, number: int) -> str | None:
+        """What the slide's relations name as its notes; without relations there are none."""
+        name = f"ppt/slides/_rels/slide{number}.xml.rels"
+        targets = [r.get("Target", "") for r in ET.fromstring(z.read(name)).iter()] if name in z.namelist() else []
+        for t in targets:
+            if "notesSlide" in t and (page := "ppt/" + t.removeprefix("../").removeprefix("/ppt/")) in z.namelist():
+                return "\n".join(x for p in ET.fromstring(z.read(page)).iter(f"{{{space}}}p") if (x := said(p)).strip()) or None
+        return None
+
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         if ext == "docx":
             body = ET.fromstring(z.read("word/document.xml"))
             inside = {p for row in body.iter(f"{{{space}}}tr") for p in row.iter(f"{{{space}}}p")}
             lines = [said(p) for p in body.iter(f"{{{space}}}p") if p not in inside]
             lines += [" | ".join(said(c).strip() for c in row.iter(f"{{{space}}}tc")) for row in body.iter(f"{{{space}}}tr")]
-            return [(1, "\n".join(x for x in lines if x.strip()), 0)]
+            return [(1, "\n".join(x for x in lines if x.strip()), 0, sum(1 for _ in body.iter(f"{{{space}}}tbl")), None)]
         names = sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
         out = []
         for number, name in names:
@@ -148,7 +160,7 @@ def office_text(ext: str, content: bytes) -> list[tuple[int, str, int]]:
             inside = {p for row in rows for p in row.iter(f"{{{space}}}p")}
             lines = [said(p) for p in slide.iter(f"{{{space}}}p") if p not in inside]
             lines += [" | ".join(said(c).strip() for c in row.iter(f"{{{space}}}tc")) for row in rows]
-            out.append((number, "\n".join(x for x in lines if x.strip()), sum(1 for n in slide.iter() if n.tag.endswith("}pic"))))
+            out.append((number, "\n".join(x for x in lines if x.strip()), sum(1 for n in slide.iter() if n.tag.endswith("}pic")), sum(1 for _ in slide.iter(f"{{{space}}}tbl")), notes(z, number)))
         return out
 
 
@@ -212,7 +224,3 @@ def embed_missing(rows: DataFrame, stored: DataFrame | None, embed, provider: st
 def keep_labels(candidates: DataFrame, before: DataFrame) -> DataFrame:
     """Candidates (question, block_id) with the labels given before, else `pendiente`."""
     return candidates.join(before.select("question", "block_id", "gold"), ["question", "block_id"], "left").withColumn("gold", F.coalesce("gold", F.lit("pendiente")))
-
-
-def number_lines(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(*order)))

@@ -56,3 +56,17 @@ def test_vectors_resume_by_provider(spark, tmp_path):
     rows = spark.createDataFrame([("a", "x"), ("b", "yy")], "id string, text string")
     new = corpus.embed_missing(rows, spark.read.parquet(path), lambda texts: [[len(t), 0.0] for t in texts], "p").collect()
     assert [(r.id, r.vector) for r in new] == [("b", [2.0, 0.0])]
+
+
+def test_slides_with_notes_tables_and_pictures(spark):
+    rels = '<Relationships><Relationship Target="../slideLayouts/slideLayout1.xml"/><Relationship Target="../notesSlides/notesSlide4.xml"/></Relationships>'
+    table = "<a:tbl><a:tr><a:tc><a:p><a:t>x</a:t></a:p></a:tc><a:tc><a:p><a:t>y</a:t></a:p></a:tc></a:tr></a:tbl>"
+    deck = office({
+        "ppt/slides/slide1.xml": f'<s xmlns:a="{A}" xmlns:p="urn:p"><a:p><a:t>Uno</a:t></a:p>{table}<p:pic/></s>', "ppt/slides/slide2.xml": f'<s xmlns:a="{A}"><a:p><a:t>Dos</a:t></a:p></s>',
+        "ppt/slides/_rels/slide1.xml.rels": rels, "ppt/notesSlides/notesSlide4.xml": f'<s xmlns:a="{A}"><a:p><a:t>decir </a:t><a:t>esto</a:t></a:p><a:p><a:t>y esto</a:t></a:p></s>',
+    })
+    assert corpus.office_text("pptx", deck) == [(1, "Uno\nx | y", 1, 1, "decir esto\ny esto"), (2, "Dos", 0, 0, None)]
+    files = spark.createDataFrame([("d.pptx", "pptx", bytearray(deck))], "path string, ext string, content binary")
+    assert [(r.n, r.tables, r.notes) for r in corpus.extract_units(files, corpus.office_text).orderBy("n").collect()] == [(1, 1, "decir esto\ny esto"), (2, 0, None)]
+    plain = corpus.extract_units(files, lambda ext, content: [(1, "t", 2)]).first()
+    assert (plain.pictures, plain.tables, plain.notes) == (2, 0, None)
