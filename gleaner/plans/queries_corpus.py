@@ -132,12 +132,15 @@ _SCANS = [
     (3, "sólo una línea   con    espacios"),
     (4, ""),
 ]
+_SQL_SCANS = f"(SELECT id, body FROM {values(_SCANS, 'id, body')} UNION ALL SELECT 100 + doc_id, text FROM documents)"
 _RATIO = f"coalesce(list_sum(list_transform(regexp_extract_all({strip('l')}, '{_LETTERS}'), lambda w: length(w))), 0)"
 
 
-@query(f"SELECT id, {strip('''regexp_replace(regexp_replace(array_to_string(list_filter(string_split(regexp_replace(body, '(?im)^.*(escaneado con camscanner|scanned with camscanner|camscanner).*$', '', 'g'), chr(10)), lambda l: NOT (length(STRIP) > 20 AND RATIO < 0.5 * length(STRIP))), chr(10)), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')'''.replace('RATIO', _RATIO).replace('STRIP', strip('l')))} AS cleaned FROM {values(_SCANS, 'id, body')}")
+@query(f"SELECT id, {strip('''regexp_replace(regexp_replace(array_to_string(list_filter(string_split(regexp_replace(body, '(?im)^.*(escaneado con camscanner|scanned with camscanner|camscanner).*$', '', 'g'), chr(10)), lambda l: NOT (length(STRIP) > 20 AND RATIO < 0.5 * length(STRIP))), chr(10)), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')'''.replace('RATIO', _RATIO).replace('STRIP', strip('l')))} AS cleaned FROM {_SQL_SCANS}")
 def clean_scans(spark, d):
-    return rows(spark, _SCANS, "id int, body string").select("id", X.clean_scan(F.col("body")).alias("cleaned"))
+    """Pages by hand, and the documents as scanned ones."""
+    docs = corpus.table(spark, d, "documents").select((100 + F.col("doc_id")).alias("id"), F.col("text").alias("body"))
+    return rows(spark, _SCANS, "id long, body string").unionByName(docs).select("id", X.clean_scan(F.col("body")).alias("cleaned"))
 
 
 _PATHS = [
@@ -145,22 +148,32 @@ _PATHS = [
     (4, "Cronograma_HCP_2026_1_A.pdf"), (5, "Unidad 2/HCP_guion_12.docx"), (6, "Unidad 1/Semana 2/Contreras_sf_Concepto.pdf"), (7, "Unidad 1/moneda-190-07.pdf"),
     (8, "Unidad 2/Semana 14/Aldana_Pereyra_2022_Regiones vivas.pdf"), (9, "Lectura 1850 antigua.pdf"), (10, "Unidad 1/Semana 3/Contreras_2020_Crisis_demografica.docx"),
 ]
+_SQL_PATHS = f"(SELECT id, path FROM {values(_PATHS, 'id, path')} UNION ALL SELECT 100 + page_id, regexp_replace(url, '[?#].*$', '') || CASE page_id % 3 WHEN 0 THEN '_2020_x.pdf' WHEN 1 THEN '.pptx' ELSE '_1999.docx' END FROM pages)"
+
+
+def _paths(spark, d):
+    """Paths by hand, and the pages' addresses as those of files."""
+    ending = F.when(F.col("page_id") % 3 == 0, "_2020_x.pdf").when(F.col("page_id") % 3 == 1, ".pptx").otherwise("_1999.docx")
+    pages = corpus.table(spark, d, "pages").select((100 + F.col("page_id")).alias("id"), F.concat(F.regexp_replace("url", "[?#].*$", ""), ending).alias("path"))
+    return rows(spark, _PATHS, "id long, path string").unionByName(pages)
+
+
 _STEM = "regexp_extract(path, '([^/]+)\\.[^./]+$', 1)"
 _KIND = f"CASE WHEN contains(path, 'Trabajos calificados') THEN 'evaluacion' WHEN starts_with({_STEM}, 'Clase') OR contains({_STEM}, 'Clase_') THEN 'clase' WHEN {_STEM} = 'Cronograma_HCP_2026_1_A' OR contains({_STEM}, '122005') THEN 'rector' WHEN starts_with({_STEM}, 'HCP_') THEN 'guion' ELSE 'lectura' END"
 
 
-@query(f"SELECT id, kind, CASE kind WHEN 'evaluacion' THEN 'oficial' WHEN 'clase' THEN 'docente' WHEN 'rector' THEN 'oficial' WHEN 'guion' THEN 'oficial' ELSE 'academica' END AS authority, TRY_CAST(nullif(regexp_extract(path, '(?:^|/)Unidad (\\d)', 1), '') AS INTEGER) AS unit, TRY_CAST(nullif(regexp_extract(path, '(?:^|/)Semana (\\d+)', 1), '') AS INTEGER) AS week, CASE WHEN kind = 'lectura' THEN array_to_string(list_filter(string_split(replace(regexp_extract(stem || '_0000', '^(.*?)(?:_\\d{{4}}|_sf_)', 1), '_', ' '), ' '), lambda a: length(a) > 2)[1:3], '|') ELSE '' END AS authors, CASE WHEN stem = 'moneda-190-07' THEN 2020 WHEN contains(stem, '_sf_') THEN NULL WHEN y > 1900 AND y < 2030 THEN y END AS year FROM (SELECT *, {_STEM} AS stem, {_KIND} AS kind, TRY_CAST(coalesce(nullif(regexp_extract({_STEM} || '_', '_(\\d{{4}})_', 1), ''), nullif(regexp_extract({_STEM}, '(\\d{{4}})', 1), '')) AS INTEGER) AS y FROM {values(_PATHS, 'id, path')})")
+@query(f"SELECT id, kind, CASE kind WHEN 'evaluacion' THEN 'oficial' WHEN 'clase' THEN 'docente' WHEN 'rector' THEN 'oficial' WHEN 'guion' THEN 'oficial' ELSE 'academica' END AS authority, TRY_CAST(nullif(regexp_extract(path, '(?:^|/)Unidad (\\d)', 1), '') AS INTEGER) AS unit, TRY_CAST(nullif(regexp_extract(path, '(?:^|/)Semana (\\d+)', 1), '') AS INTEGER) AS week, CASE WHEN kind = 'lectura' THEN array_to_string(list_filter(string_split(replace(regexp_extract(stem || '_0000', '^(.*?)(?:_\\d{{4}}|_sf_)', 1), '_', ' '), ' '), lambda a: length(a) > 2)[1:3], '|') ELSE '' END AS authors, CASE WHEN stem = 'moneda-190-07' THEN 2020 WHEN contains(stem, '_sf_') THEN NULL WHEN y > 1900 AND y < 2030 THEN y END AS year FROM (SELECT *, {_STEM} AS stem, {_KIND} AS kind, TRY_CAST(coalesce(nullif(regexp_extract({_STEM} || '_', '_(\\d{{4}})_', 1), ''), nullif(regexp_extract({_STEM}, '(\\d{{4}})', 1), '')) AS INTEGER) AS y FROM {_SQL_PATHS})")
 def classify_paths(spark, d):
-    p = rows(spark, _PATHS, "id int, path string")
+    p = _paths(spark, d)
     stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
     c = classify_path(F.col("path"), stem)
     out = p.select("id", stem.alias("stem"), *(v.alias(k) for k, v in c.items()))
     return out.select("id", "kind", "authority", "unit", "week", F.array_join(file_authors(F.col("stem"), F.col("kind")), "|").alias("authors"), file_year(F.col("stem"), {"moneda-190-07": 2020}).alias("year"))
 
 
-@query(f"SELECT stem, CASE WHEN list_contains(e, 'pdf') THEN 'pdf' WHEN list_contains(e, 'pptx') THEN 'pptx' ELSE list_min(e) END AS kept, array_to_string(list_sort(list_filter(e, lambda x: x <> CASE WHEN list_contains(e, 'pdf') THEN 'pdf' WHEN list_contains(e, 'pptx') THEN 'pptx' ELSE list_min(e) END)), '|') AS dropped FROM (SELECT {_STEM} AS stem, list(DISTINCT lower(regexp_extract(path, '\\.([^./]+)$', 1))) AS e FROM {values(_PATHS, 'id, path')} GROUP BY 1)")
+@query(f"SELECT stem, CASE WHEN list_contains(e, 'pdf') THEN 'pdf' WHEN list_contains(e, 'pptx') THEN 'pptx' ELSE list_min(e) END AS kept, array_to_string(list_sort(list_filter(e, lambda x: x <> CASE WHEN list_contains(e, 'pdf') THEN 'pdf' WHEN list_contains(e, 'pptx') THEN 'pptx' ELSE list_min(e) END)), '|') AS dropped FROM (SELECT {_STEM} AS stem, list(DISTINCT lower(regexp_extract(path, '\\.([^./]+)$', 1))) AS e FROM {_SQL_PATHS} GROUP BY 1)")
 def canonical_formats(spark, d):
-    p = rows(spark, _PATHS, "id int, path string").select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("ext"))
+    p = _paths(spark, d).select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("ext"))
     return canonical_format(p).select("stem", "kept", F.array_join("dropped", "|").alias("dropped"))
 
 

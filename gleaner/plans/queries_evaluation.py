@@ -113,11 +113,13 @@ _ANSWERS = [
     (7, 1, "Primera línea como pregunta\nResto como respuesta [1]"),
     (8, 1, "PREGUNTA: incompleta\nOPCION_A: sólo una"),
 ]
-_SQL_ANSWERS = values(_ANSWERS, "aid, n, answer")
+# answers by hand, and the texts of conversations as answers to as many pieces of evidence as their turn's number
+_SQL_ANSWERS = f"(SELECT aid, n, answer FROM {values(_ANSWERS, 'aid, n, answer')} UNION ALL SELECT 100 + conv_id * 100 + turn, turn, text FROM conversations)"
 
 
-def _answers(spark):
-    return rows(spark, _ANSWERS, "aid int, n int, answer string")
+def _answers(spark, d):
+    said = corpus.table(spark, d, "conversations").select((100 + F.col("conv_id") * 100 + F.col("turn")).alias("aid"), F.col("turn").cast("int").alias("n"), F.col("text").alias("answer"))
+    return rows(spark, _ANSWERS, "aid long, n int, answer string").unionByName(said)
 
 
 def _claim(p: str) -> str:
@@ -134,7 +136,7 @@ _CITED = "list_sort(list_distinct(list_transform(regexp_extract_all(answer, '\\[
 
 @query(f"SELECT aid, array_to_string(c, ',') AS cited, array_to_string(list_filter(range(1, n + 1), lambda i: NOT list_contains(c, i)), ',') AS unused, array_to_string(list_filter(c, lambda i: i < 1 OR i > n), ',') AS unknown, len(list_filter(string_split(answer, chr(10)), lambda p: {_claim('p')})) AS bare_claims FROM (SELECT *, {_CITED} AS c FROM {_SQL_ANSWERS})")
 def citation_check(spark, d):
-    out = A.check_citations(_answers(spark))
+    out = A.check_citations(_answers(spark, d))
     return out.select("aid", *(F.array_join(c, ",").alias(c) for c in ("cited", "unused", "unknown")), F.col("bare_claims").cast("long").alias("bare_claims"))
 
 
@@ -148,7 +150,7 @@ _CITES = "array_to_string(list_sort(list_distinct(list_transform(regexp_extract_
 
 @query(f"SELECT aid, prompt, a || '|' || b || '|' || c || '|' || d AS options, CASE r WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d END AS correct, e AS explanation, {_CITES.format(e='e')} AS evidence FROM (SELECT aid, {_line('PREGUNTA')} AS prompt, {_line('OPCION_A')} AS a, {_line('OPCION_B')} AS b, {_line('OPCION_C')} AS c, {_line('OPCION_D')} AS d, upper(regexp_extract(answer, '(?i)RESPUESTA_CORRECTA:\\s*([A-D])', 1)) AS r, {_EXPL} AS e FROM {_SQL_ANSWERS}) WHERE prompt IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND d IS NOT NULL AND r <> '' AND e <> ''")
 def quiz_parse(spark, d):
-    q = _answers(spark).select("aid", X.parse_quiz(F.col("answer")).alias("q")).filter("q IS NOT NULL")
+    q = _answers(spark, d).select("aid", X.parse_quiz(F.col("answer")).alias("q")).filter("q IS NOT NULL")
     return q.select("aid", "q.prompt", F.array_join("q.options", "|").alias("options"), "q.correct", "q.explanation", F.array_join("q.evidence", ",").alias("evidence"))
 
 
@@ -158,7 +160,7 @@ _HEAD, _REST = strip(f"string_split({strip('answer')}, chr(10))[1]"), strip(f"co
 
 @query(f"SELECT aid, q AS question, a AS answer, {_CITES.format(e='a')} AS evidence FROM (SELECT aid, CASE WHEN {_TP} <> '' AND {_TR} <> '' THEN {_TP} ELSE {_HEAD} END AS q, CASE WHEN {_TP} <> '' AND {_TR} <> '' THEN {_TR} ELSE {_REST} END AS a FROM {_SQL_ANSWERS} WHERE length({strip('answer')}) > 0)")
 def card_parse(spark, d):
-    c = _answers(spark).select("aid", X.parse_card(F.col("answer")).alias("c")).filter("c IS NOT NULL")
+    c = _answers(spark, d).select("aid", X.parse_card(F.col("answer")).alias("c")).filter("c IS NOT NULL")
     return c.select("aid", "c.question", "c.answer", F.array_join("c.evidence", ",").alias("evidence"))
 
 
@@ -171,14 +173,14 @@ _TAIL = f"array_to_string(list_slice(ls, greatest(1, len(ls) - 2), len(ls)), ' '
 
 @query(f"SELECT aid, length(answer) AS length, round(CASE WHEN n > 0 THEN len(c) / n ELSE 0 END, 6) AS cited_share, len(list_filter(c, lambda i: i > n)) AS unknown, {', '.join(f'{_any(chr(108) + chr(111) + chr(119), v)} AS {k}' for k, v in TRACES.items())}, ends_with({_TAIL}, '?') AS cierre_abre, {_any('low', HANDS_OUT)} AS entrega_indebida FROM (SELECT *, {_CITED} AS c, lower(answer) AS low, list_filter(list_transform(string_split(answer, chr(10)), lambda x: {strip('x')}), lambda x: length(x) > 0) AS ls FROM {_SQL_ANSWERS})")
 def answer_analysis(spark, d):
-    out = A.analyse(_answers(spark))
+    out = A.analyse(_answers(spark, d))
     return out.withColumns({c: F.col(c).cast("long") for c in ("length", "unknown")})
 
 
 @query(f"SELECT count(*) AS answers, count(*) FILTER (WHERE len(c) > 0) AS cited, count(*) FILTER (WHERE len(list_filter(c, lambda i: i > n)) > 0) AS bad FROM (SELECT *, {_CITED} AS c FROM {_SQL_ANSWERS})")
 def answer_summary(spark, d):
     c = X.citations(F.col("answer"))
-    return _answers(spark).agg(F.count("*").alias("answers"), F.count_if(F.size(c) > 0).alias("cited"), F.count_if(F.exists(c, lambda i: i > F.col("n"))).alias("bad"))
+    return _answers(spark, d).agg(F.count("*").alias("answers"), F.count_if(F.size(c) > 0).alias("cited"), F.count_if(F.exists(c, lambda i: i > F.col("n"))).alias("bad"))
 
 
 _MODES = [(1, "practicar"), (2, "repasar"), (3, "evaluar"), (4, "repasar"), (5, "evaluar"), (6, "repasar"), (7, "repasar"), (8, "preguntar")]
@@ -187,8 +189,8 @@ _MODES = [(1, "practicar"), (2, "repasar"), (3, "evaluar"), (4, "repasar"), (5,
 @query(f"WITH q AS ({ORACLES['quiz_parse']}), c AS ({ORACLES['card_parse']}) SELECT m.aid, CASE WHEN m.mode IN ('practicar', 'evaluar') THEN q.prompt WHEN m.mode = 'repasar' THEN c.question END AS question FROM {values(_MODES, 'aid, mode')} m LEFT JOIN q ON q.aid = m.aid LEFT JOIN c ON c.aid = m.aid")
 def parsed_by_mode(spark, d):
     """Answers parsed as their mode asks."""
-    modes = rows(spark, _MODES, "aid int, mode string")
-    parsed = modes.join(_answers(spark), "aid").withColumn("parsed", A.parse_answer(F.col("mode"), F.col("answer")))
+    modes = rows(spark, _MODES, "aid long, mode string")
+    parsed = modes.join(_answers(spark, d), "aid").withColumn("parsed", A.parse_answer(F.col("mode"), F.col("answer")))
     return parsed.select("aid", F.coalesce(F.get_json_object("parsed", "$.prompt"), F.get_json_object("parsed", "$.question")).alias("question"))
 
 
@@ -220,13 +222,16 @@ def grounding_overlap(spark, d):
     return A.grounding(said, evidence)
 
 
-_REQUESTS = [(1, " ¿Qué es? ", "debate"), (2, "   ", "resumen"), (3, "Compara", "otro"), (4, "x", None)]
+_REQUESTS = [(-1, " ¿Qué es? ", "debate"), (-2, "   ", "resumen"), (-3, "Compara", "otro"), (-4, "x", None)]
+_SQL_REQUESTS = f"(SELECT id, q, mode FROM {values(_REQUESTS, 'id, q, mode')} UNION ALL SELECT item_id, text, CASE item_id % 3 WHEN 0 THEN 'repasar' WHEN 1 THEN 'summary' END FROM benchmark)"
 
 
-@query(f"SELECT id, CASE WHEN length({strip('q')}) > 0 THEN {strip('q')} END AS question, CASE WHEN mode IN ('preguntar', 'resumen', 'explicacion', 'debate', 'resolver', 'practicar', 'evaluar', 'repasar') THEN mode ELSE 'preguntar' END AS mode FROM {values(_REQUESTS, 'id, q, mode')}")
+@query(f"SELECT id, CASE WHEN length({strip('q')}) > 0 THEN {strip('q')} END AS question, CASE WHEN mode IN ('preguntar', 'resumen', 'explicacion', 'debate', 'resolver', 'practicar', 'evaluar', 'repasar') THEN mode ELSE 'preguntar' END AS mode FROM {_SQL_REQUESTS}")
 def request_validation(spark, d):
     q, m = A.valid_request(F.col("q"), F.col("mode"))
-    return rows(spark, _REQUESTS, "id int, q string, mode string").select("id", q.alias("question"), m.alias("mode"))
+    mode = F.when(F.col("item_id") % 3 == 0, "repasar").when(F.col("item_id") % 3 == 1, "summary")
+    bank = corpus.table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("id"), F.col("text").alias("q"), mode.alias("mode"))
+    return rows(spark, _REQUESTS, "id long, q string, mode string").unionByName(bank).select("id", q.alias("question"), m.alias("mode"))
 
 
 _PLACES = [(1, 3, None, "Cita", "T", "d1"), (2, None, 7, "", "T", "d2"), (3, None, None, None, "", "d3")]
@@ -238,20 +243,27 @@ def location_labels(spark, d):
     return p.select("id", A.location(F.col("page"), F.col("slide")).alias("place"), A.citation_label(F.col("cite"), F.col("title"), F.col("doc")).alias("label"))
 
 
-_ERRORS = [(1, "HTTP 429 quota exceeded"), (2, "invalid key"), (3, "connection reset"), (4, "Request too large"), (5, None)]
+_ERRORS = [(-1, "HTTP 429 quota exceeded"), (-2, "invalid key"), (-3, "connection reset"), (-4, "Request too large"), (-5, None)]
+_SQL_ERRORS = f"(SELECT id, message FROM {values(_ERRORS, 'id, message')} UNION ALL SELECT page_id, 'GET ' || url || ' ' || html FROM pages)"
 
 
-@query(f"SELECT id, coalesce(regexp_matches(message, '(?i)503|unavailable|overloaded|429|resource_exhausted|rate limit|quota|timeout|timed out|connection|500|internal'), FALSE) AS transient, CASE WHEN message IS NULL THEN NULL WHEN regexp_matches(message, '(?i)RESOURCE_EXHAUSTED|429|quota|413|rate_limit_exceeded|tokens per minute|too large') THEN 'quota' ELSE 'generic' END AS said FROM {values(_ERRORS, 'id, message')}")
+@query(f"SELECT id, coalesce(regexp_matches(message, '(?i)503|unavailable|overloaded|429|resource_exhausted|rate limit|quota|timeout|timed out|connection|500|internal'), FALSE) AS transient, CASE WHEN message IS NULL THEN NULL WHEN regexp_matches(message, '(?i)RESOURCE_EXHAUSTED|429|quota|413|rate_limit_exceeded|tokens per minute|too large') THEN 'quota' ELSE 'generic' END AS said FROM {_SQL_ERRORS}")
 def error_classes(spark, d):
-    return rows(spark, _ERRORS, "id int, message string").select("id", X.transient_error(F.col("message")).alias("transient"), X.friendly_error(F.col("message")).alias("said"))
+    """Messages by hand, and pages as the bodies of failed calls."""
+    pages = corpus.table(spark, d, "pages").select(F.col("page_id").alias("id"), F.concat(F.lit("GET "), "url", F.lit(" "), "html").alias("message"))
+    every = rows(spark, _ERRORS, "id long, message string").unionByName(pages)
+    return every.select("id", X.transient_error(F.col("message")).alias("transient"), X.friendly_error(F.col("message")).alias("said"))
 
 
-_CITES_IN = [(1, "Contreras, C. (2020). La crisis."), (2, "Sin año"), (3, "Amat y León, C., (2012). Somos")]
+_CITES_IN = [(-1, "Contreras, C. (2020). La crisis."), (-2, "Sin año"), (-3, "Amat y León, C., (2012). Somos")]
+_SQL_CITES = f"(SELECT id, cite FROM {values(_CITES_IN, 'id, cite')} UNION ALL SELECT doc_id, source || ', X. (' || (1900 + doc_id % 200) || '). ' || string_split(text, chr(10))[1] FROM documents)"
 
 
-@query(f"SELECT id, CASE WHEN regexp_matches(cite, '^[^(]+\\(\\d{{4}}') THEN regexp_replace(trim(regexp_extract(cite, '^([^(]+)\\(\\d{{4}}', 1)), ',\\s*$', '') END AS authors FROM {values(_CITES_IN, 'id, cite')}")
+@query(f"SELECT id, CASE WHEN regexp_matches(cite, '^[^(]+\\(\\d{{4}}') THEN regexp_replace(trim(regexp_extract(cite, '^([^(]+)\\(\\d{{4}}', 1)), ',\\s*$', '') END AS authors FROM {_SQL_CITES}")
 def cited_authors(spark, d):
-    return rows(spark, _CITES_IN, "id int, cite string").select("id", X.cited_authors(F.col("cite")).alias("authors"))
+    """Citations by hand, and one made of each document's series, a year and its first line."""
+    docs = corpus.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat("source", F.lit(", X. ("), (1900 + F.col("doc_id") % 200).cast("string"), F.lit("). "), F.split("text", "\n")[0]).alias("cite"))
+    return rows(spark, _CITES_IN, "id long, cite string").unionByName(docs).select("id", X.cited_authors(F.col("cite")).alias("authors"))
 
 
 @query("SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\\*\\*(.+?)\\*\\*', '<b>\\1</b>', 'g'), '(?m)^#+\\s*(.+)$', '<h4>\\1</h4>', 'g'), '(?m)^[-*]\\s+(.+)$', '<li>\\1</li>', 'g'), '\\[(\\d+)\\]', '<sup>\\1</sup>', 'g'), '', '') AS html FROM conversations")
