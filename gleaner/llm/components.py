@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import materialise
+from gleaner.llm.shared import drop, materialise
 
 
 def components(links: DataFrame, folder: str) -> DataFrame:
-    """links (a, b): long. A row per node that has a link: node, label (the least node of its component)."""
+    """links (a, b): long. A row per node that has a link: node, label (the least node of its component).
+
+    Only the last two rounds' tables stay: a round reads its predecessor alone, and is written when it ends.
+    """
+    rounds: list[DataFrame] = []
     both = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), folder)
     labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), folder)
     while True:
@@ -19,4 +23,7 @@ def components(links: DataFrame, folder: str) -> DataFrame:
         after = materialise(low.join(jump, "low").select("node", F.least("low", "below").alias("label"), "was"), folder)
         if after.filter("label <> was").isEmpty():
             return after.select("node", "label")
+        rounds.append(after)
+        if len(rounds) > 2:
+            drop(rounds.pop(0))
         labels = after.select("node", "label")

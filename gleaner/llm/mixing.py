@@ -39,6 +39,7 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: floa
     The excess of capped sources is shared anew by weight: in order of most * size / weight, the first k are capped for
     the least k at which the level (what is left over the weights left) is at most the next ratio.
     """
+    # a row for each source: windows over all of them are small
     order = Window.orderBy(F.col("source").isNull(), F.encode(F.col("source"), "utf-8"))
     ranked = sources.withColumn("i", F.row_number().over(order) - 1)
     ranked = ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("i") % len(weights) + 1).cast("int")))

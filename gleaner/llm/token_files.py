@@ -251,6 +251,7 @@ def _vocabulary_size(path: str) -> int:
 
 def read(files: DataFrame, folder: str) -> DataFrame:
     """A row per document of the files: doc_id, start (ids of all documents before), n_tokens, ids_crc32, in file order."""
+    # a row for each file of about FILE_IDS ids: a million files for 2 * 10^12 ids
     first = files.withColumn("base", F.sum("ids").over(Window.orderBy("part", "seq")) - F.col("ids"))
     schema = arrow_schema("doc_id long, start long, n_tokens long, ids_crc32 long")
 
