@@ -11,6 +11,7 @@ from gleaner.operators import answers as A
 from gleaner.operators import evaluate as V
 from gleaner.plans.oracle import quoted, strip, tokens, unique, values, with_tables
 from gleaner.plans.registry import ORACLES, query, rows
+from gleaner.sources import connectors as K
 from gleaner.sources import corpus
 
 
@@ -304,17 +305,21 @@ def gold_upsert(spark, d):
     return corpus.keep_labels(found, before)
 
 
-@query("SELECT vec_id FROM embeddings WHERE vec_id % 7 <> 0")
+@query("SELECT CAST(item_id AS VARCHAR) AS id, CAST(length(text) AS DOUBLE) AS first FROM benchmark WHERE item_id % 7 <> 0")
 def resumable_embedding(spark, d):
-    e = corpus.table(spark, d, "embeddings").select("vec_id")
-    return e.join(e.filter("vec_id % 7 = 0"), "vec_id", "left_anti")
+    """The vectors that a store of every seventh item lacks, by a stand-in for a service: a text's length."""
+    bank = corpus.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), "text")
+    stored = bank.filter("cast(id as long) % 7 = 0").select("id", F.lit("p").alias("provider")).unionByName(bank.select("id", F.lit("another").alias("provider")))
+    one = lambda text: [float(len(text))]
+    return corpus.embed_missing(bank, stored, lambda texts: [one(t) for t in texts], "p").select("id", F.col("vector")[0].alias("first"))
 
 
-@query("SELECT text, min(item_id) AS first FROM (SELECT item_id, text FROM benchmark UNION ALL SELECT item_id + 1000, text FROM benchmark) WHERE item_id % 5 <> 0 OR item_id >= 1000 GROUP BY text HAVING min(item_id) < 100000")
+@query("SELECT text, CAST(length(text) AS DOUBLE) AS first, 'p' AS provider FROM benchmark GROUP BY text HAVING bool_and(item_id % 5 <> 0)")
 def cache_warmup(spark, d):
-    b = corpus.table(spark, d, "benchmark").select("item_id", "text")
-    both = b.filter("item_id % 5 <> 0").unionByName(b.select((F.col("item_id") + 1000).alias("item_id"), "text"))
-    return both.groupBy("text").agg(F.min("item_id").alias("first"))
+    """The bank's texts, twice, that a cache of every fifth lacks."""
+    bank = corpus.table(spark, d, "benchmark").select("item_id", "text")
+    stored = bank.filter("item_id % 5 = 0").select("text", F.lit("p").alias("provider"))
+    return K.warm_up(bank.unionByName(bank), stored, lambda text: [float(len(text))], "p").select("text", F.col("vector")[0].alias("first"), "provider")
 
 
 _TREE = [(1, 1, 1, "t1", "Población"), (1, 1, 2, "t2", "Censos"), (1, 2, 3, "t3", "Ciudades"), (2, 9, 1, "t4", "Nación")]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gleaner.functions import text as X
 from gleaner.functions.wordlists import ADMIN, ADMIN_STRONG, ADVICE, BROAD, CAUSAL, CAUSAL_MARKERS, COMPARING, DENSE, DENSE_CUT, NARROW, QUESTION_WORDS, WANTS_ANSWERS
 from gleaner.operators import answers as A
 from gleaner.operators import dense as D
@@ -307,6 +308,13 @@ def ablation_jaccard(spark, d):
     return out
 
 
+_FOLD = """WITH RECURSIVE c AS MATERIALIZED (SELECT s.qid, s.block_ix, b.doc_id, b.tokens, row_number() OVER (PARTITION BY s.qid ORDER BY s.score DESC, s.block_ix) AS r FROM scores s JOIN blocks b USING (block_ix)),
+ f(qid, r, ix, docs, tokens, dropped) AS (SELECT DISTINCT qid, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST(0 AS BIGINT), 0 FROM c
+ UNION ALL SELECT f.qid, c.r, CASE WHEN ok THEN list_append(f.ix, c.block_ix) ELSE f.ix END, CASE WHEN ok THEN list_append(f.docs, c.doc_id) ELSE f.docs END, CASE WHEN ok THEN f.tokens + c.tokens ELSE f.tokens END, f.dropped + CASE WHEN full_ THEN 1 ELSE 0 END
+ FROM f JOIN c ON c.qid = f.qid AND c.r = f.r + 1 JOIN plans p ON p.qid = f.qid, LATERAL (SELECT len(list_filter(f.docs, lambda d: d = c.doc_id)) >= p.quota AS full_) x, LATERAL (SELECT NOT full_ AND (f.tokens + c.tokens <= p.budget OR len(f.ix) = 0) AS ok) y)
+ SELECT qid, array_to_string(ix, ',') AS blocks, tokens, dropped FROM f QUALIFY row_number() OVER (PARTITION BY qid ORDER BY r DESC) = 1"""
+
+
 # states: of each question the best three blocks of its union, and the best alone
 _STATES = "states AS MATERIALIZED (SELECT qid, sid, list(block_ix ORDER BY r) AS blocks FROM (SELECT qid, block_ix, row_number() OVER (PARTITION BY qid ORDER BY score DESC, block_ix) AS r FROM scores), (SELECT unnest([1, 3]) AS sid) WHERE r <= sid GROUP BY ALL), mine AS MATERIALIZED (SELECT qid, sid, unnest(blocks) AS block_ix FROM states)"
 
@@ -396,13 +404,6 @@ def beam_prune(spark, d):
     return E.prune(ranked).select("qid", "block_ix", "slot")
 
 
-_FOLD = """WITH RECURSIVE c AS MATERIALIZED (SELECT s.qid, s.block_ix, b.doc_id, b.tokens, row_number() OVER (PARTITION BY s.qid ORDER BY s.score DESC, s.block_ix) AS r FROM scores s JOIN blocks b USING (block_ix)),
- f(qid, r, ix, docs, tokens, dropped) AS (SELECT DISTINCT qid, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST(0 AS BIGINT), 0 FROM c
- UNION ALL SELECT f.qid, c.r, CASE WHEN ok THEN list_append(f.ix, c.block_ix) ELSE f.ix END, CASE WHEN ok THEN list_append(f.docs, c.doc_id) ELSE f.docs END, CASE WHEN ok THEN f.tokens + c.tokens ELSE f.tokens END, f.dropped + CASE WHEN full_ THEN 1 ELSE 0 END
- FROM f JOIN c ON c.qid = f.qid AND c.r = f.r + 1 JOIN plans p ON p.qid = f.qid, LATERAL (SELECT len(list_filter(f.docs, lambda d: d = c.doc_id)) >= p.quota AS full_) x, LATERAL (SELECT NOT full_ AND (f.tokens + c.tokens <= p.budget OR len(f.ix) = 0) AS ok) y)
- SELECT qid, array_to_string(ix, ',') AS blocks, tokens, dropped FROM f QUALIFY row_number() OVER (PARTITION BY qid ORDER BY r DESC) = 1"""
-
-
 @query(with_tables(_ALL, *_CHAIN, query="SELECT * FROM (" + _FOLD + ")"))
 def pack_quota_budget(spark, d):
     index, plan, _, _, scores = _searched(spark, d)
@@ -425,21 +426,28 @@ def top_sentences(spark, d):
 _SUP = "ver AS MATERIALIZED (SELECT *, coverage >= CASE kind WHEN 'nucleo' THEN 0.55 ELSE 0.40 END AS supported FROM cov WHERE sid = 3)"
 
 
-@query(with_tables(_ALL + " n_blocks", *_CHAIN, _STATES, _COVER, _SUP, query="SELECT qid, CASE WHEN bool_and(supported) THEN 'ANSWER' WHEN bool_and(NOT mandatory OR supported) OR qid % 2 = 0 THEN 'PARTIAL' ELSE 'INSUFFICIENT' END AS decision, round(avg(CASE WHEN supported THEN 1 ELSE 0 END), 3) AS coverage FROM ver GROUP BY qid"))
+# the first block always is packed, so whatever has a score has packages
+@query(with_tables(_ALL + " n_blocks", *_CHAIN, _STATES, _COVER, _SUP, query="SELECT qid, CASE WHEN bool_and(supported) THEN 'ANSWER' WHEN bool_and(NOT mandatory OR supported) OR qid IN (SELECT qid FROM scores) THEN 'PARTIAL' ELSE 'INSUFFICIENT' END AS decision, round(avg(CASE WHEN supported THEN 1 ELSE 0 END), 3) AS coverage FROM ver GROUP BY qid"))
 def decision(spark, d):
-    index, _, reqs, _, scores = _searched(spark, d)
-    states = _states(scores).filter("sid = 3")
-    return E.decision(E.coverage(states, reqs, index), states.select("qid", F.when(F.col("qid") % 2 == 0, 1).otherwise(0).alias("n")))
+    index, plan, reqs, _, scores = _searched(spark, d)
+    packed = E.pack(scores.join(index.blocks.select("block_ix", "doc_id", "tokens"), "block_ix"), plan)
+    return E.decision(E.coverage(_states(scores).filter("sid = 3"), reqs, index), packed.select("qid", F.size("blocks").alias("n")))
 
 
-@query(with_tables(_ALL + " n_blocks", *_CHAIN, _STATES, _COVER, _SUP, query="SELECT v.qid, array_to_string(list_concat(list_transform(missing, lambda r: 'missing:' || r), list_filter([CASE WHEN NOT every AND len(missing) = 0 THEN 'no_second_source' END, CASE WHEN v.qid % 3 > 0 THEN 'quota:' || (v.qid % 3) END, CASE WHEN v.qid % 5 = 0 THEN 'scanned' END, CASE WHEN p.week IS NOT NULL AND v.qid % 2 = 1 THEN 'no_week:' || p.week END], lambda x: x IS NOT NULL)), ';') AS notices FROM (SELECT qid, bool_and(supported) AS every, coalesce(list(rid ORDER BY rid) FILTER (WHERE mandatory AND NOT supported), []) AS missing FROM ver GROUP BY qid) v JOIN plans p ON p.qid = v.qid"))
+# what the quota dropped is what the fold of pack_quota_budget dropped; a week is found if one of the three best blocks is of it
+@query(with_tables(_ALL + " n_blocks", *_CHAIN, _STATES, _COVER, _SUP, f"folded AS MATERIALIZED ({_FOLD})", query="SELECT v.qid, array_to_string(list_concat(list_transform(missing, lambda r: 'missing:' || r), list_filter([CASE WHEN NOT every AND len(missing) = 0 THEN 'no_second_source' END, CASE WHEN dropped > 0 THEN 'quota:' || dropped END, CASE WHEN degraded THEN 'scanned' END, CASE WHEN p.week IS NOT NULL AND NOT coalesce(here, FALSE) THEN 'no_week:' || p.week END], lambda x: x IS NOT NULL)), ';') AS notices FROM (SELECT qid, bool_and(supported) AS every, coalesce(list(rid ORDER BY rid) FILTER (WHERE mandatory AND NOT supported), []) AS missing FROM ver GROUP BY qid) v JOIN plans p ON p.qid = v.qid JOIN folded f ON f.qid = v.qid JOIN (SELECT m.qid, bool_or(b.week = p.week) AS here, bool_or(coalesce(list_sum(list_transform(regexp_extract_all(b.body, '[a-zA-ZáéíóúñÁÉÍÓÚÑ]{3,}'), lambda w: length(w))), 0) / length(b.body) < 0.55) AS degraded FROM mine m JOIN blocks b USING (block_ix) JOIN plans p USING (qid) WHERE m.sid = 3 GROUP BY m.qid) h ON h.qid = v.qid"))
 def notices(spark, d):
+    """Of the three best blocks; a block of few letters counts as scanned."""
     index, plan, reqs, _, scores = _searched(spark, d)
-    v = E.coverage(_states(scores).filter("sid = 3"), reqs, index)
+    states = _states(scores).filter("sid = 3")
+    v = E.coverage(states, reqs, index)
     per = v.groupBy("qid").agg(F.bool_and("supported").alias("every"), F.array_sort(F.collect_list(F.when(F.col("mandatory") & ~F.col("supported"), F.col("rid")))).alias("missing"))
-    said = F.when(F.col("every"), "ANSWER").otherwise("PARTIAL")
-    out = E.notices(F.col("missing"), said, F.col("qid") % 3, F.col("qid") % 5 == 0, F.col("week"), F.col("qid") % 2 == 0)
-    return per.join(plan.select("qid", "week"), "qid").select("qid", F.array_join(out, ";").alias("notices"))
+    packed = E.pack(scores.join(index.blocks.select("block_ix", "doc_id", "tokens"), "block_ix"), plan).select("qid", "dropped")
+    weeks = plan.select("qid", F.col("week").alias("asked"))
+    shown = E.members(states).join(index.blocks.select("block_ix", "week", "body"), "block_ix").join(weeks, "qid")
+    shown = shown.groupBy("qid").agg(F.coalesce(F.bool_or(F.col("week") == F.col("asked")), F.lit(False)).alias("here"), F.bool_or(X.letters_share(F.col("body")) < 0.55).alias("scanned"))
+    out = E.notices(F.col("missing"), F.when(F.col("every"), "ANSWER").otherwise("PARTIAL"), F.col("dropped"), F.col("scanned"), F.col("asked"), F.col("here"))
+    return per.join(packed, "qid").join(weeks, "qid").join(shown, "qid").select("qid", F.array_join(out, ";").alias("notices"))
 
 
 @query(with_tables(_ALL, *_CHAIN, query="SELECT qid, count(*) AS supporting, CASE WHEN count(*) FILTER (WHERE r <= 3 AND share > 0.6) > 0 THEN 'strong' ELSE 'partial' END AS level FROM (SELECT t.qid, t.r, len(list_filter(list_distinct(q.terms), lambda x: list_contains(t.terms, x))) / nullif(len(list_distinct(q.terms)), 0) AS share FROM (SELECT s.qid, s.block_ix, s.r, list(p.term) AS terms FROM (SELECT qid, block_ix, row_number() OVER (PARTITION BY qid ORDER BY score DESC, block_ix) AS r FROM scores QUALIFY r <= 3) s JOIN body_post p USING (block_ix) GROUP BY ALL) t JOIN reqs q ON q.qid = t.qid AND q.rid = 'r1') GROUP BY qid"))
