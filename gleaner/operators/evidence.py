@@ -62,7 +62,7 @@ def redundancy(states: DataFrame, index: Index) -> DataFrame:
     mine = members(states)
     with_bags = mine.join(bags(mine, index), "block_ix").groupBy("qid", "sid").agg(F.collect_list("bag").alias("bags"))
     n = F.size("bags")
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda j: j > i), lambda j: X.jaccard(F.get("bags", i), F.get("bags", j)))))
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda j: j > i), lambda j: X.set_jaccard(F.get("bags", i), F.get("bags", j)))))
     mean = F.when(n > 1, F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / (n * (n - 1) / 2)).otherwise(0.0)
     return states.select("qid", "sid").join(with_bags, ["qid", "sid"], "left").select("qid", "sid", F.round(F.coalesce(mean, F.lit(0.0)), 9).alias("redundancy"))
 
@@ -114,12 +114,13 @@ def condition(front: DataFrame, pairs: DataFrame, reqs: DataFrame, index: Index,
     rows = pairs.join(front, "fid").filter("block_ix <> bridge").join(near, "bridge")
     rows = rows.join(own, "block_ix").join(own.select(F.col("block_ix").alias("bridge"), F.col("bag").alias("bridge_bag")), "bridge")
     rows = rows.join(index.blocks.select("block_ix", "doc_id"), "block_ix").join(reqs.select("qid", "rid", "terms"), ["qid", "rid"])
-    j = X.jaccard(F.col("bag"), F.col("bridge_bag"))
+    j = X.set_jaccard(F.col("bag"), F.col("bridge_bag"))
+    once = F.transform(F.array(j), lambda x: F.when(x < 0.6, 0.3 * x).otherwise(-0.3))[0]  # the similarity is computed once
     both = (F.size("bag") > 0) & (F.size("bridge_bag") > 0)
     bonus = (
         F.when((F.col("block_ix") == F.col("previous")) | (F.col("block_ix") == F.col("next")), 0.5).otherwise(0.0)
         + F.when(F.col("doc_id") == F.col("bridge_doc"), 0.2).otherwise(0.0)
-        + F.when(both, F.when(j < 0.6, 0.3 * j).otherwise(-0.3)).otherwise(0.0)
+        + F.when(both, once).otherwise(0.0)
         + 0.15 * F.size(F.array_except(F.array_intersect("terms", "bag"), "bridge_bag"))
     )
     scored = rows.withColumn("useful", F.round(F.col("score") + bonus, 9))
