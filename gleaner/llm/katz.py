@@ -407,7 +407,7 @@ def _scored(folder: str, buckets: int, starts: int, model: Words, d: Discounts,
     return run
 
 
-def score(docs: DataFrame, held_out, folder: str | None = None, keep_model: bool = False) -> DataFrame:
+def score(docs: DataFrame, held_out, folder: str | None = None, keep_model: bool = True) -> DataFrame:
     """docs (doc_id, text), held_out: a Column, true for rows that don't teach. Columns as in _SCORES.
 
     keep_model: the table of answers also keeps the bigrams of each bucket (keys and counts) in its rows with chunk -1.
