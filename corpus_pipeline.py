@@ -3,6 +3,11 @@
 Each stage takes what its predecessor kept, and its decisions take effect: rejected and duplicate documents go, and a
 document that the mix takes several times comes as several rows. The last returns the ids of each row's text,
 two bytes each, with digests of them and of the text decoded from them.
+
+Defined results: texts that are null or hold no letter go in the first stage, as do those nearest to no language's
+codeword; if no row has a lang, nothing is learned and all rows go. Rows are found again by doc_id and text, so ids may be
+null or repeated; of rows equal in both, one stays, the same in each run. Columns besides the four that are read may have
+any names and come through unchanged up to the last stage. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -59,5 +64,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Signatures and vocabularies are beyond SQL; tests hold the stages against brute force.
+#: Models, signatures and vocabularies are beyond SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
