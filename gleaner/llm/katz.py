@@ -1,19 +1,21 @@
-"""Language-model scores by Katz backoff over bigrams: Good-Turing discounts, exactly normalised backoff weights.
+"""Language-model scores by Katz backoff of any order: Good-Turing discounts, exactly normalised backoff weights.
 
-p(w | h) = d(c(hw)) c(hw) / c(h) if hw was seen, else alpha(h) p(w); p(w) = d(c(w)) c(w) / N, and what its discounts leave
-is the probability of a word never seen. alpha(h) is what the discounts leave of h's mass, over the mass p gives to the
-words not seen after h, so each context's probabilities add up to one. Each text begins with a start, which is only a
-context, and ends with an end, which is only a word.
+p(w | h) = d(c(hw)) c(hw) / c(h) if hw was seen, else alpha(h) p(w | h'), h' being h without its first word; at the end of
+the recursion p(w) = d(c(w)) c(w) / N, and what its discounts leave is the probability of a word never seen. alpha(h) is
+what the discounts leave of h's mass, over the mass p(. | h') gives to the words not seen after h, so each context's
+probabilities add up to one. Each order has its own discounts. A text begins with a start, which is only a context, and
+ends with an end, which is only a word; its first words have no more words before them than there are.
 
 Counts never become a row for each token. Texts are taken in chunks of CHUNK bytes; a chunk asks, in one packed list for
-each bucket of words, for the ids and counts of its distinct words, and then, in one for each bucket of contexts, for the
-counts of its distinct bigrams and its contexts' sums. A bucket adds up what the chunks' training texts bring and answers
-each chunk in the order it asked. The tables of words (by bucket of the word) and of bigrams (by bucket of the context)
-are the model. A context with more than a bucket's share of all tokens is dealt over all buckets by the next word, and
-its sums are added up from them.
+each bucket of words, for the ids and counts of its distinct words, and then, order by order, in one for each bucket of
+contexts, for the counts of its distinct grams. A bucket adds up what the chunks' training texts bring and answers each
+chunk in the order it asked: counts, ids (a gram's id names it as a context of the next order), and, where the chunk backs
+off, what the context's weight is computed from. The tables of words (by bucket of the word) and of grams (by bucket of
+the context) are the model. A context with more than a bucket's share of all tokens is dealt over all buckets by the next
+word, and its sums are added up from them.
 
-A chunk's words lie in a file of the shared folder, under a name of its task's own, so that they aren't shuffled; rows
-name the file of the task whose output is read.
+A chunk's words, and the answers of lower orders, lie in files of the shared folder, under names of their task's own, so
+that they aren't shuffled again; rows name the files of the tasks whose output is read.
 
 Defined results: a null text is empty and scores its end alone; a null doc_id counts as the empty text in the choice of
 training rows; without training rows every probability is 1; contexts never seen in training back off with weight 1;
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,9 @@ from gleaner.llm.language_id import fold
 from gleaner.llm.shared import arrow_schema, column, materialise, mixed, pack, partitions, pieces, scratch, ship, unpack, utf8, word_hashes, words
 
 #: Bytes of text of a chunk, counts that are discounted, entries of a bucket, about.
-CHUNK, K, WORD_BUCKET, PAIR_BUCKET = 3 << 20, 5, 2_000_000, 1_000_000
+CHUNK, K, WORD_BUCKET, GRAM_BUCKET = 3 << 20, 5, 2_000_000, 1_000_000
+#: Words of the longest gram.
+ORDER = 3
 #: Ids: 0 for a word that training never saw, 1 for the start; the end is a word like others, named by this hash.
 UNKNOWN, START = 0, 1
 END_HASH = 0xE0D0E0D0E0D0E0D1
@@ -146,7 +150,7 @@ def _asked_words(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarr
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-_CHUNKS = "chunk long, path string, words long, pairs long, texts long"
+_CHUNKS = "chunk long, path string, words long, tokens long, texts long"
 
 
 def _read_chunks(folder: str):
@@ -167,7 +171,7 @@ def _read_chunks(folder: str):
             train = np.bincount(token[np.repeat(~held, sizes)], minlength=len(own))
             ids = column(batch, "doc_id")
             row = {"tokens": pack(token), "sizes": pack(sizes), "hashes": pack(own[rank]), "train": pack(train), "held": np.packbits(held).tobytes(), "known": np.packbits(np.array(ids.is_valid())).tobytes(), "ids": np.array(ids.fill_null(0)).astype("<i8").tobytes()}
-            yield pa.RecordBatch.from_pylist([{"chunk": part << 32 | n, "path": _store(folder, row), "words": len(own), "pairs": len(h), "texts": int((~held).sum())}], schema=schema)
+            yield pa.RecordBatch.from_pylist([{"chunk": part << 32 | n, "path": _store(folder, row), "words": len(own), "tokens": len(h), "texts": int((~held).sum())}], schema=schema)
 
     return run
 
@@ -220,130 +224,194 @@ def _tell_words(buckets: int):
     return run
 
 
+@dataclass(frozen=True)
+class Level:
+    """An order above one: its contexts that are dealt over all buckets with their sums, and its discounts."""
+
+    order: int
+    buckets: int
+    hot: np.ndarray
+    d: Discounts | None = None
+    hot_low: np.ndarray | None = None
+    hot_mass: np.ndarray | None = None
+
+
+@dataclass
+class Tokens:
+    """A chunk's tokens at an order: ids and counts of the grams that end there, and what counts are divided by."""
+
+    first: np.ndarray  # positions where texts begin
+    train: np.ndarray
+    word: np.ndarray
+    id: np.ndarray  # 0: never seen in training
+    count: np.ndarray
+    over: np.ndarray  # the context's count, and one more where no discount leaves it mass
+
+
 @dataclass
-class Pairs:
-    """A chunk's tokens with the ids and counts of its words, and its distinct bigrams and contexts in the order asked."""
+class Grams:
+    """A chunk's distinct contexts of an order, and its distinct grams by context and word (0: a word never seen)."""
 
-    sizes: np.ndarray
-    count: np.ndarray  # of each token
-    pair: np.ndarray  # of each token: its bigram's number, -1 if the word or the context is unknown
+    gram: np.ndarray  # of each token: its gram's number, -1 if the context is unknown
     context: np.ndarray  # of each token: its context's number, -1 if unknown
-    keys: np.ndarray  # of each bigram: context << 32 | word
-    owner: np.ndarray  # of each bigram: its context's number
-    word_count: np.ndarray  # of each bigram
-    contexts: np.ndarray
+    contexts: np.ndarray  # ids
     context_count: np.ndarray
-    bucket: np.ndarray  # of each bigram
-    train: np.ndarray  # of each bigram
+    lower_over: np.ndarray  # of each context: what the counts of the order below are divided by
+    owner: np.ndarray  # of each gram: its context's number
+    word: np.ndarray
+    lower_count: np.ndarray  # of each gram: the count of the gram without its first word
+    train: np.ndarray
+    bucket: np.ndarray
 
 
-def _pairs(row: dict, ids: np.ndarray, counts: np.ndarray, starts: int, hot: np.ndarray, buckets: int) -> Pairs:
-    token, sizes = unpack(row["tokens"]).astype(np.int64), unpack(row["sizes"]).astype(np.int64)
-    held = np.unpackbits(np.frombuffer(row["held"], np.uint8), count=len(sizes)).astype(bool)
-    word, count = ids[token].astype(np.uint64), counts[token]
-    before = np.roll(word, 1)
-    before[np.cumsum(sizes) - sizes] = START
-    before_count = np.roll(count, 1)
-    before_count[np.cumsum(sizes) - sizes] = starts
-    known = (word != UNKNOWN) & (before != UNKNOWN) & (before_count > 0)
-    key = before << np.uint64(32) | word
-    own, first, inverse = np.unique(key[known], return_index=True, return_inverse=True)
-    train = np.bincount(inverse.reshape(-1), np.repeat(~held, sizes)[known], minlength=len(own)).astype(np.int64)
-    contexts, of = np.unique(before[(before != UNKNOWN) & (before_count > 0)], return_inverse=True)
-    context = np.full(len(word), -1)
-    context[(before != UNKNOWN) & (before_count > 0)] = of.reshape(-1)
-    context_count = np.zeros(len(contexts), np.int64)
-    context_count[context[context >= 0]] = before_count[context >= 0]
-    owner = np.searchsorted(contexts, own >> np.uint64(32))
-    by = np.where(np.isin(own >> np.uint64(32), hot), own, own >> np.uint64(32))
-    pair = np.full(len(word), -1)
-    pair[known] = inverse.reshape(-1)
-    return Pairs(sizes, count.astype(np.int64), pair, context, own, owner, count[known][first].astype(np.int64), contexts, context_count, _bucketed(by, buckets), train)
-
-
-def _asked_pairs(p: Pairs, hot: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """What a chunk asks of each bucket: numbers of bigrams, and of contexts (those of the bigrams, and those that live there)."""
-    order = np.argsort(p.bucket, kind="stable")
-    at = np.searchsorted(p.bucket[order], np.arange(buckets + 1))
-    cold = np.flatnonzero(~np.isin(p.contexts, hot))
-    home = _bucketed(p.contexts[cold], buckets)
-    there = np.argsort(home, kind="stable")
-    where = np.searchsorted(home[there], np.arange(buckets + 1))
-    for b in range(buckets):
-        own = order[at[b] : at[b + 1]]
-        contexts = np.union1d(cold[there[where[b] : where[b + 1]]], p.owner[own])
-        if len(contexts):
-            yield b, own, contexts
+@dataclass
+class Found:
+    """What the buckets say of a chunk's grams and contexts."""
+
+    total: np.ndarray
+    id: np.ndarray
+    none: np.ndarray  # of each context: no discount leaves it mass
+    alpha: np.ndarray  # of each context: its backoff weight, if the chunk needs it
 
 
-def _told_words(row: dict, told: list[dict], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def _words_of(row: dict, told: list[dict], buckets: int, model: Words) -> Tokens:
     hashes = unpack(row["hashes"])
     order, at = _asked_words(hashes, buckets)
     ids, counts = np.zeros(len(hashes), np.uint64), np.zeros(len(hashes), np.int64)
     for t in told:
         own = order[at[t["bucket"]] : at[t["bucket"] + 1]]
         ids[own], counts[own] = unpack(t["ids"]), unpack(t["counts"])
-    return ids, counts
+    token, sizes = unpack(row["tokens"]).astype(np.int64), unpack(row["sizes"]).astype(np.int64)
+    held = np.unpackbits(np.frombuffer(row["held"], np.uint8), count=len(sizes)).astype(bool)
+    word = ids[token]
+    return Tokens(np.cumsum(sizes) - sizes, np.repeat(~held, sizes), word, word, counts[token], np.full(len(word), model.n + (model.scale < 1)))
+
+
+def _grams(t: Tokens, level: Level, starts: int) -> Grams:
+    before, before_count = np.roll(t.id, 1), np.roll(t.count, 1)
+    before[t.first], before_count[t.first] = (START, starts) if level.order == 2 else (0, 0)
+    known = np.flatnonzero((before != 0) & (before_count > 0))
+    contexts, at, of = np.unique(before[known], return_index=True, return_inverse=True)
+    of = of.reshape(-1)
+    keys, first, inverse = np.unique(of.astype(np.uint64) << np.uint64(32) | t.word[known], return_index=True, return_inverse=True)
+    inverse = inverse.reshape(-1)
+    gram, context = np.full(len(t.word), -1), np.full(len(t.word), -1)
+    gram[known], context[known] = inverse, of
+    owner, word = (keys >> np.uint64(32)).astype(np.int64), keys & np.uint64(0xFFFFFFFF)
+    by, is_hot = contexts[owner], np.isin(contexts, level.hot)[owner]
+    by[is_hot] = mixed(by[is_hot], 22) ^ word[is_hot]
+    train = np.bincount(inverse, t.train[known], minlength=len(keys)).astype(np.int64)
+    return Grams(gram, context, contexts, before_count[known][at], t.over[known][at], owner, word, t.count[known][first], train, _bucketed(by, level.buckets))
+
+
+def _asked(g: Grams, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """What a chunk asks of each bucket: numbers of grams, of their contexts, and how many grams each context has there."""
+    order = np.argsort(g.bucket.astype(np.uint16) if buckets <= 1 << 16 else g.bucket, kind="stable")
+    at = np.searchsorted(g.bucket[order], np.arange(buckets + 1))
+    for b in range(buckets):
+        own = order[at[b] : at[b + 1]]
+        if len(own):
+            owner = g.owner[own]
+            starts = np.flatnonzero(np.diff(owner, prepend=-1))
+            yield b, own, owner[starts], np.diff(starts, append=len(own))
 
 
-_PAIR_ASK = "bucket int, chunk long, path string, names string, contexts binary, lengths binary, words binary, train binary, counts binary"
+def _needy(total: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Of contexts with their numbers of grams: which have a gram without counts, so that their weight is needed."""
+    return np.flatnonzero(np.add.reduceat(total == 0, np.cumsum(lengths) - lengths)) if len(lengths) else np.zeros(0, np.int64)
 
 
-def _ask_pairs(folder: str, word_buckets: int, buckets: int, starts: int, hot: np.ndarray):
-    schema = arrow_schema(_PAIR_ASK)
+_ASK = "bucket int, chunk long, path string, contexts binary, over binary, lengths binary, words binary, train binary, counts binary"
+
+
+@dataclass(frozen=True)
+class _Replay:
+    """A chunk's tokens at the order that `told` answers, from the chunk's files and what is known of all orders below."""
+
+    folder: str
+    model: Words
+    word_buckets: int
+    starts: int
+    levels: tuple[Level, ...]
+
+    def of(self, r: dict) -> tuple[dict, list[tuple[Tokens, Grams | None, Found | None]]]:
+        path, *more = r["path"].split("\n")
+        row = _load(self.folder, path)
+        told = [*(_load(self.folder, m)["told"] for m in more), r["told"]]
+        out = [(_words_of(row, told[0], self.word_buckets, self.model), None, None)]
+        for level, answers in zip(self.levels, told[1:], strict=True):
+            t = out[-1][0]
+            g = _grams(t, level, self.starts)
+            f = _found(g, answers, level)
+            ok, known = g.gram >= 0, g.context >= 0
+            ids, count, over = np.zeros(len(ok), np.uint64), np.zeros(len(ok), np.int64), np.ones(len(ok), np.int64)
+            ids[ok], count[ok] = f.id[g.gram[ok]], f.total[g.gram[ok]]
+            over[known] = (g.context_count + f.none)[g.context[known]]
+            out.append((Tokens(t.first, t.train, t.word, ids, count, over), g, f))
+        return row, out
+
+
+def _ask(replay: _Replay, level: Level):
+    schema = arrow_schema(_ASK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                row = _load(folder, r["path"])
-                ids, counts = _told_words(row, r["told"], word_buckets)
-                names = _store(folder, {"ids": pack(ids), "counts": pack(counts)})
-                p = _pairs(row, ids, counts, starts, hot, buckets)
+                path = r["path"] + "\n" + _store(replay.folder, {"told": r["told"]})
+                g = _grams(replay.of(r)[1][-1][0], level, replay.starts)
                 out = []
-                for b, own, contexts in _asked_pairs(p, hot, buckets):
-                    lengths = np.bincount(np.searchsorted(contexts, p.owner[own]), minlength=len(contexts))
-                    out.append({"bucket": b, "chunk": r["chunk"], "path": r["path"], "names": names, "contexts": pack(p.contexts[contexts], True), "lengths": pack(lengths), "words": pack(p.keys[own] & np.uint64(0xFFFFFFFF)), "train": pack(p.train[own]), "counts": pack(p.word_count[own])})
-                yield pa.RecordBatch.from_pylist(out or [{"bucket": 0, "chunk": r["chunk"], "path": r["path"], "names": names, **{c: pack(np.zeros(0)) for c in ("contexts", "lengths", "words", "train", "counts")}}], schema=schema)
+                for b, own, contexts, lengths in _asked(g, level.buckets):
+                    out.append({"bucket": b, "chunk": r["chunk"], "path": path, "contexts": pack(g.contexts[contexts], True), "over": pack(g.lower_over[contexts]), "lengths": pack(lengths), "words": pack(g.word[own]), "train": pack(g.train[own]), "counts": pack(g.lower_count[own])})
+                none = pack(np.zeros(0))
+                yield pa.RecordBatch.from_pylist(out or [{"bucket": 0, "chunk": r["chunk"], "path": path, **dict.fromkeys(("contexts", "over", "lengths", "words", "train", "counts"), none)}], schema=schema)
 
     return run
 
 
-_PAIR_TOLD = "bucket int, chunk long, path string, names string, pairs binary, low binary, mass binary, of_counts array<long>, hot binary, hot_low binary, hot_mass binary, table binary, table_counts binary"
+_TOLD = ("totals", "ranks", "present", "low", "mass")
+_TELL = "bucket int, chunk long, path string, totals binary, ranks binary, present binary, low binary, mass binary, of_counts array<long>, hot binary, hot_low binary, hot_mass binary, table_contexts binary, table_lengths binary, table_words binary, table_counts binary"
 
 
-def _tell_pairs(model: Words, hot: np.ndarray, keep: bool):
-    """A bucket's answers: counts of bigrams, and of contexts how many bigrams have counts 1 to K and the p of the words seen.
+def _tell(level: Level, lower: Discounts, keep: bool):
+    """A bucket's answers: counts and ranks of grams; of contexts which counts from 1 to K occur, and, where a gram has none,
+    how many grams have each of them and the p of the words seen.
 
-    The row with chunk -1 has the bucket's counts of counts, its parts of the sums of hot contexts, and its bigrams.
+    The row with chunk -1 has the bucket's counts of counts, its parts of the sums of hot contexts, and its grams.
     """
-    schema = arrow_schema(_PAIR_TOLD)
+    schema = arrow_schema(_TELL)
 
     def run(table: pa.Table) -> pa.Table:
-        cols = {c: [unpack(b) for b in column(table, c).to_pylist()] for c in ("contexts", "lengths", "words", "train", "counts")}
         bucket = column(table, "bucket")[0].as_py()
-        keys = [np.repeat(c, n.astype(np.int64)) << np.uint64(32) | w for c, n, w in zip(cols["contexts"], cols["lengths"], cols["words"], strict=True)]
-        every, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        each = {c: [unpack(b) for b in column(table, c).to_pylist()] for c in ("contexts", "lengths")}
+        whole = lambda c: np.concatenate([unpack(b) for b in column(table, c).to_pylist()])
+        lengths = np.concatenate(each["lengths"]).astype(np.int64)
+        contexts, first, of = np.unique(np.concatenate(each["contexts"]), return_index=True, return_inverse=True)
+        of, over = of.reshape(-1), whole("over")[first].astype(np.int64)
+        every, first, inverse = np.unique(np.repeat(of, lengths).astype(np.uint64) << np.uint64(32) | whole("words"), return_index=True, return_inverse=True)
         inverse = inverse.reshape(-1)
-        total = np.bincount(inverse, np.concatenate(cols["train"]), minlength=len(every)).astype(np.int64)
-        p = np.where(total > 0, model.p(np.concatenate(cols["counts"])[first].astype(np.int64)), 0.0)
-        contexts, start = np.unique(every >> np.uint64(32), return_index=True)
-        low = np.zeros((K, len(contexts)), np.int64)
+        total = np.bincount(inverse, whole("train"), minlength=len(every)).astype(np.int64)
+        owner, seen = (every >> np.uint64(32)).astype(np.int64), total > 0
+        count = whole("counts")[first].astype(np.int64)
+        # a gram that was seen was seen without its first word, too: no recursion here
+        p = np.where(seen, lower.of(count) * count / over[owner], 0.0)
+        low, mass = np.zeros((K, len(contexts)), np.int64), np.zeros(len(contexts))
         if len(contexts):
+            start = np.searchsorted(owner, np.arange(len(contexts)))
             for r in range(1, K + 1):
                 low[r - 1] = np.add.reduceat((total == r).astype(np.int64), start)
             mass = np.add.reduceat(p, start)
-        else:
-            mass = np.zeros(0)
-        out = [{"bucket": bucket, "chunk": -1, "of_counts": _count_of_counts(total)}]
-        part = np.flatnonzero(np.isin(contexts, hot))
-        out[0] |= {"hot": pack(contexts[part]), "hot_low": pack(low[:, part].reshape(-1)), "hot_mass": mass[part].astype("<f8").tobytes()}
+        present = sum((low[r] > 0).astype(np.int64) << r for r in range(K))
+        rank = np.maximum(np.cumsum(seen) - 1, 0)
+        part = np.flatnonzero(np.isin(contexts, level.hot))
+        out = [{"bucket": bucket, "chunk": -1, "of_counts": _count_of_counts(total), "hot": pack(contexts[part]), "hot_low": pack(low[:, part].reshape(-1)), "hot_mass": mass[part].astype("<f8").tobytes(), "table_counts": pack(total[seen])}]
         if keep:
-            seen = total > 0
-            out[0] |= {"table": pack(every[seen], True), "table_counts": pack(total[seen])}
-        at = np.cumsum([0, *map(len, keys)])
-        for i, (chunk, path, names) in enumerate(zip(*(column(table, c).to_pylist() for c in ("chunk", "path", "names")), strict=True)):
-            own = np.searchsorted(contexts, cols["contexts"][i])  # all are there: a known context has been seen with a word
-            out.append({"bucket": bucket, "chunk": chunk, "path": path, "names": names, "pairs": pack(total[inverse[at[i] : at[i + 1]]]), "low": pack(low[:, own].reshape(-1)), "mass": mass[own].astype("<f8").tobytes()})
+            names, n = np.unique(owner[seen], return_counts=True)
+            out[0] |= {"table_contexts": pack(contexts[names], True), "table_lengths": pack(n), "table_words": pack(every[seen] & np.uint64(0xFFFFFFFF))}
+        grams, places = np.cumsum([0, *(int(n.sum()) for n in each["lengths"])]), np.cumsum([0, *map(len, each["contexts"])])
+        for i, (chunk, path) in enumerate(zip(column(table, "chunk").to_pylist(), column(table, "path").to_pylist(), strict=True)):
+            own, at = inverse[grams[i] : grams[i + 1]], of[places[i] : places[i + 1]]
+            need = at[_needy(total[own], lengths[places[i] : places[i + 1]])]
+            out.append({"bucket": bucket, "chunk": chunk, "path": path, "totals": pack(total[own]), "ranks": pack(rank[own], True), "present": pack(present[at]), "low": pack(low[:, need].reshape(-1)), "mass": mass[need].astype("<f8").tobytes()})
         return pa.Table.from_pylist(out, schema=schema)
 
     return run
@@ -357,110 +425,128 @@ def _hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist([{"id": int(i), "low": low[:, k].tolist(), "mass": float(mass[k])} for k, i in enumerate(ids)], schema=schema)
 
 
+def _gram_ids(rank: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
+    return rank.astype(np.uint64) * np.uint64(buckets) + np.uint64(bucket + 1)
+
+
+def _found(g: Grams, told: list[dict], level: Level) -> Found:
+    asked = {b: x for b, *x in _asked(g, level.buckets)}
+    total, ids = np.zeros(len(g.word), np.int64), np.zeros(len(g.word), np.uint64)
+    n = len(g.contexts)
+    present, low, mass = np.zeros(n, np.int64), np.zeros((K, n), np.int64), np.zeros(n)
+    for t in told:
+        if t["bucket"] in asked:
+            own, contexts, lengths = asked[t["bucket"]]
+            total[own], ids[own], present[contexts] = unpack(t["totals"]), _gram_ids(unpack(t["ranks"]), t["bucket"], level.buckets), unpack(t["present"])
+            need = contexts[_needy(total[own], lengths)]
+            low[:, need], mass[need] = unpack(t["low"]).reshape(K, -1), np.frombuffer(t["mass"], "<f8")
+    ids[total == 0] = 0
+    is_hot = np.isin(g.contexts, level.hot)
+    place = np.searchsorted(level.hot, g.contexts[is_hot])
+    low[:, is_hot], mass[is_hot] = level.hot_low[:, place], level.hot_mass[place]
+    present[is_hot] = sum((level.hot_low[r, place] > 0).astype(np.int64) << r for r in range(K))
+    return Found(total, ids, *backoff(g.context_count, present, low, mass, level.d))
+
+
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def backoff(count: np.ndarray, low: np.ndarray, mass: np.ndarray, d: Discounts) -> tuple[np.ndarray, np.ndarray]:
-    """Of contexts with their counts, numbers of bigrams of counts 1 to K (K by contexts), and p of the words seen: alpha, and a scale of the seen (1, but where no discount leaves mass)."""
+def backoff(count: np.ndarray, present: np.ndarray, low: np.ndarray, mass: np.ndarray, d: Discounts) -> tuple[np.ndarray, np.ndarray]:
+    """Of contexts with their counts, which counts from 1 to K their grams have (bits), how many have each (K by contexts), and
+    the p of the words seen: whether no discount leaves mass, and alpha."""
+    none = (present & sum(1 << (r - 1) for r in range(1, K + 1) if d.d[r] < 1)) == 0
     left = sum((1 - d.d[r]) * r * low[r - 1] for r in range(1, K + 1)) / np.maximum(1, count)
-    none = left <= 1e-12
-    left = np.where(none, 1 / (count + 1), left)
-    return left / np.maximum(1e-300, 1 - mass), np.where(none, count / (count + 1), 1.0)
+    return none, np.where(none, 1 / (count + 1), left) / np.maximum(1e-300, 1 - mass)
 
 
-def _scored(folder: str, buckets: int, starts: int, model: Words, d: Discounts, hot: np.ndarray, hot_low: np.ndarray, hot_mass: np.ndarray):
+def _scored(replay: _Replay):
     schema = arrow_schema(_SCORES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                row, names = _load(folder, r["path"]), _load(folder, r["names"])
-                p = _pairs(row, unpack(names["ids"]), unpack(names["counts"]).astype(np.int64), starts, hot, buckets)
-                asked = {b: x for b, *x in _asked_pairs(p, hot, buckets)}
-                seen = np.zeros(len(p.keys), np.int64)
-                low, mass = np.zeros((K, len(p.contexts)), np.int64), np.zeros(len(p.contexts))
-                for t in r["told"]:
-                    if t["bucket"] in asked:
-                        own, contexts = asked[t["bucket"]]
-                        seen[own] = unpack(t["pairs"])
-                        low[:, contexts] = unpack(t["low"]).reshape(K, -1)
-                        mass[contexts] = np.frombuffer(t["mass"], "<f8")
-                place = np.searchsorted(hot, p.contexts)
-                is_hot = np.isin(p.contexts, hot)
-                low[:, is_hot], mass[is_hot] = hot_low[:, place[is_hot]], hot_mass[place[is_hot]]
-                alpha, scale = backoff(p.context_count, low, mass, d)
-                unigram = model.p(p.count)
-                back = np.where(p.context >= 0, alpha[p.context], 1.0) if len(alpha) else np.ones(len(unigram))
-                prob = back * unigram
-                ok = p.pair >= 0
-                c = np.zeros(len(unigram), np.int64)
-                c[ok] = seen[p.pair[ok]]
-                full = c > 0
-                own = p.context[full]
-                prob[full] = scale[own] * d.of(c[full]) * c[full] / p.context_count[own]
-                ends = np.cumsum(p.sizes) - p.sizes
-                held = np.unpackbits(np.frombuffer(row["held"], np.uint8), count=len(p.sizes)).astype(bool)
-                valid = np.unpackbits(np.frombuffer(row["known"], np.uint8), count=len(p.sizes)).astype(bool)
-                add = lambda x: np.add.reduceat(x, ends)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["ids"], "<i8"), mask=~valid), pa.array(held), pa.array(p.sizes), pa.array(add((p.count > 0).astype(np.int64))), pa.array(np.full(len(p.sizes), model.n)), pa.array(add(model.base(p.count))), pa.array(add(np.log10(prob)))], schema=schema)
+                row, orders = replay.of(r)
+                t = orders[0][0]
+                model, prob = replay.model, replay.model.p(t.count)
+                for level, (own, g, f) in zip(replay.levels, orders[1:], strict=True):
+                    seen = own.count > 0
+                    back = (g.context >= 0) & ~seen
+                    prob[back] *= f.alpha[g.context[back]]
+                    prob[seen] = level.d.of(own.count[seen]) * own.count[seen] / own.over[seen]
+                n = np.diff(t.first, append=len(t.word))
+                held = np.unpackbits(np.frombuffer(row["held"], np.uint8), count=len(n)).astype(bool)
+                valid = np.unpackbits(np.frombuffer(row["known"], np.uint8), count=len(n)).astype(bool)
+                add = lambda x: np.add.reduceat(x, t.first)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["ids"], "<i8"), mask=~valid), pa.array(held), pa.array(n), pa.array(add((t.count > 0).astype(np.int64))), pa.array(np.full(len(n), model.n)), pa.array(add(model.base(t.count))), pa.array(add(np.log10(prob)))], schema=schema)
 
     return run
 
 
-def score(docs: DataFrame, held_out, folder: str | None = None, keep_model: bool = True) -> DataFrame:
+def _by_chunk(answers: DataFrame, *names: str) -> DataFrame:
+    return answers.filter("chunk >= 0").groupBy("chunk").agg(*([F.first("path").alias("path")] if "path" in answers.columns else []), F.collect_list(F.struct("bucket", *names)).alias("told"))
+
+
+def score(docs: DataFrame, held_out, order: int = ORDER, folder: str | None = None, keep_model: bool = True) -> DataFrame:
     """docs (doc_id, text), held_out: a Column, true for rows that don't teach. Columns as in _SCORES.
 
-    keep_model: the table of answers also keeps the bigrams of each bucket (keys and counts) in its rows with chunk -1.
+    order: words of the longest gram. keep_model: the tables of answers also keep the grams of each bucket (contexts, words
+    and counts) in their rows with chunk -1.
     """
     spark = docs.sparkSession
     ship(spark)
     folder = folder or scratch(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
     chunks = materialise(rows.mapInArrow(_read_chunks(folder), _CHUNKS), folder)
-    n_words, n_pairs, n_chunks, texts = chunks.agg(F.sum("words"), F.sum("pairs"), F.count("*"), F.sum("texts")).first()
+    n_words, n_tokens, n_chunks, texts = chunks.agg(F.sum("words"), F.sum("tokens"), F.count("*"), F.sum("texts")).first()
     starts = texts or 0  # training texts: occurrences of the start as a context
     least = partitions(spark)
     word_buckets = max(least, -(-(n_words or 0) // WORD_BUCKET))
-    buckets = max(least, -(-(n_pairs or 0) // PAIR_BUCKET))
+    buckets = max(least, -(-(n_tokens or 0) // GRAM_BUCKET))
     chunks = chunks.repartition(max(least, min(n_chunks or 1, 4 * least)), "chunk")
 
     asked = chunks.mapInArrow(_ask_words(folder, word_buckets), _WORD_ASK)
-    told = materialise(asked.groupBy("bucket").applyInArrow(_tell_words(word_buckets), _WORD_TOLD), folder)
-    table = told.filter("chunk = -1")
-    sums = table.agg(F.sum("n"), F.sum("v"), *(F.sum(F.col("of_counts")[r]) for r in range(1, K + 2))).first()
+    table = materialise(asked.groupBy("bucket").applyInArrow(_tell_words(word_buckets), _WORD_TOLD), folder)
+    sums = table.filter("chunk = -1").agg(F.sum("n"), F.sum("v"), *(F.sum(F.col("of_counts")[r]) for r in range(1, K + 2))).first()
     model = Words.of(sums[0] or 0, sums[1] or 0, [0, *(x or 0 for x in sums[2:])])
-    # contexts with more than a bucket's share: fewer than there are buckets
-    hot = _hot_contexts(table, max(1, model.n // buckets))
-    if starts > max(1, model.n // buckets):
-        hot = np.union1d(hot, np.array([START], np.uint64))
-
-    by_chunk = told.filter("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "ids", "counts")).alias("told"))
-    pairs = chunks.select("chunk", "path").join(by_chunk, "chunk").mapInArrow(_ask_pairs(folder, word_buckets, buckets, starts, hot), _PAIR_ASK)
-    answers = materialise(pairs.groupBy("bucket").applyInArrow(_tell_pairs(model, hot, keep_model), _PAIR_TOLD), folder)
-    parts = answers.filter("chunk = -1")
-    counts = parts.agg(*(F.sum(F.col("of_counts")[r]) for r in range(1, K + 2))).first()
-    d = Discounts.good_turing([0, *(x or 0 for x in counts)])
-    hot_low, hot_mass = np.zeros((K, len(hot)), np.int64), np.zeros(len(hot))
-    summed = parts.select("hot", "hot_low", "hot_mass").mapInArrow(_hot_rows, "id long, low array<long>, mass double").groupBy("id").agg(*(F.sum(F.col("low")[r]).alias(f"n{r}") for r in range(K)), F.sum("mass").alias("mass"))
-    for r in summed.collect():  # a row for each hot context: fewer than buckets
-        k = int(np.searchsorted(hot, np.uint64(r["id"])))
-        hot_low[:, k], hot_mass[k] = [r[f"n{i}"] for i in range(K)], r["mass"]
-    final = answers.filter("chunk >= 0").groupBy("chunk").agg(F.first("path").alias("path"), F.first("names").alias("names"), F.collect_list(F.struct("bucket", "pairs", "low", "mass")).alias("told"))
-    return final.mapInArrow(_scored(folder, buckets, starts, model, d, hot, hot_low, hot_mass), _SCORES)
-
-
-def _hot_contexts(table: DataFrame, most: int) -> np.ndarray:
-    """Ids of words with more than `most` occurrences in training, sorted."""
+    told = chunks.select("chunk", "path").join(_by_chunk(table, "ids", "counts"), "chunk")
+    replay = _Replay(folder, model, word_buckets, starts, ())
+    lower, most = model.discounts, max(1, model.n // buckets)
+    for m in range(2, order + 1):
+        # contexts with more than a bucket's share: fewer than there are buckets
+        hot = _frequent(table, most, m - 1, buckets)
+        if m == 2 and starts > most:
+            hot = np.union1d(hot, np.array([START], np.uint64))
+        level = Level(m, buckets, hot)
+        table = materialise(told.mapInArrow(_ask(replay, level), _ASK).groupBy("bucket").applyInArrow(_tell(level, lower, keep_model), _TELL), folder)
+        told = _by_chunk(table, *_TOLD)
+        parts = table.filter("chunk = -1")
+        counts = parts.agg(*(F.sum(F.col("of_counts")[r]) for r in range(1, K + 2))).first()
+        lower = Discounts.good_turing([0, *(x or 0 for x in counts)])
+        low, mass = np.zeros((K, len(hot)), np.int64), np.zeros(len(hot))
+        summed = parts.select("hot", "hot_low", "hot_mass").mapInArrow(_hot_rows, "id long, low array<long>, mass double").groupBy("id").agg(*(F.sum(F.col("low")[r]).alias(f"n{r}") for r in range(K)), F.sum("mass").alias("mass"))
+        for r in summed.collect():  # a row for each hot context: fewer than buckets
+            k = int(np.searchsorted(hot, np.uint64(r["id"])))
+            low[:, k], mass[k] = [r[f"n{i}"] for i in range(K)], r["mass"]
+        replay = replace(replay, levels=(*replay.levels, replace(level, d=lower, hot_low=low, hot_mass=mass)))
+        spark._jvm.System.gc()  # Spark deletes the files of shuffles that nothing can read any more when the driver's JVM collects
+    return told.mapInArrow(_scored(replay), _SCORES)
+
+
+def _frequent(table: DataFrame, most: int, order: int, buckets: int) -> np.ndarray:
+    """Ids of words or grams with more than `most` occurrences in training, sorted."""
+    names = ("ids", "counts") if order == 1 else ("table_counts",)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema("id long")
         for batch in batches:
-            for ids, counts in zip(column(batch, "ids").to_pylist(), column(batch, "counts").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(unpack(ids)[unpack(counts) > most].astype(np.int64))], schema=schema)
+            for bucket, *lists in zip(*(column(batch, c).to_pylist() for c in ("bucket", *names)), strict=True):
+                counts = unpack(lists[-1])
+                ids = unpack(lists[0]) if order == 1 else _gram_ids(np.arange(len(counts)), bucket, buckets)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[counts > most].astype(np.int64))], schema=schema)
 
-    return np.sort(np.array([r["id"] for r in table.select("ids", "counts").mapInArrow(run, "id long").collect()], np.uint64))
+    return np.sort(np.array([r["id"] for r in table.filter("chunk = -1").select("bucket", *names).mapInArrow(run, "id long").collect()], np.uint64))
 
 
-def held_out_scores(docs: DataFrame) -> DataFrame:
+def held_out_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Learn from the rows whose fold is not 0; score all."""
-    return score(docs, fold("doc_id", 10) == 0)
+    return score(docs, fold("doc_id", 10) == 0, order)

@@ -1,6 +1,7 @@
 """Each operator on small rows with nulls, empty and long texts, ties, repeats and clashing columns, against brute force."""
 
 import base64
+import functools
 import hashlib
 import math
 import random
@@ -287,54 +288,82 @@ def test_search_prunes_where_vectors_lie_in_groups():
     assert (one.score == want[:1]).all() and len(tree.read) < 0.5 * tree.file.num_record_batches
 
 
-def test_katz_scores(docs, empty):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_scores(docs, empty, order):
+    """Scores against the recursion written out, each context's probabilities summed over all words."""
     rows = documents()
     words = lambda t: [x.lower() for x in BLANK.split(t or "") if x] + [None]
     held = [zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0 for d, *_ in rows]
-    one, two, first = Counter(), Counter(), Counter()
+    grams = [Counter() for _ in range(order + 1)]  # by length, of histories of that length less one with a word
     for r, h in zip(rows, held, strict=True):
-        before = "<s>"
+        past = ["<s>"]
         for w in () if h else words(r[1]):
-            one[w] += 1
-            two[before, w] += 1
-            first[before] += 1
-            before = w
+            for m in range(1, min(order, len(past) + 1) + 1):
+                grams[m][(*past[len(past) - m + 1 :], w)] += 1
+            past.append(w)
+    one = {w: c for (w,), c in grams[1].items()}
     n, v = sum(one.values()), len(one)
+    contexts = [Counter() for _ in range(order + 1)]
+    after = [defaultdict(list) for _ in range(order + 1)]
+    for m in range(2, order + 1):
+        for g, c in grams[m].items():
+            contexts[m][g[:-1]] += c
+            after[m][g[:-1]].append(g[-1])
 
     def discount(counts):
         c = Counter(counts.values())
-        d = katz.Discounts.good_turing([c[r] for r in range(katz.K + 2)]).d
-        return lambda x: d[min(x, katz.K + 1)]
-
-    d1, d2 = discount(one), discount(two)
-    unknown = sum((1 - d1(c)) * c for c in one.values()) / n
-    p1 = lambda w: d1(one[w]) * one[w] / n if w in one else unknown
-    left, mass = Counter(), Counter()
-    for (h, w), c in two.items():
-        left[h] += (1 - d2(c)) * c
-        mass[h] += p1(w)
-
-    def p2(h, w):
-        if h not in first:
-            return p1(w)
-        rest, scale = left[h] / first[h], 1.0
-        if rest <= 1e-12:
-            rest, scale = 1 / (first[h] + 1), first[h] / (first[h] + 1)
-        return scale * d2(two[h, w]) * two[h, w] / first[h] if (h, w) in two else rest / (1 - mass[h]) * p1(w)
+        return katz.Discounts.good_turing([c[r] for r in range(katz.K + 2)]).d
+
+    d = [None, *(discount(g) for g in grams[1:])]
+    of = lambda m, c: d[m][min(c, katz.K + 1)]
+    unknown = sum((1 - of(1, c)) * c for c in one.values()) / n
 
-    for h in list(first)[:20]:
-        assert abs(sum(p2(h, w) for w in one) + p2(h, "never seen") - 1) < 1e-9
+    @functools.cache
+    def weights(h):
+        m, c = len(h) + 1, contexts[len(h) + 1][h]
+        rest = sum((1 - of(m, grams[m][(*h, w)])) * grams[m][(*h, w)] for w in after[m][h]) / c
+        scale = 1.0
+        if rest <= 1e-12:
+            rest, scale = 1 / (c + 1), c / (c + 1)
+        return rest / (1 - sum(p(h[1:], w) for w in after[m][h])), scale
+
+    def p(h, w):
+        m = len(h) + 1
+        if not h:
+            return of(1, one[w]) * one[w] / n if w in one else unknown
+        if h not in contexts[m]:
+            return p(h[1:], w)
+        alpha, scale = weights(h)
+        c = grams[m][(*h, w)]
+        return scale * of(m, c) * c / contexts[m][h] if c else alpha * p(h[1:], w)
+
+    for m in range(2, order + 1):
+        for h in list(contexts[m])[:20]:
+            assert abs(sum(p(h, w) for w in one) + p(h, "never seen") - 1) < 1e-9
     want = []
     for r, h in zip(rows, held, strict=True):
-        s, before = 0.0, "<s>"
+        s, past = 0.0, ["<s>"]
         for w in words(r[1]):
-            s += math.log10(p2(before, w))
-            before = w
-        base = sum(math.log10((one[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words(r[1]))
+            s += math.log10(p(tuple(past[max(0, len(past) - order + 1) :]), w))
+            past.append(w)
+        base = sum(math.log10((one.get(w, 0) + 0.1) / (n + 0.1 * (v + 1))) for w in words(r[1]))
         want.append((r[0], h, len(words(r[1])), sum(w in one for w in words(r[1])), n, round(base, 6), round(s, 6)))
-    got = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in katz.held_out_scores(docs).collect()]
+    got = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in katz.held_out_scores(docs, order).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
-    assert katz.held_out_scores(empty).collect() == []
+    assert katz.held_out_scores(empty, order).collect() == []
+
+
+def test_katz_frequent_contexts(spark, monkeypatch):
+    """Contexts, of one word and of two, that are dealt over all buckets: the scores are those of a few large buckets."""
+    r = random.Random(9)
+    df = spark.createDataFrame([(i, " ".join(r.choices("abcde", (9, 4, 2, 1, 1), k=40))) for i in range(9)], "doc_id long, text string").repartition(2)
+    want = {x.doc_id: x.score for x in katz.held_out_scores(df, 3).collect()}
+    monkeypatch.setattr(katz, "GRAM_BUCKET", 15)
+    frequent, found = katz._frequent, []
+    monkeypatch.setattr(katz, "_frequent", lambda *a: found.append(frequent(*a)) or found[-1])
+    got = {x.doc_id: x.score for x in katz.held_out_scores(df, 3).collect()}
+    assert len(found) == 2 and all(map(len, found))
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
 
 
 def test_good_turing_by_hand():
