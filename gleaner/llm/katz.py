@@ -14,8 +14,8 @@ off, what the context's weight is computed from. The tables of words (by bucket
 the context) are the model. A context with more than a bucket's share of all tokens is dealt over all buckets by the next
 word, and its sums are added up from them.
 
-A chunk's words, and the answers of lower orders, lie in files of the shared folder, under names of their task's own, so
-that they aren't shuffled again; rows name the files of the tasks whose output is read.
+A chunk's tokens, and the ids and counts of its words, lie in files of the shared folder, under names of their task's own,
+so that they aren't shuffled; rows name the files of the tasks whose output is read. Hashes of words go once words have ids.
 
 Defined results: a null text is empty and scores its end alone; a null doc_id counts as the empty text in the choice of
 training rows; without training rows every probability is 1; contexts never seen in training back off with weight 1;
@@ -25,6 +25,7 @@ or, if none can be, half a count is taken off each; a context that no discount l
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -36,15 +37,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.language_id import fold
-from gleaner.llm.shared import arrow_schema, column, materialise, mixed, pack, partitions, pieces, scratch, ship, unpack, utf8, word_hashes, words
+from gleaner.llm.shared import arrow_schema, column, drop, materialise, mixed, pack, partitions, pieces, scratch, ship, unpack, utf8, word_hashes, words
 
 #: Bytes of text of a chunk, counts that are discounted, entries of a bucket, about.
-CHUNK, K, WORD_BUCKET, GRAM_BUCKET = 3 << 20, 5, 2_000_000, 1_000_000
+CHUNK, K, WORD_BUCKET, GRAM_BUCKET = 4 << 20, 5, 2_000_000, 1_000_000
 #: Words of the longest gram.
 ORDER = 3
 #: Ids: 0 for a word that training never saw, 1 for the start; the end is a word like others, named by this hash.
 UNKNOWN, START = 0, 1
 END_HASH = 0xE0D0E0D0E0D0E0D1
+_REPEATED = 64  # no first byte of pack()
 
 
 @dataclass(frozen=True)
@@ -93,11 +95,33 @@ class Words:
         return np.log10((counts + 0.1) / (self.n + 0.1 * (self.v + 1)))
 
 
-def _store(folder: str, row: dict) -> str:
+def pack_repeated(x: np.ndarray) -> bytes:
+    """Integers that repeat: their distinct values and each one's place among these, if that is shorter than pack()."""
+    values, at = np.unique(x, return_inverse=True)
+    head = pack(values, True)
+    return min(pack(x), bytes([_REPEATED]) + len(head).to_bytes(8, "little") + head + pack(at.reshape(-1)), key=len)
+
+
+def unpack_repeated(b: bytes) -> np.ndarray:
+    if b[0] != _REPEATED:
+        return unpack(b)
+    end = 9 + int.from_bytes(b[1:9], "little")
+    return unpack(b[9:end])[unpack(b[end:]).astype(np.int64)]
+
+
+def _delete(folder: str, names: list[str], spark) -> None:
+    """Files that no later job reads, once the table that was made from them is written."""
+    fs = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in names:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"), True)
+
+
+def _store(folder: str, row: dict, kind: str = "chunk") -> str:
     from pyarrow.fs import FileSystem
 
     fs, root = FileSystem.from_uri(folder)
-    path = f"{root}/{uuid.uuid4().hex}.chunk"
+    path = f"{root}/{kind}/{uuid.uuid4().hex}"
+    fs.create_dir(f"{root}/{kind}")
     with fs.open_output_stream(path) as f:
         pq.write_table(pa.Table.from_pylist([row]), f, compression="none")
     return path
@@ -170,8 +194,8 @@ def _read_chunks(folder: str):
             token = number[inverse.reshape(-1)]
             train = np.bincount(token[np.repeat(~held, sizes)], minlength=len(own))
             ids = column(batch, "doc_id")
-            row = {"tokens": pack(token), "sizes": pack(sizes), "hashes": pack(own[rank]), "train": pack(train), "held": np.packbits(held).tobytes(), "known": np.packbits(np.array(ids.is_valid())).tobytes(), "ids": np.array(ids.fill_null(0)).astype("<i8").tobytes()}
-            yield pa.RecordBatch.from_pylist([{"chunk": part << 32 | n, "path": _store(folder, row), "words": len(own), "tokens": len(h), "texts": int((~held).sum())}], schema=schema)
+            row = {"tokens": pack(token), "sizes": pack(sizes), "held": np.packbits(held).tobytes(), "known": np.packbits(np.array(ids.is_valid())).tobytes(), "ids": np.array(ids.fill_null(0)).astype("<i8").tobytes()}
+            yield pa.RecordBatch.from_pylist([{"chunk": part << 32 | n, "path": _store(folder, row) + "\n" + _store(folder, {"hashes": pack(own[rank]), "train": pack(train)}, "asked"), "words": len(own), "tokens": len(h), "texts": int((~held).sum())}], schema=schema)
 
     return run
 
@@ -185,7 +209,7 @@ def _ask_words(folder: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, path in zip(column(batch, "chunk").to_pylist(), column(batch, "path").to_pylist(), strict=True):
-                row = _load(folder, path)
+                row = _load(folder, path.split("\n")[1])
                 hashes, train = unpack(row["hashes"]), unpack(row["train"])
                 order, at = _asked_words(hashes, buckets)
                 out = [{"bucket": b, "chunk": chunk, "hashes": pack(hashes[order[i:j]], True), "train": pack(train[order[i:j]])} for b, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
@@ -211,7 +235,9 @@ def _tell_words(buckets: int):
         train = np.concatenate([unpack(b) for b in column(table, "train").to_pylist()])
         every, inverse = np.unique(np.concatenate(asked), return_inverse=True)
         total = np.bincount(inverse.reshape(-1), train, minlength=len(every)).astype(np.int64)
-        ids = np.where(total > 0, 2 + np.arange(len(every)) * buckets + bucket, UNKNOWN)
+        rank = np.empty(len(every), np.int64)
+        rank[np.argsort(-total, kind="stable")] = np.arange(len(every))  # frequent words get small ids, which pack well
+        ids = np.where(total > 0, 2 + rank * buckets + bucket, UNKNOWN)
         if len(every) and int(ids.max()) >= 1 << 32:
             raise ValueError("more than 2^32 words")
         out = [{"bucket": bucket, "chunk": -1, "ids": pack(ids), "counts": pack(total), "n": int(total.sum()), "v": int((total > 0).sum()), "of_counts": _count_of_counts(total)}]
@@ -274,17 +300,23 @@ class Found:
     alpha: np.ndarray  # of each context: its backoff weight, if the chunk needs it
 
 
-def _words_of(row: dict, told: list[dict], buckets: int, model: Words) -> Tokens:
-    hashes = unpack(row["hashes"])
+def _named(folder: str, path: str, told: list[dict], buckets: int) -> str:
+    """Store the ids and counts of a chunk's words beside its tokens; the path of both."""
+    path, asked = path.split("\n")
+    hashes = unpack(_load(folder, asked)["hashes"])
     order, at = _asked_words(hashes, buckets)
     ids, counts = np.zeros(len(hashes), np.uint64), np.zeros(len(hashes), np.int64)
     for t in told:
         own = order[at[t["bucket"]] : at[t["bucket"] + 1]]
         ids[own], counts[own] = unpack(t["ids"]), unpack(t["counts"])
+    return path + "\n" + _store(folder, {"ids": pack(ids), "counts": pack(counts)})
+
+
+def _words_of(row: dict, names: dict, model: Words) -> Tokens:
     token, sizes = unpack(row["tokens"]).astype(np.int64), unpack(row["sizes"]).astype(np.int64)
     held = np.unpackbits(np.frombuffer(row["held"], np.uint8), count=len(sizes)).astype(bool)
-    word = ids[token]
-    return Tokens(np.cumsum(sizes) - sizes, np.repeat(~held, sizes), word, word, counts[token], np.full(len(word), model.n + (model.scale < 1)))
+    word = unpack(names["ids"])[token]
+    return Tokens(np.cumsum(sizes) - sizes, np.repeat(~held, sizes), word, word, unpack(names["counts"]).astype(np.int64)[token], np.full(len(word), model.n + (model.scale < 1)))
 
 
 def _grams(t: Tokens, level: Level, starts: int) -> Grams:
@@ -326,23 +358,20 @@ _ASK = "bucket int, chunk long, path string, contexts binary, over binary, lengt
 
 @dataclass(frozen=True)
 class _Replay:
-    """A chunk's tokens at the order that `told` answers, from the chunk's files and what is known of all orders below."""
+    """A chunk's tokens at all orders so far, from its files and what the buckets of these orders told."""
 
     folder: str
     model: Words
-    word_buckets: int
     starts: int
     levels: tuple[Level, ...]
 
-    def of(self, r: dict) -> tuple[dict, list[tuple[Tokens, Grams | None, Found | None]]]:
-        path, *more = r["path"].split("\n")
-        row = _load(self.folder, path)
-        told = [*(_load(self.folder, m)["told"] for m in more), r["told"]]
-        out = [(_words_of(row, told[0], self.word_buckets, self.model), None, None)]
-        for level, answers in zip(self.levels, told[1:], strict=True):
+    def of(self, path: str, told: list[dict]) -> tuple[dict, list[tuple[Tokens, Grams | None, Found | None]]]:
+        row, names = (_load(self.folder, p) for p in path.split("\n"))
+        out = [(_words_of(row, names, self.model), None, None)]
+        for level in self.levels:
             t = out[-1][0]
             g = _grams(t, level, self.starts)
-            f = _found(g, answers, level)
+            f = _found(g, [t for t in told if t["order"] == level.order], level)
             ok, known = g.gram >= 0, g.context >= 0
             ids, count, over = np.zeros(len(ok), np.uint64), np.zeros(len(ok), np.int64), np.ones(len(ok), np.int64)
             ids[ok], count[ok] = f.id[g.gram[ok]], f.total[g.gram[ok]]
@@ -351,17 +380,19 @@ class _Replay:
         return row, out
 
 
-def _ask(replay: _Replay, level: Level):
+def _ask(replay: _Replay, level: Level, word_buckets: int):
     schema = arrow_schema(_ASK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                path = r["path"] + "\n" + _store(replay.folder, {"told": r["told"]})
-                g = _grams(replay.of(r)[1][-1][0], level, replay.starts)
+                path, told = r["path"], r["told"]
+                if level.order == 2:
+                    path, told = _named(replay.folder, path, told, word_buckets), []
+                g = _grams(replay.of(path, told)[1][-1][0], level, replay.starts)
                 out = []
                 for b, own, contexts, lengths in _asked(g, level.buckets):
-                    out.append({"bucket": b, "chunk": r["chunk"], "path": path, "contexts": pack(g.contexts[contexts], True), "over": pack(g.lower_over[contexts]), "lengths": pack(lengths), "words": pack(g.word[own]), "train": pack(g.train[own]), "counts": pack(g.lower_count[own])})
+                    out.append({"bucket": b, "chunk": r["chunk"], "path": path, "contexts": pack(g.contexts[contexts], True), "over": pack_repeated(g.lower_over[contexts]), "lengths": pack(lengths), "words": pack_repeated(g.word[own]), "train": pack(g.train[own]), "counts": pack_repeated(g.lower_count[own])})
                 none = pack(np.zeros(0))
                 yield pa.RecordBatch.from_pylist(out or [{"bucket": 0, "chunk": r["chunk"], "path": path, **dict.fromkeys(("contexts", "over", "lengths", "words", "train", "counts"), none)}], schema=schema)
 
@@ -383,7 +414,7 @@ def _tell(level: Level, lower: Discounts, keep: bool):
     def run(table: pa.Table) -> pa.Table:
         bucket = column(table, "bucket")[0].as_py()
         each = {c: [unpack(b) for b in column(table, c).to_pylist()] for c in ("contexts", "lengths")}
-        whole = lambda c: np.concatenate([unpack(b) for b in column(table, c).to_pylist()])
+        whole = lambda c: np.concatenate([unpack_repeated(b) for b in column(table, c).to_pylist()])
         lengths = np.concatenate(each["lengths"]).astype(np.int64)
         contexts, first, of = np.unique(np.concatenate(each["contexts"]), return_index=True, return_inverse=True)
         of, over = of.reshape(-1), whole("over")[first].astype(np.int64)
@@ -406,7 +437,7 @@ def _tell(level: Level, lower: Discounts, keep: bool):
         out = [{"bucket": bucket, "chunk": -1, "of_counts": _count_of_counts(total), "hot": pack(contexts[part]), "hot_low": pack(low[:, part].reshape(-1)), "hot_mass": mass[part].astype("<f8").tobytes(), "table_counts": pack(total[seen])}]
         if keep:
             names, n = np.unique(owner[seen], return_counts=True)
-            out[0] |= {"table_contexts": pack(contexts[names], True), "table_lengths": pack(n), "table_words": pack(every[seen] & np.uint64(0xFFFFFFFF))}
+            out[0] |= {"table_contexts": pack(contexts[names], True), "table_lengths": pack(n), "table_words": pack_repeated(every[seen] & np.uint64(0xFFFFFFFF))}
         grams, places = np.cumsum([0, *(int(n.sum()) for n in each["lengths"])]), np.cumsum([0, *map(len, each["contexts"])])
         for i, (chunk, path) in enumerate(zip(column(table, "chunk").to_pylist(), column(table, "path").to_pylist(), strict=True)):
             own, at = inverse[grams[i] : grams[i + 1]], of[places[i] : places[i + 1]]
@@ -465,7 +496,7 @@ def _scored(replay: _Replay):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                row, orders = replay.of(r)
+                row, orders = replay.of(r["path"], r["told"])
                 t = orders[0][0]
                 model, prob = replay.model, replay.model.p(t.count)
                 for level, (own, g, f) in zip(replay.levels, orders[1:], strict=True):
@@ -482,8 +513,11 @@ def _scored(replay: _Replay):
     return run
 
 
-def _by_chunk(answers: DataFrame, *names: str) -> DataFrame:
-    return answers.filter("chunk >= 0").groupBy("chunk").agg(*([F.first("path").alias("path")] if "path" in answers.columns else []), F.collect_list(F.struct("bucket", *names)).alias("told"))
+def _by_chunk(tables: dict[int, DataFrame]) -> DataFrame:
+    """What the tables of answers, by order, tell each chunk."""
+    rows = [t.filter("chunk >= 0").select("chunk", "path", F.lit(m).alias("order"), "bucket", *_TOLD) for m, t in tables.items()]
+    every = functools.reduce(DataFrame.unionAll, rows)
+    return every.groupBy("chunk").agg(F.first("path").alias("path"), F.collect_list(F.struct("order", "bucket", *_TOLD)).alias("told"))
 
 
 def score(docs: DataFrame, held_out, order: int = ORDER, folder: str | None = None, keep_model: bool = True) -> DataFrame:
@@ -506,19 +540,26 @@ def score(docs: DataFrame, held_out, order: int = ORDER, folder: str | None = No
 
     asked = chunks.mapInArrow(_ask_words(folder, word_buckets), _WORD_ASK)
     table = materialise(asked.groupBy("bucket").applyInArrow(_tell_words(word_buckets), _WORD_TOLD), folder)
+    named = table
+    if keep_model:
+        materialise(table.filter("chunk = -1"), folder)
     sums = table.filter("chunk = -1").agg(F.sum("n"), F.sum("v"), *(F.sum(F.col("of_counts")[r]) for r in range(1, K + 2))).first()
     model = Words.of(sums[0] or 0, sums[1] or 0, [0, *(x or 0 for x in sums[2:])])
-    told = chunks.select("chunk", "path").join(_by_chunk(table, "ids", "counts"), "chunk")
-    replay = _Replay(folder, model, word_buckets, starts, ())
+    by_chunk = table.filter("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "ids", "counts")).alias("told"))
+    told = chunks.select("chunk", "path").join(by_chunk, "chunk")
+    replay, tables = _Replay(folder, model, starts, ()), {}
     lower, most = model.discounts, max(1, model.n // buckets)
+    if order < 2:
+        raise ValueError("an order of two at least")
     for m in range(2, order + 1):
         # contexts with more than a bucket's share: fewer than there are buckets
         hot = _frequent(table, most, m - 1, buckets)
         if m == 2 and starts > most:
             hot = np.union1d(hot, np.array([START], np.uint64))
         level = Level(m, buckets, hot)
-        table = materialise(told.mapInArrow(_ask(replay, level), _ASK).groupBy("bucket").applyInArrow(_tell(level, lower, keep_model), _TELL), folder)
-        told = _by_chunk(table, *_TOLD)
+        table = materialise(told.mapInArrow(_ask(replay, level, word_buckets), _ASK).groupBy("bucket").applyInArrow(_tell(level, lower, keep_model), _TELL), folder)
+        tables[m] = table
+        told = _by_chunk(tables)
         parts = table.filter("chunk = -1")
         counts = parts.agg(*(F.sum(F.col("of_counts")[r]) for r in range(1, K + 2))).first()
         lower = Discounts.good_turing([0, *(x or 0 for x in counts)])
@@ -528,6 +569,9 @@ def score(docs: DataFrame, held_out, order: int = ORDER, folder: str | None = No
             k = int(np.searchsorted(hot, np.uint64(r["id"])))
             low[:, k], mass[k] = [r[f"n{i}"] for i in range(K)], r["mass"]
         replay = replace(replay, levels=(*replay.levels, replace(level, d=lower, hot_low=low, hot_mass=mass)))
+        if m == 2:
+            _delete(folder, ["asked"], spark)
+            drop(named)
         spark._jvm.System.gc()  # Spark deletes the files of shuffles that nothing can read any more when the driver's JVM collects
     return told.mapInArrow(_scored(replay), _SCORES)
 
