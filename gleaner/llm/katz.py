@@ -9,13 +9,14 @@ ends with an end, which is only a word; its first words have no more words befor
 Counts never become a row for each token. Texts are taken in chunks of CHUNK bytes; a chunk asks, in one packed list for
 each bucket of words, for the ids and counts of its distinct words, and then, order by order, in one for each bucket of
 contexts, for the counts of its distinct grams. A bucket adds up what the chunks' training texts bring and answers each
-chunk in the order it asked: counts, ids (a gram's id names it as a context of the next order), and, where the chunk backs
-off, what the context's weight is computed from. The tables of words (by bucket of the word) and of grams (by bucket of
-the context) are the model. A context with more than a bucket's share of all tokens is dealt over all buckets by the next
-word, and its sums are added up from them.
+chunk in the order it asked: counts, ids (a gram's id names it as a context of the next order; the last order has none), and,
+where the chunk backs off, what the context's weight is computed from. The tables of words (by bucket of the word) and of
+grams (by bucket of the context) are the model. A context with more than a bucket's share of all tokens is dealt over all
+buckets by the next word, and its sums are added up from them.
 
-A chunk's tokens, and the ids and counts of its words, lie in files of the shared folder, under names of their task's own,
-so that they aren't shuffled; rows name the files of the tasks whose output is read. Hashes of words go once words have ids.
+A chunk's tokens, the ids and counts of its words, and what it was told at each order but the last lie in files of the shared
+folder, under names of their task's own, so that they aren't shuffled again; rows name the files of the tasks whose output is
+read. Hashes of words go once words have ids, and a table's answers once they lie in the chunks' files.
 
 Defined results: a null text is empty and scores its end alone; a null doc_id counts as the empty text in the choice of
 training rows; without training rows every probability is 1; contexts never seen in training back off with weight 1;
@@ -25,7 +26,6 @@ or, if none can be, half a count is taken off each; a context that no discount l
 
 from __future__ import annotations
 
-import functools
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -123,7 +123,7 @@ def _store(folder: str, row: dict, kind: str = "chunk") -> str:
     path = f"{root}/{kind}/{uuid.uuid4().hex}"
     fs.create_dir(f"{root}/{kind}")
     with fs.open_output_stream(path) as f:
-        pq.write_table(pa.Table.from_pylist([row]), f, compression="none")
+        pq.write_table(pa.Table.from_pylist([row]), f, compression="none", write_statistics=False)
     return path
 
 
@@ -353,25 +353,25 @@ def _needy(total: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.add.reduceat(total == 0, np.cumsum(lengths) - lengths)) if len(lengths) else np.zeros(0, np.int64)
 
 
-_ASK = "bucket int, chunk long, path string, contexts binary, over binary, lengths binary, words binary, train binary, counts binary"
+_ASK = "bucket int, chunk long, path string, contexts binary, lengths binary, words binary, train binary, counts binary"
 
 
 @dataclass(frozen=True)
 class _Replay:
-    """A chunk's tokens at all orders so far, from its files and what the buckets of these orders told."""
+    """A chunk's tokens at all orders so far, from its files and, if that isn't in one, what the last order's buckets told."""
 
     folder: str
     model: Words
     starts: int
     levels: tuple[Level, ...]
 
-    def of(self, path: str, told: list[dict]) -> tuple[dict, list[tuple[Tokens, Grams | None, Found | None]]]:
-        row, names = (_load(self.folder, p) for p in path.split("\n"))
+    def of(self, path: str, *last: list[dict]) -> tuple[dict, list[tuple[Tokens, Grams | None, Found | None]]]:
+        row, names, *files = (_load(self.folder, p) for p in path.split("\n"))
         out = [(_words_of(row, names, self.model), None, None)]
-        for level in self.levels:
+        for level, told in zip(self.levels, [*(f["told"] for f in files), *last], strict=True):
             t = out[-1][0]
             g = _grams(t, level, self.starts)
-            f = _found(g, [t for t in told if t["order"] == level.order], level)
+            f = _found(g, told, level)
             ok, known = g.gram >= 0, g.context >= 0
             ids, count, over = np.zeros(len(ok), np.uint64), np.zeros(len(ok), np.int64), np.ones(len(ok), np.int64)
             ids[ok], count[ok] = f.id[g.gram[ok]], f.total[g.gram[ok]]
@@ -386,15 +386,13 @@ def _ask(replay: _Replay, level: Level, word_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                path, told = r["path"], r["told"]
-                if level.order == 2:
-                    path, told = _named(replay.folder, path, told, word_buckets), []
-                g = _grams(replay.of(path, told)[1][-1][0], level, replay.starts)
+                path = _named(replay.folder, r["path"], r["told"], word_buckets) if level.order == 2 else r["path"]
+                g = _grams(replay.of(path)[1][-1][0], level, replay.starts)
                 out = []
                 for b, own, contexts, lengths in _asked(g, level.buckets):
-                    out.append({"bucket": b, "chunk": r["chunk"], "path": path, "contexts": pack(g.contexts[contexts], True), "over": pack_repeated(g.lower_over[contexts]), "lengths": pack(lengths), "words": pack_repeated(g.word[own]), "train": pack(g.train[own]), "counts": pack_repeated(g.lower_count[own])})
+                    out.append({"bucket": b, "chunk": r["chunk"], "path": path, "contexts": pack(g.contexts[contexts], True), "lengths": pack(lengths), "words": pack_repeated(g.word[own]), "train": pack(g.train[own]), "counts": pack_repeated(g.lower_count[own])})
                 none = pack(np.zeros(0))
-                yield pa.RecordBatch.from_pylist(out or [{"bucket": 0, "chunk": r["chunk"], "path": path, **dict.fromkeys(("contexts", "over", "lengths", "words", "train", "counts"), none)}], schema=schema)
+                yield pa.RecordBatch.from_pylist(out or [{"bucket": 0, "chunk": r["chunk"], "path": path, **dict.fromkeys(("contexts", "lengths", "words", "train", "counts"), none)}], schema=schema)
 
     return run
 
@@ -403,9 +401,10 @@ _TOLD = ("totals", "ranks", "present", "low", "mass")
 _TELL = "bucket int, chunk long, path string, totals binary, ranks binary, present binary, low binary, mass binary, of_counts array<long>, hot binary, hot_low binary, hot_mass binary, table_contexts binary, table_lengths binary, table_words binary, table_counts binary"
 
 
-def _tell(level: Level, lower: Discounts, keep: bool):
-    """A bucket's answers: counts and ranks of grams; of contexts which counts from 1 to K occur, and, where a gram has none,
-    how many grams have each of them and the p of the words seen.
+def _tell(level: Level, lower: Discounts, keep: bool, last: bool):
+    """A bucket's answers: counts and, but for the last order, ranks of grams; of contexts which counts from 1 to K occur, and,
+    where a gram has none, how many grams have each of them and the discounted counts of the words seen in the order below
+    (the chunk knows what these are divided by).
 
     The row with chunk -1 has the bucket's counts of counts, its parts of the sums of hot contexts, and its grams.
     """
@@ -416,21 +415,21 @@ def _tell(level: Level, lower: Discounts, keep: bool):
         each = {c: [unpack(b) for b in column(table, c).to_pylist()] for c in ("contexts", "lengths")}
         whole = lambda c: np.concatenate([unpack_repeated(b) for b in column(table, c).to_pylist()])
         lengths = np.concatenate(each["lengths"]).astype(np.int64)
-        contexts, first, of = np.unique(np.concatenate(each["contexts"]), return_index=True, return_inverse=True)
-        of, over = of.reshape(-1), whole("over")[first].astype(np.int64)
+        contexts, of = np.unique(np.concatenate(each["contexts"]), return_inverse=True)
+        of = of.reshape(-1)
         every, first, inverse = np.unique(np.repeat(of, lengths).astype(np.uint64) << np.uint64(32) | whole("words"), return_index=True, return_inverse=True)
         inverse = inverse.reshape(-1)
         total = np.bincount(inverse, whole("train"), minlength=len(every)).astype(np.int64)
         owner, seen = (every >> np.uint64(32)).astype(np.int64), total > 0
         count = whole("counts")[first].astype(np.int64)
         # a gram that was seen was seen without its first word, too: no recursion here
-        p = np.where(seen, lower.of(count) * count / over[owner], 0.0)
+        part_of_mass = np.where(seen, lower.of(count) * count, 0.0)
         low, mass = np.zeros((K, len(contexts)), np.int64), np.zeros(len(contexts))
         if len(contexts):
             start = np.searchsorted(owner, np.arange(len(contexts)))
             for r in range(1, K + 1):
                 low[r - 1] = np.add.reduceat((total == r).astype(np.int64), start)
-            mass = np.add.reduceat(p, start)
+            mass = np.add.reduceat(part_of_mass, start)
         present = sum((low[r] > 0).astype(np.int64) << r for r in range(K))
         rank = np.maximum(np.cumsum(seen) - 1, 0)
         part = np.flatnonzero(np.isin(contexts, level.hot))
@@ -442,7 +441,7 @@ def _tell(level: Level, lower: Discounts, keep: bool):
         for i, (chunk, path) in enumerate(zip(column(table, "chunk").to_pylist(), column(table, "path").to_pylist(), strict=True)):
             own, at = inverse[grams[i] : grams[i + 1]], of[places[i] : places[i + 1]]
             need = at[_needy(total[own], lengths[places[i] : places[i + 1]])]
-            out.append({"bucket": bucket, "chunk": chunk, "path": path, "totals": pack(total[own]), "ranks": pack(rank[own], True), "present": pack(present[at]), "low": pack(low[:, need].reshape(-1)), "mass": mass[need].astype("<f8").tobytes()})
+            out.append({"bucket": bucket, "chunk": chunk, "path": path, "totals": pack(total[own]), "ranks": None if last else pack(rank[own], True), "present": pack(present[at]), "low": pack(low[:, need].reshape(-1)), "mass": mass[need].astype("<f8").tobytes()})
         return pa.Table.from_pylist(out, schema=schema)
 
     return run
@@ -468,7 +467,9 @@ def _found(g: Grams, told: list[dict], level: Level) -> Found:
     for t in told:
         if t["bucket"] in asked:
             own, contexts, lengths = asked[t["bucket"]]
-            total[own], ids[own], present[contexts] = unpack(t["totals"]), _gram_ids(unpack(t["ranks"]), t["bucket"], level.buckets), unpack(t["present"])
+            total[own], present[contexts] = unpack(t["totals"]), unpack(t["present"])
+            if t["ranks"] is not None:
+                ids[own] = _gram_ids(unpack(t["ranks"]), t["bucket"], level.buckets)
             need = contexts[_needy(total[own], lengths)]
             low[:, need], mass[need] = unpack(t["low"]).reshape(K, -1), np.frombuffer(t["mass"], "<f8")
     ids[total == 0] = 0
@@ -476,7 +477,7 @@ def _found(g: Grams, told: list[dict], level: Level) -> Found:
     place = np.searchsorted(level.hot, g.contexts[is_hot])
     low[:, is_hot], mass[is_hot] = level.hot_low[:, place], level.hot_mass[place]
     present[is_hot] = sum((level.hot_low[r, place] > 0).astype(np.int64) << r for r in range(K))
-    return Found(total, ids, *backoff(g.context_count, present, low, mass, level.d))
+    return Found(total, ids, *backoff(g.context_count, present, low, mass / g.lower_over, level.d))
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -513,18 +514,31 @@ def _scored(replay: _Replay):
     return run
 
 
-def _by_chunk(tables: dict[int, DataFrame]) -> DataFrame:
-    """What the tables of answers, by order, tell each chunk."""
-    rows = [t.filter("chunk >= 0").select("chunk", "path", F.lit(m).alias("order"), "bucket", *_TOLD) for m, t in tables.items()]
-    every = functools.reduce(DataFrame.unionAll, rows)
-    return every.groupBy("chunk").agg(F.first("path").alias("path"), F.collect_list(F.struct("order", "bucket", *_TOLD)).alias("told"))
+def _by_chunk(table: DataFrame) -> DataFrame:
+    """What a table of answers tells each chunk."""
+    return table.filter("chunk >= 0").groupBy("chunk").agg(F.first("path").alias("path"), F.collect_list(F.struct("bucket", *_TOLD)).alias("told"))
+
+
+_PATHS = "chunk long, path string"
+
+
+def _kept(folder: str):
+    """Store what a chunk was told beside its other files; the path of all."""
+    schema = arrow_schema(_PATHS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield pa.RecordBatch.from_pylist([{"chunk": r["chunk"], "path": r["path"] + "\n" + _store(folder, {"told": r["told"]})}], schema=schema)
+
+    return run
 
 
 def score(docs: DataFrame, held_out, order: int = ORDER, folder: str | None = None, keep_model: bool = True) -> DataFrame:
     """docs (doc_id, text), held_out: a Column, true for rows that don't teach. Columns as in _SCORES.
 
-    order: words of the longest gram. keep_model: the tables of answers also keep the grams of each bucket (contexts, words
-    and counts) in their rows with chunk -1.
+    order: words of the longest gram. keep_model: the words and the grams of each bucket (contexts, words and counts) stay in
+    tables of the folder, in rows with chunk -1, that of the last order beside its answers.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -536,7 +550,8 @@ def score(docs: DataFrame, held_out, order: int = ORDER, folder: str | None = No
     least = partitions(spark)
     word_buckets = max(least, -(-(n_words or 0) // WORD_BUCKET))
     buckets = max(least, -(-(n_tokens or 0) // GRAM_BUCKET))
-    chunks = chunks.repartition(max(least, min(n_chunks or 1, 4 * least)), "chunk")
+    tasks = max(least, min(n_chunks or 1, 4 * least))
+    chunks = chunks.repartition(tasks, "chunk")
 
     asked = chunks.mapInArrow(_ask_words(folder, word_buckets), _WORD_ASK)
     table = materialise(asked.groupBy("bucket").applyInArrow(_tell_words(word_buckets), _WORD_TOLD), folder)
@@ -547,7 +562,7 @@ def score(docs: DataFrame, held_out, order: int = ORDER, folder: str | None = No
     model = Words.of(sums[0] or 0, sums[1] or 0, [0, *(x or 0 for x in sums[2:])])
     by_chunk = table.filter("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "ids", "counts")).alias("told"))
     told = chunks.select("chunk", "path").join(by_chunk, "chunk")
-    replay, tables = _Replay(folder, model, starts, ()), {}
+    replay = _Replay(folder, model, starts, ())
     lower, most = model.discounts, max(1, model.n // buckets)
     if order < 2:
         raise ValueError("an order of two at least")
@@ -557,9 +572,8 @@ def score(docs: DataFrame, held_out, order: int = ORDER, folder: str | None = No
         if m == 2 and starts > most:
             hot = np.union1d(hot, np.array([START], np.uint64))
         level = Level(m, buckets, hot)
-        table = materialise(told.mapInArrow(_ask(replay, level, word_buckets), _ASK).groupBy("bucket").applyInArrow(_tell(level, lower, keep_model), _TELL), folder)
-        tables[m] = table
-        told = _by_chunk(tables)
+        table = materialise(told.mapInArrow(_ask(replay, level, word_buckets), _ASK).groupBy("bucket").applyInArrow(_tell(level, lower, keep_model, m == order), _TELL), folder)
+        told = _by_chunk(table)
         parts = table.filter("chunk = -1")
         counts = parts.agg(*(F.sum(F.col("of_counts")[r]) for r in range(1, K + 2))).first()
         lower = Discounts.good_turing([0, *(x or 0 for x in counts)])
@@ -573,6 +587,12 @@ def score(docs: DataFrame, held_out, order: int = ORDER, folder: str | None = No
             _delete(folder, ["asked"], spark)
             drop(named)
         spark._jvm.System.gc()  # Spark deletes the files of shuffles that nothing can read any more when the driver's JVM collects
+        if m < order:
+            told = materialise(told.mapInArrow(_kept(folder), _PATHS), folder).repartition(tasks, "chunk")
+            parts = materialise(parts, folder)
+            drop(table)
+            table = parts
+            spark._jvm.System.gc()
     return told.mapInArrow(_scored(replay), _SCORES)
 
 

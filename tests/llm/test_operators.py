@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.llm import archive, bpe, exact_dedup, katz, language_id, metric_tree, mixing, near_dedup, token_files, url_filter
 from gleaner.llm.shared import retain, ship
@@ -371,6 +372,23 @@ def test_katz_frequent_contexts(spark, monkeypatch):
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
 
 
+def test_katz_keeps_answers_once(spark, tmp_path):
+    """When the last order is scored, what the orders below told lies only in the chunks' files; contexts' sums and last ids aren't sent."""
+    r = random.Random(4)
+    df = spark.createDataFrame([(i, " ".join(r.choices("abcdefgh", k=60))) for i in range(40)], "doc_id long, text string").repartition(3)
+    ship(spark)
+    out = katz.score(df, F.col("doc_id") % 10 == 0, 4, f"file://{tmp_path}")
+    answers = []
+    for folder in (d for d in tmp_path.iterdir() if list(d.glob("part-*.parquet"))):
+        table = spark.read.parquet(str(folder))
+        if "totals" in table.columns:
+            answers.append(table.agg(F.expr("count_if(chunk >= 0)"), F.expr("count_if(chunk < 0 AND table_words IS NOT NULL)"), F.count("ranks")).first())
+    assert sorted(a[0] > 0 for a in answers) == [False, False, True]  # a table for each order above one
+    assert all(a[1] > 0 for a in answers) and not any(a[2] for a in answers)
+    assert "over" not in [x.split()[0] for x in katz._ASK.split(",")]
+    assert out.count() == 40
+
+
 def test_good_turing_by_hand():
     """Katz's discounts from counts of counts, by exact fractions; where they don't exist, fewer counts are discounted."""
     from fractions import Fraction
