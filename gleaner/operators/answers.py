@@ -52,9 +52,9 @@ def check_citations(answers: DataFrame) -> DataFrame:
 
 
 def grounding(answers: DataFrame, evidence: DataFrame) -> DataFrame:
-    """answers (aid, answer), evidence (aid, n, body): the mean share of a citing paragraph's tokens that the cited block has."""
+    """answers (aid, answer), evidence (aid, n, body): the mean share of a citing paragraph's tokens, its citations' numbers apart, that the cited block has."""
     paragraphs = answers.select("aid", F.explode(F.split("answer", "\n")).alias("p")).filter(F.length("p") >= 60)
-    cited = paragraphs.select("aid", F.array_distinct(X.tokens(F.col("p"))).alias("own"), F.explode(F.regexp_extract_all("p", F.lit(r"\[(\d+)\]"), F.lit(1))).alias("c")).withColumn("n", F.col("c").cast("int"))
+    cited = paragraphs.select("aid", F.array_distinct(X.tokens(F.regexp_replace("p", r"\[\d+\]", " "))).alias("own"), F.explode(F.regexp_extract_all("p", F.lit(r"\[(\d+)\]"), F.lit(1))).alias("c")).withColumn("n", F.col("c").cast("int"))
     known = evidence.select("aid", "n", F.array_distinct(X.tokens(F.col("body"))).alias("theirs"))
     both = cited.join(known, ["aid", "n"]).filter((F.size("own") > 0) & (F.size("theirs") > 0))
     return both.groupBy("aid").agg(F.round(F.avg(F.size(F.array_intersect("own", "theirs")) / F.size("own")), 6).alias("grounding"))

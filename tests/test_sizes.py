@@ -24,3 +24,13 @@ def test_names_with_one_character_between_them(spark, tmp_path):
     texts = ["Onelle\nPour mentpach", "Lima-Cusco y Puno Tacna", "Ica.Piura", "Onelle\n\nPour", "Lima", "a Áncash\n", "\nÑandú", "Lima_ Cusco2 Puno", ""]
     got, want = against_sql(spark, tmp_path, "capitalised_names", documents=(list(enumerate(texts)), "doc_id long, text string"))
     assert got == want and dict((int(d), n) for d, n in got)[0] == "onelle"
+
+
+def test_grounding_of_an_answer_that_cites_one_of_many_blocks(spark, tmp_path):
+    text = "the first of many passages that the corpus holds again, and still again"
+    docs = [(d, f"{text} number {d} of all\nanother line of the document {d}, longer than forty characters", "en", "src1") for d in range(120)]
+    bank = [(150, text), (31, text[:55]), (33, text[:56]), (35, "a passage that no document holds, in more than sixty characters")]
+    docs.append((500, f"{text} [7] and what follows it\nan other line of it, longer than forty characters", "en", "src2"))
+    bank.append((41, f"{text} [7] and what follows it"))
+    got, want = against_sql(spark, tmp_path, "grounding_overlap", documents=(docs, "doc_id long, text string, lang string, source string"), benchmark=(bank, "item_id long, text string"))
+    assert got == want and {int(a) for a, _ in got} == {150, 33, 41}
