@@ -106,7 +106,7 @@ def _ranked(name: str, table: str, needs: str, *parts: str):
 
     def run(spark, d):
         index, plan, reqs = _compiled(spark, d)
-        return R.signals(reqs, plan, index)[name].select("qid", "rid", "block_ix", F.round(F.col("score").cast("double"), 6).alias("score"), "rank")
+        return R.signals(reqs, plan, index, only=name)[name].select("qid", "rid", "block_ix", F.round(F.col("score").cast("double"), 6).alias("score"), "rank")
 
     return sql, run
 
@@ -326,10 +326,11 @@ def _states(scores):
 
 
 def _searched(spark, d):
+    """Blocks are looked up among the questions' candidates alone."""
     index, plan, reqs = _compiled(spark, d)
     front = staged(R.frontier(reqs, plan, index))
     scores = staged(front.groupBy("qid", "block_ix").agg(F.round(F.sum("score"), 12).alias("score")))
-    return index, plan, reqs, front, scores
+    return index.narrowed(scores), plan, reqs, front, scores
 
 
 _COVER = f"""wanted AS MATERIALIZED (SELECT qid, rid, kind, mandatory, term, FALSE AS marker FROM (SELECT qid, rid, kind, mandatory, unnest(CASE WHEN len(terms) = 0 THEN [NULL] ELSE {unique('terms')} END) AS term FROM reqs) UNION ALL SELECT qid, rid, kind, mandatory, unnest(markers), TRUE FROM reqs),
@@ -372,7 +373,7 @@ def set_rerank(spark, d):
 @query(with_tables(_ALL, *_CHAIN, _STATES, query=f"SELECT qid, sid, rid, array_to_string(CASE WHEN kind = 'causal' THEN list_concat(list_slice(terms, 1, 3), list_slice(list_filter(markers, lambda m: NOT list_contains(covered, m)), 1, 6)) WHEN len(list_filter(terms, lambda t: NOT list_contains(covered, t))) > 0 THEN {unique('list_filter(terms, lambda t: NOT list_contains(covered, t))')} ELSE terms END, ' ') AS residual FROM reqs JOIN (SELECT qid, sid, list(DISTINCT term) AS covered FROM mine JOIN body_post USING (block_ix) GROUP BY ALL) c USING (qid)"))
 def residual_terms(spark, d):
     index, _, reqs, _, scores = _searched(spark, d)
-    seen = E.members(_states(scores)).join(index.body.select("block_ix", "term"), "block_ix").groupBy("qid", "sid").agg(F.collect_set("term").alias("covered"))
+    seen = E.members(_states(scores)).join(index.blocks.select("block_ix", F.explode("terms").alias("term")), "block_ix").groupBy("qid", "sid").agg(F.collect_set("term").alias("covered"))
     left = E.residual(F.col("terms"), F.col("markers"), F.col("kind"), F.col("covered"))
     return reqs.join(seen, "qid").select("qid", "sid", "rid", F.array_join(left, " ").alias("residual"))
 
@@ -454,7 +455,7 @@ def notices(spark, d):
 def confidence_level(spark, d):
     index, _, reqs, _, scores = _searched(spark, d)
     top = R.top(scores, 3, "qid")
-    held = top.join(index.body.select("block_ix", "term"), "block_ix").groupBy("qid", "block_ix", "rank").agg(F.collect_set("term").alias("have"))
+    held = top.join(index.blocks.select("block_ix", F.explode("terms").alias("term")), "block_ix").groupBy("qid", "block_ix", "rank").agg(F.collect_set("term").alias("have"))
     r1 = reqs.filter("rid = 'r1'").select("qid", F.array_distinct("terms").alias("terms"))
     share = F.when(F.size("terms") > 0, F.size(F.array_intersect("terms", "have")) / F.size("terms"))
     return A.confidence(held.join(r1, "qid").select("qid", F.col("rank").alias("n"), share.alias("coverage")))
@@ -462,7 +463,8 @@ def confidence_level(spark, d):
 
 @query(with_tables(_ALL, *_CHAIN, query="SELECT qid, CAST(retrieval AS BIGINT) AS retrieval, CAST(coalesce(CASE WHEN w IS NOT NULL THEN (SELECT sum(tokens) FROM blocks b WHERE b.week = w) END, 0) AS BIGINT) AS section, CAST((SELECT sum(tokens) FROM blocks) AS BIGINT) AS everything FROM (SELECT s.qid, sum(b.tokens) AS retrieval, coalesce(any_value(p.week), arg_min(b.week, s.r)) AS w FROM (SELECT qid, block_ix, row_number() OVER (PARTITION BY qid ORDER BY score DESC, block_ix) AS r FROM scores QUALIFY r <= 10) s JOIN blocks b USING (block_ix) JOIN plans p ON p.qid = s.qid GROUP BY s.qid)"))
 def cost_compare(spark, d):
-    index, plan, _, _, scores = _searched(spark, d)
+    _, plan, _, _, scores = _searched(spark, d)
+    index = I.of(spark, d)
     top = R.top(scores, 10, "qid").join(index.blocks.select("block_ix", "tokens", F.col("week").alias("own")), "block_ix")
     per = top.groupBy("qid").agg(F.sum("tokens").alias("retrieval"), F.min_by("own", "rank").alias("first")).join(plan.select("qid", "week"), "qid").withColumn("w", F.coalesce("week", "first"))
     weeks = index.blocks.groupBy("week").agg(F.sum("tokens").alias("section")).withColumnRenamed("week", "w")
